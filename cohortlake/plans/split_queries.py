@@ -1 +1,87 @@
-"""Queries (filled in below)."""
+"""Queries for the stratified split, set sizes, batches, split filter and bootstrap."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import agg, joins as J, split as S
+from . import testdata as td
+from .catalog import query, with_cte
+
+SEED = 23
+
+# Oracle of the stratified split: quotas by largest remainder on the train side,
+# test = the first quota subjects of each class in md5(subject|seed) order.
+SPLIT_SQL = """
+SELECT subject, target, CASE WHEN rk < test_quota THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT u.subject, u.target, q.test_quota,
+         row_number() OVER (PARTITION BY u.target ORDER BY md5(CAST(u.subject AS VARCHAR) || '|23'), u.subject) - 1 AS rk
+  FROM (SELECT DISTINCT subject, target FROM t) u JOIN (
+    SELECT target, cnt - (fl + CASE WHEN rr <= n_train - sum(fl) OVER () THEN 1 ELSE 0 END) AS test_quota FROM (
+      SELECT target, cnt, fl, n_train,
+             row_number() OVER (ORDER BY rem DESC, target) AS rr FROM (
+        SELECT target, cnt, n_train, (n_train * cnt) // n AS fl, (n_train * cnt) % n AS rem FROM (
+          SELECT target, cnt, sum(cnt) OVER () AS n,
+                 sum(cnt) OVER () - CAST(ceil(0.25 * sum(cnt) OVER ()) AS BIGINT) AS n_train
+          FROM (SELECT target, count(*) AS cnt FROM (SELECT DISTINCT subject, target FROM t) GROUP BY target)))))
+  q ON u.target = q.target)
+"""
+
+T = with_cte(t=td.TRAINING_SQL)
+
+
+def split_assignment(spark, sf_dir):
+    return S.stratified_split(td.training(spark, sf_dir), "subject", "target", 0.25, SEED)
+
+
+@query("stratified_split", T + SPLIT_SQL)
+def q_stratified_split(spark, sf_dir):
+    return split_assignment(spark, sf_dir)
+
+
+@query("set_sizes", with_cte(t=td.TRAINING_SQL, s=SPLIT_SQL) + """
+SELECT split, count(*) AS n_rows FROM t JOIN s ON t.subject = s.subject GROUP BY split""")
+def q_set_sizes(spark, sf_dir):
+    t = td.training(spark, sf_dir)
+    a = split_assignment(spark, sf_dir).select("subject", "split")
+    return agg.set_sizes(t.join(a, "subject"), "split")
+
+
+@query("split_filter", with_cte(t=td.TRAINING_SQL, s=SPLIT_SQL) + """
+SELECT subject, target, n_chars FROM t WHERE subject IN (SELECT subject FROM s WHERE split = 'test')""")
+def q_split_filter(spark, sf_dir):
+    t = td.training(spark, sf_dir)
+    return J.split_filter(t, split_assignment(spark, sf_dir), "test").select("subject", "target", "n_chars")
+
+
+_BATCH_SQL = with_cte(t=td.TRAINING_SQL, s=SPLIT_SQL) + """
+SELECT subject, split, position, batch_id FROM (
+  SELECT subject, split, position, position // 12 AS batch_id, count(*) OVER (PARTITION BY split) AS n FROM (
+    SELECT subject, split,
+           row_number() OVER (PARTITION BY split ORDER BY
+             CASE WHEN split = 'train' THEN md5(CAST(subject AS VARCHAR) || '|0|23') ELSE '' END, subject) - 1 AS position
+    FROM s))
+WHERE batch_id < n // 12
+"""
+
+
+@query("mini_batches", _BATCH_SQL)
+def q_mini_batches(spark, sf_dir):
+    a = split_assignment(spark, sf_dir)
+    return S.mini_batches(a, "subject", "split", 12, epoch=0, seed=SEED).select(
+        "subject", "split", "position", "batch_id")
+
+
+_BOOT_SQL = with_cte(v=td.VISITS_SQL) + """
+, subj AS (SELECT subject, row_number() OVER (ORDER BY subject) - 1 AS idx FROM (SELECT DISTINCT subject FROM v))
+, n AS (SELECT count(*) AS n FROM subj)
+, draws AS (SELECT idx AS draw, ('0x' || substr(md5('7|' || CAST(idx AS VARCHAR)), 1, 8))::BIGINT % (SELECT n FROM n) AS pick FROM subj)
+SELECT d.draw, s.subject, v.visit, v.score
+FROM draws d JOIN subj s ON s.idx = d.pick JOIN v ON v.subject = s.subject
+"""
+
+
+@query("cluster_bootstrap", _BOOT_SQL)
+def q_cluster_bootstrap(spark, sf_dir):
+    v = td.visits(spark, sf_dir).select("subject", "visit", "score")
+    return S.cluster_bootstrap(v, "subject", seed=7).select("draw", "subject", "visit", "score")

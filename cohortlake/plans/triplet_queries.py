@@ -1 +1 @@
-"""Queries (filled in below)."""
+"""Triplet queries (filled in below)."""
