@@ -87,16 +87,15 @@ def resample_expr(voxels: Column, dims: Column, new_size: Sequence[int]) -> Colu
 
 def volume_resample(df: DataFrame, new_size: Sequence[int], voxels: str = "voxels",
                     dims: str = "dims", engine: str = "sql") -> DataFrame:
-    """Resample each volume to ``new_size`` (e.g. 64^3); ``engine='pandas'`` for large volumes."""
+    """Resample each volume to ``new_size`` (e.g. 64^3), double voxels; ``engine='pandas'`` for large volumes."""
     if engine == "sql":
-        return (df.withColumn(voxels, resample_expr(F.col(voxels), F.col(dims), new_size)
-                              .cast("array<float>"))
+        return (df.withColumn(voxels, resample_expr(F.col(voxels), F.col(dims), new_size))
                 .withColumn(dims, F.array(*[F.lit(int(x)) for x in new_size])))
     if engine != "pandas":
         raise ValueError(engine)
     new_size = [int(x) for x in new_size]
     schema = T.StructType([f if f.name not in (voxels, dims) else
-                           T.StructField(f.name, T.ArrayType(T.FloatType()) if f.name == voxels
+                           T.StructField(f.name, T.ArrayType(T.DoubleType()) if f.name == voxels
                                          else T.ArrayType(T.IntegerType()))
                            for f in df.schema.fields])
 
@@ -121,7 +120,7 @@ def _np_resample(flat: np.ndarray, dims: list, new_size: list) -> np.ndarray:
         src = np.linspace(0.0, 1.0, d)
         dst = np.linspace(0.0, 1.0, n)
         vol = np.apply_along_axis(lambda line: np.interp(dst, src, line), axis, vol)
-    return vol.astype(np.float32).ravel()
+    return vol.astype(np.float64).ravel()
 
 
 def fuse_features(left: DataFrame, right: DataFrame, key: str, left_array: str,
