@@ -1 +1,191 @@
-"""Queries (filled in below)."""
+"""Queries for the composed flows and the flagship entry."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import scale as SC
+from ..session import shared_path
+from ..sources import io
+from . import composed as CP
+from . import testdata as td
+from .catalog import query, r6, with_cte
+from .join_queries import PANELS_SQL, panel_discount, panel_lineitem, panel_orders
+from .metric_queries import SCORED_SQL, TRAIN_SQL, W_SQL, _bce_sql, scored, train_rows
+from .split_queries import SEED, SPLIT_SQL
+from .triplet_queries import ages as subject_ages
+
+ORDER = ["visit_date", "visit"]
+PREP = dict(key="subject", order_by=ORDER, confounders=["status"],
+            sums={"error_sum": {"score": 1, "band": 2}}, redundant=["band"],
+            renames={"score": "negative_valence_score"}, mode_columns=["priority"],
+            code_columns=["priority"], age_column="visit_age", age_bound=18.0)
+OUT_COLS = ["subject", "visit", "visit_age", "negative_valence_score", "priority", "label", "error_sum"]
+
+
+def prepared(spark, sf_dir):
+    return CP.tabular_preparation(td.visits(spark, sf_dir), **PREP)
+
+
+def _present(df):
+    return df.select("subject", "visit", r6("visit_age"), r6("negative_valence_score"), "priority",
+                     r6("label"), r6("error_sum"))
+
+
+def flagship(spark, sf_dir):
+    return _present(prepared(spark, sf_dir))
+
+
+_FCOLS = ["visit_age", "negative_valence_score", "priority", "label", "error_sum"]
+_NUM = ["visit_age", "negative_valence_score", "label", "error_sum"]
+
+
+def _fill(c):
+    return f"coalesce(first({c} IGNORE NULLS) OVER wa, last({c} IGNORE NULLS) OVER wb) AS {c}"
+
+
+PREP_SQL = with_cte(
+    v=td.VISITS_SQL,
+    a="""SELECT subject, visit, visit_date, visit_age, score AS negative_valence_score, priority, label,
+                score + 2 * band AS error_sum FROM v""",
+    f=f"""SELECT subject, visit, {', '.join(_fill(c) for c in _FCOLS)} FROM a
+          WINDOW wa AS (PARTITION BY subject ORDER BY visit_date, visit ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+                 wb AS (PARTITION BY subject ORDER BY visit_date, visit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    mp="""SELECT priority AS m FROM f WHERE priority IS NOT NULL GROUP BY priority
+          ORDER BY count(*) DESC, priority LIMIT 1""",
+    g="SELECT subject, visit, coalesce(priority, (SELECT m FROM mp)) AS priority, "
+      + ", ".join(f"coalesce({c}, (SELECT round_even(avg({c}), 0) FROM f)) AS {c}" for c in _NUM)
+      + " FROM f",
+    codes="""SELECT priority AS pv, CAST(row_number() OVER (ORDER BY priority) - 1 AS INTEGER) AS code
+             FROM (SELECT DISTINCT priority FROM g WHERE priority IS NOT NULL)""",
+) + """
+SELECT g.subject, g.visit, round(g.visit_age, 6) AS visit_age,
+       round(g.negative_valence_score, 6) AS negative_valence_score,
+       coalesce(codes.code, -1) AS priority, round(g.label, 6) AS label, round(g.error_sum, 6) AS error_sum
+FROM g LEFT JOIN codes ON g.priority = codes.pv
+WHERE g.visit_age < 18
+"""
+
+
+@query("tabular_preparation", PREP_SQL)
+def q_tabular_preparation(spark, sf_dir):
+    """SURVEY op 71 (the reference's tabular processing flow)."""
+    return flagship(spark, sf_dir)
+
+
+_CSV_SCHEMA = ("subject bigint, visit bigint, visit_date timestamp, visit_age double, score double, "
+               "band bigint, priority string, status string, label int")
+
+
+def _visits_csv(spark, sf_dir):
+    """The visit table written as text, as the reference receives it (NA for missing)."""
+    path = shared_path(spark, "visits_csv", unique=True)
+    v = td.visits(spark, sf_dir).withColumn("visit_date", F.col("visit_date").cast("timestamp"))
+    v.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
+    return path
+
+
+@query("load_tabular", PREP_SQL)
+def q_load_tabular(spark, sf_dir):
+    """SURVEY op 72: CSV scan -> preparation -> write -> read back."""
+    src = _visits_csv(spark, sf_dir)
+    out = CP.load_tabular(spark, src, shared_path(spark, "load_tabular", unique=True), quick=True,
+                          schema=_CSV_SCHEMA, **PREP)
+    return _present(out)
+
+
+_LWI_SQL = PREP_SQL.replace("""
+SELECT g.subject, g.visit, round(g.visit_age, 6) AS visit_age,""", """
+, prep AS (SELECT g.subject, g.visit, g.visit_age,""").replace(
+    "WHERE g.visit_age < 18\n", "WHERE g.visit_age < 18)\n")
+
+
+def _lwi_sql() -> str:
+    body = _LWI_SQL.replace("WITH ", "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in PANELS_SQL.items()) + ",\n", 1)
+    return body.replace("round(g.negative_valence_score, 6) AS negative_valence_score,",
+                        "g.negative_valence_score,").replace(
+        "round(g.label, 6) AS label, round(g.error_sum, 6) AS error_sum", "g.label, g.error_sum") + """
+, vy AS (SELECT o_orderkey AS visit_id, year(o_orderdate) AS visit FROM orders)
+SELECT p.subject, p.visit_id, p.visit, round(p.visit_age, 6) AS visit_age, round(fa.fa_score, 6) AS fa_score,
+       round(t1.t1_score, 6) AS t1_score, rsf.rsf_score
+FROM (SELECT prep.subject, prep.visit AS visit_id, vy.visit, prep.visit_age FROM prep JOIN vy ON prep.visit = vy.visit_id) p
+JOIN fa ON fa.subject = p.subject AND fa.visit = p.visit
+JOIN t1 ON t1.subject = p.subject AND t1.visit = p.visit
+JOIN rsf ON rsf.subject = p.subject AND rsf.visit = p.visit
+"""
+
+
+@query("load_with_imaging", _lwi_sql())
+def q_load_with_imaging(spark, sf_dir):
+    """SURVEY op 73: imaging panels joined, prepared tabular visits keyed by (subject, year)."""
+    prep = prepared(spark, sf_dir)
+    years = td.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("visit_id"),
+                                                       F.year("o_orderdate").alias("visit"))
+    tab = (prep.select("subject", F.col("visit").alias("visit_id"), "visit_age")
+           .join(years, "visit_id", "inner"))
+    out = CP.load_with_imaging(spark, tab, panel_orders(spark, sf_dir).drop("fa_n"),
+                               panel_lineitem(spark, sf_dir), panel_discount(spark, sf_dir))
+    return out.select("subject", "visit_id", "visit", r6("visit_age"), r6("fa_score"), r6("t1_score"),
+                      "rsf_score")
+
+
+_PTS_SQL = with_cte(t=td.TRAINING_SQL, s=SPLIT_SQL, tr=TRAIN_SQL) + "SELECT t.subject, t.target, s.split, " + ", ".join(
+    "round(({f} * (2.0 / (CASE WHEN (SELECT max({f}) FROM tr) - (SELECT min({f}) FROM tr) = 0 THEN 1.0 "
+    "ELSE (SELECT max({f}) FROM tr) - (SELECT min({f}) FROM tr) END)) + (-1.0 - (SELECT min({f}) FROM tr) * "
+    "(2.0 / (CASE WHEN (SELECT max({f}) FROM tr) - (SELECT min({f}) FROM tr) = 0 THEN 1.0 "
+    "ELSE (SELECT max({f}) FROM tr) - (SELECT min({f}) FROM tr) END)))), 6) + 0.0 AS {f}".format(f=f)
+    for f in td.TRAINING_FEATURES) + " FROM t JOIN s ON t.subject = s.subject"
+
+
+@query("prepare_training_set", _PTS_SQL)
+def q_prepare_training_set(spark, sf_dir):
+    """SURVEY op 74: split, fit on train, scale both sets, key and target in front."""
+    scaled, _, _, _ = CP.prepare_training_set(td.training(spark, sf_dir), "subject", "target",
+                                              td.TRAINING_FEATURES, 0.25, SEED)
+    return scaled.select("subject", "target", "split", *[r6(f) for f in td.TRAINING_FEATURES])
+
+
+@query("prepare_triplets", no_sql_reason="per-split age-band draws; each split is checked "
+       "against brute force in tests/test_triplets.py")
+def q_prepare_triplets(spark, sf_dir):
+    """SURVEY op 75: split subjects, mine triplets inside each split, attach features."""
+    feats = td.subjects(spark, sf_dir).select("subject", "label", "acctbal")
+    return CP.prepare_triplets(subject_ages(spark, sf_dir), feats, "subject", "label", "age", 12.0, 6.0,
+                               0.25, SEED, 5)
+
+
+_EVAL_SQL = with_cte(t=td.TRAINING_SQL, s=SPLIT_SQL, p=SCORED_SQL, tr=TRAIN_SQL, wt=W_SQL) + f"""
+, acc AS (SELECT run, split, epoch, avg(CAST(label = CAST(logit > 0 AS INTEGER) AS DOUBLE)) AS accuracy
+          FROM p GROUP BY ALL)
+, mac AS (SELECT run, split, epoch, avg(r) AS macro_accuracy FROM (
+            SELECT run, split, epoch, label, avg(CAST(label = CAST(logit > 0 AS INTEGER) AS DOUBLE)) AS r
+            FROM p GROUP BY ALL) GROUP BY ALL)
+, bce AS (SELECT run, split, epoch, avg({_bce_sql('logit', 'CAST(label AS DOUBLE)', '(SELECT w FROM wt)')}) AS bce_loss
+          FROM p GROUP BY ALL)
+SELECT run, split, epoch, 'accuracy' AS metric, round(accuracy, 6) AS value FROM acc
+UNION ALL SELECT run, split, epoch, 'macro_accuracy', round(macro_accuracy, 6) FROM mac
+UNION ALL SELECT run, split, epoch, 'bce_loss', round(bce_loss, 6) FROM bce
+"""
+
+
+def evaluation(spark, sf_dir):
+    w = SC.class_weight_value(train_rows(spark, sf_dir), "target")
+    return CP.evaluate_run(scored(spark, sf_dir), w)
+
+
+@query("evaluate_run", _EVAL_SQL)
+def q_evaluate_run(spark, sf_dir):
+    """SURVEY op 76: predictions -> accuracy, macro accuracy, BCE -> metric log rows."""
+    return evaluation(spark, sf_dir).select("run", "split", "epoch", "metric", r6("value"))
+
+
+@query("weighted_classifier", no_sql_reason="model coefficients are fitted iteratively")
+def q_weighted_classifier(spark, sf_dir):
+    """SURVEY op 77: class-weighted logistic regression on the scaled training set."""
+    scaled, _, weight, _ = CP.prepare_training_set(td.training(spark, sf_dir), "subject", "target",
+                                                   td.TRAINING_FEATURES, 0.25, SEED)
+    w = weight.select("class_weight").first()[0] or 1.0
+    return CP.weighted_classifier(scaled, "target", td.TRAINING_FEATURES, w)
+
+
+_ = io  # sources are used by the flows above
