@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..constants import BATCH_SIZE, SPLIT_SEED, TEST_FRACTION
 from ..functions.exprs import hash_int, hash_key
+from ..session import materialize
 from .index import rank_within, row_index
 
 MAX_CLASSES = 10_000
@@ -41,7 +42,8 @@ def class_quotas(counts: dict, test_fraction: float = TEST_FRACTION) -> dict:
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float = TEST_FRACTION,
-                     seed: int = SPLIT_SEED, split_col: str = "split") -> DataFrame:
+                     seed: int = SPLIT_SEED, split_col: str = "split",
+                     checkpoint: bool = True) -> DataFrame:
     """Assign each distinct (key, label) unit to 'train' or 'test', stratified by label.
 
     Exact quotas (see :func:`class_quotas`); inside a class the test rows are
@@ -62,8 +64,12 @@ def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float =
         kv += [F.lit(c), F.lit(q)]
     quota = F.try_element_at(F.create_map(*kv), F.col(label))
     ranked = rank_within(units, label, [hash_key(key, F.lit(seed)), F.col(key)], "_rank")
-    return ranked.select(key, label, F.when(F.col("_rank") < quota, F.lit("test"))
-                         .otherwise(F.lit("train")).alias(split_col))
+    out = ranked.select(key, label, F.when(F.col("_rank") < quota, F.lit("test"))
+                        .otherwise(F.lit("train")).alias(split_col))
+    # One row per unit: written once to the shared checkpoint folder, so the
+    # training rows, the scaler fit, the class weight and the batches all read
+    # the same assignment instead of re-running the ranking.
+    return materialize(out) if checkpoint else out
 
 
 def mini_batches(df: DataFrame, key: str, split_col: str = "split", batch_size: int = BATCH_SIZE,
