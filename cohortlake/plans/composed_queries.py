@@ -13,7 +13,7 @@ from .catalog import query, r6, with_cte
 from .join_queries import PANELS_SQL, panel_discount, panel_lineitem, panel_orders
 from .metric_queries import SCORED_SQL, TRAIN_SQL, W_SQL, _bce_sql, scored, train_rows
 from .split_queries import SEED, SPLIT_SQL
-from .triplet_queries import ages as subject_ages
+from .triplet_queries import ages as subject_ages, split_triplet_table_sql
 
 ORDER = ["visit_date", "visit"]
 PREP = dict(key="subject", order_by=ORDER, confounders=["status"],
@@ -145,13 +145,14 @@ def q_prepare_training_set(spark, sf_dir):
     return scaled.select("subject", "target", "split", *[r6(f) for f in td.TRAINING_FEATURES])
 
 
-@query("prepare_triplets", no_sql_reason="per-split age-band draws; each split is checked "
-       "against brute force in tests/test_triplets.py")
+@query("prepare_triplets", split_triplet_table_sql(SPLIT_SQL))
 def q_prepare_triplets(spark, sf_dir):
     """SURVEY op 75: split subjects, mine triplets inside each split, attach features."""
     feats = td.subjects(spark, sf_dir).select("subject", "label", "acctbal")
-    return CP.prepare_triplets(subject_ages(spark, sf_dir), feats, "subject", "label", "age", 12.0, 6.0,
+    out = CP.prepare_triplets(subject_ages(spark, sf_dir), feats, "subject", "label", "age", 12.0, 6.0,
                                0.25, SEED, 5)
+    return out.select("anchor_id", "positive_id", "negative_id", "anchor_label", "anchor_acctbal",
+                      "positive_label", "positive_acctbal", "negative_label", "negative_acctbal", "split")
 
 
 _EVAL_SQL = with_cte(t=td.TRAINING_SQL, s=SPLIT_SQL, p=SCORED_SQL, tr=TRAIN_SQL, wt=W_SQL) + f"""

@@ -32,7 +32,7 @@ _BASE = with_cte(
 )
 
 
-def _band_sql(kind: str) -> str:
+def _band_sql(kind: str, base: str = _BASE, same_split: bool = False) -> str:
     if kind == "pos":
         cand_cond = "c.label = a.label AND c.subject <> a.subject"
         cols = "a.subject, a.label, a.age, m.margin AS pos_margin, b.size AS pos_band_size, b.cand AS positive"
@@ -40,7 +40,10 @@ def _band_sql(kind: str) -> str:
         cand_cond = "c.label = n.neg_label"
         cols = ("a.subject, a.label, a.age, n.neg_label, m.margin AS neg_margin, "
                 "coalesce(b.size, 0) AS neg_band_size, b.cand AS negative")
-    return _BASE + f"""
+    if same_split:
+        cand_cond += " AND c.split = a.split"
+        cols += ", a.split"
+    return base + f"""
 , near AS (SELECT a.subject, min(abs(c.age - a.age)) AS d
            FROM a JOIN negc n ON n.label = a.label JOIN a c ON {cand_cond} GROUP BY a.subject)
 , m AS (SELECT a.subject, CASE WHEN nr.d IS NULL THEN NULL WHEN nr.d < {M0} THEN {M0}::DOUBLE
@@ -124,3 +127,30 @@ def q_triplet_table(spark, sf_dir):
     out = TR.triplet_table(t, feats)
     return out.select("anchor_id", "positive_id", "negative_id", "anchor_label", "anchor_acctbal",
                       "positive_label", "positive_acctbal", "negative_label", "negative_acctbal")
+
+
+def split_triplet_table_sql(split_sql: str) -> str:
+    """Brute-force oracle of ``prepare_triplets``: triplets inside each split."""
+    base = with_cte(
+        s=td.SUBJECTS_SQL,
+        t="SELECT subject, label AS target FROM s",
+        sp=split_sql,
+        a="SELECT s.subject, s.label, s.age_months AS age, sp.split FROM s JOIN sp ON s.subject = sp.subject",
+        cls="SELECT DISTINCT label FROM a",
+        negc="SELECT c1.label, min(c2.label) AS neg_label FROM cls c1 LEFT JOIN cls c2 "
+             "ON c2.label <> c1.label GROUP BY c1.label",
+    )
+    pos = _band_sql("pos", base, True)
+    neg = _band_sql("neg", base, True)
+    return with_cte(pt=pos.replace("WITH ", "SELECT * FROM (WITH ", 1) + ")",
+                    nt=neg.replace("WITH ", "SELECT * FROM (WITH ", 1) + ")",
+                    s2=td.SUBJECTS_SQL) + """
+SELECT pt.subject AS anchor_id, pt.positive AS positive_id, nt.negative AS negative_id,
+       sa.label AS anchor_label, sa.acctbal AS anchor_acctbal,
+       sp.label AS positive_label, sp.acctbal AS positive_acctbal,
+       sn.label AS negative_label, sn.acctbal AS negative_acctbal, pt.split
+FROM pt JOIN nt ON pt.subject = nt.subject
+LEFT JOIN s2 sa ON sa.subject = pt.subject
+LEFT JOIN s2 sp ON sp.subject = pt.positive
+LEFT JOIN s2 sn ON sn.subject = nt.negative
+"""
