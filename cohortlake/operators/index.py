@@ -49,7 +49,12 @@ def rank_within(df: DataFrame, group: str, order_by: Sequence[str | Column],
     task; instead one global index over ``(group, order)`` minus the class start.
     """
     idx = row_index(df, [F.col(group), *_cols(order_by)], "_gi", partitions)
-    starts = idx.groupBy(group).agg(F.min("_gi").alias("_start"))
-    return (idx.join(F.broadcast(starts), group, "inner")
+    # class starts from per-class counts (partial aggregate, one row per class),
+    # not from a second pass over the index
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.orderBy(F.col(group).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(group, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_start"))
+    return (idx.join(F.broadcast(starts), idx[group].eqNullSafe(starts[group]), "inner")
+            .drop(starts[group])
             .withColumn(name, F.col("_gi") - F.col("_start"))
             .drop("_gi", "_start"))
