@@ -5,8 +5,10 @@ sort and one Window node for all columns. A subject can hold a large share of al
 rows, so subjects above ``rows_per_task`` rows are cut into order-contiguous chunks
 (equal-width ranges of the first order column). Every chunk is filled locally; a
 small summary of each chunk's first and last non-null value carries values across
-chunk borders. The summary has at most ``2 * chunks_per_task * rows / rows_per_task``
-rows, which is the bound that makes broadcasting it safe.
+chunk borders. The hot-subject table has at most ``rows / rows_per_task`` rows and
+the summary at most ``2 * chunks_per_task * rows / rows_per_task``, which is the
+bound that makes broadcasting them safe. Without hot subjects the plan is a
+single window.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
             T.DoubleType, T.DecimalType)
 
 DEFAULT_ROWS_PER_TASK = 2_000_000
+# Hot-subject tables up to this size are shipped from the driver as rows.
+MAX_HOT_ROWS_ON_DRIVER = 100_000
 
 
 def _as_list(x) -> list:
@@ -66,7 +70,7 @@ def fill_nearest_visit(df: DataFrame, key: str | Sequence[str], order_by: str |
 
     order_num = _order_number(df, order[0]) if skew_split and isinstance(order[0], str) else None
     if order_num is None:
-        tagged = df.withColumn("_chunk", F.lit(0))
+        tagged = df
         hot_flag = None
     else:
         # Hot subjects: more rows than one task should sort. Bounded by rows/rows_per_task.
@@ -78,6 +82,15 @@ def fill_nearest_visit(df: DataFrame, key: str | Sequence[str], order_by: str |
                              .cast("int"))
                  .withColumn("_hot", F.lit(True))
                  .drop("_n"))
+        # Decide on the driver from the (small) hot-subject table: without hot
+        # subjects the plan is the textbook one (one exchange, one sort, one
+        # window) and the data is scanned once; a short hot list is shipped as
+        # rows instead of being recomputed inside the main job.
+        hot_rows = stats.limit(MAX_HOT_ROWS_ON_DRIVER + 1).collect()
+        if not hot_rows:
+            return fill_nearest_visit(df, keys, order, columns, direction, skew_split=False)
+        if len(hot_rows) <= MAX_HOT_ROWS_ON_DRIVER:
+            stats = df.sparkSession.createDataFrame(hot_rows, stats.schema)
         tagged = df.join(F.broadcast(stats), keys, "left")
         width = F.col("_hi") - F.col("_lo")
         chunk = F.when(F.col("_hot") & order_num.isNotNull() & (width > 0),
@@ -86,7 +99,8 @@ def fill_nearest_visit(df: DataFrame, key: str | Sequence[str], order_by: str |
         tagged = tagged.withColumn("_chunk", chunk).drop("_lo", "_hi", "_k")
         hot_flag = F.coalesce(F.col("_hot"), F.lit(False))
 
-    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    parts = keys if hot_flag is None else [*keys, "_chunk"]
+    w = Window.partitionBy(*parts).orderBy(*order)
     after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = {}
