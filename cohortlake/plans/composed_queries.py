@@ -105,7 +105,7 @@ def _lwi_sql() -> str:
     return body.replace("round(g.negative_valence_score, 6) AS negative_valence_score,",
                         "g.negative_valence_score,").replace(
         "round(g.label, 6) AS label, round(g.error_sum, 6) AS error_sum", "g.label, g.error_sum") + """
-, vy AS (SELECT o_orderkey AS visit_id, year(o_orderdate) AS visit FROM orders)
+, vy AS (SELECT o_orderkey AS visit_id, CAST(year(o_orderdate) AS INTEGER) AS visit FROM orders)
 SELECT p.subject, p.visit_id, p.visit, round(p.visit_age, 6) AS visit_age, round(fa.fa_score, 6) AS fa_score,
        round(t1.t1_score, 6) AS t1_score, rsf.rsf_score
 FROM (SELECT prep.subject, prep.visit AS visit_id, vy.visit, prep.visit_age FROM prep JOIN vy ON prep.visit = vy.visit_id) p

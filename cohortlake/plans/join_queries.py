@@ -37,11 +37,11 @@ def panel_discount(spark, sf_dir):
 
 
 PANELS_SQL = dict(
-    fa="""SELECT o_custkey AS subject, year(o_orderdate) AS visit, avg(o_totalprice) AS fa_score,
+    fa="""SELECT o_custkey AS subject, CAST(year(o_orderdate) AS INTEGER) AS visit, avg(o_totalprice) AS fa_score,
                  count(*) AS fa_n FROM orders GROUP BY ALL""",
-    t1="""SELECT o.o_custkey AS subject, year(l.l_shipdate) AS visit, avg(l.l_extendedprice) AS t1_score
+    t1="""SELECT o.o_custkey AS subject, CAST(year(l.l_shipdate) AS INTEGER) AS visit, avg(l.l_extendedprice) AS t1_score
           FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY ALL""",
-    rsf="""SELECT o.o_custkey AS subject, year(l.l_shipdate) AS visit, max(l.l_discount) AS rsf_score
+    rsf="""SELECT o.o_custkey AS subject, CAST(year(l.l_shipdate) AS INTEGER) AS visit, max(l.l_discount) AS rsf_score
            FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY ALL""",
 )
 P = with_cte(**PANELS_SQL)
@@ -73,7 +73,7 @@ def visit_year_panel(spark, sf_dir):
             .agg(F.max("label").alias("label"), F.avg("visit_age").alias("visit_age")))
 
 
-_TAB_SQL = """SELECT subject, year(visit_date) AS visit, max(label) AS label, avg(visit_age) AS visit_age
+_TAB_SQL = """SELECT subject, CAST(year(visit_date) AS INTEGER) AS visit, max(label) AS label, avg(visit_age) AS visit_age
               FROM v GROUP BY ALL"""
 
 
@@ -99,7 +99,7 @@ _VOL_SQL = """SELECT vec_id AS subject, embedding AS voxels FROM embeddings"""
 
 
 @query("join_image_rows", with_cte(t=td.TRAINING_SQL, vol=_VOL_SQL) + """
-SELECT t.subject, t.target, len(vol.voxels) AS n_voxels,
+SELECT t.subject, t.target, CAST(len(vol.voxels) AS INTEGER) AS n_voxels,
        round(list_sum(list_transform(vol.voxels, lambda x: CAST(x AS DOUBLE))), 6) AS voxel_sum
 FROM t JOIN vol ON t.subject = vol.subject""")
 def q_join_image_rows(spark, sf_dir):

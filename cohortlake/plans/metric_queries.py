@@ -124,7 +124,7 @@ W_SQL = "SELECT CAST(count_if(target = 0) AS DOUBLE) / nullif(count_if(target =
 
 
 @query("class_weight", with_cte(t=td.TRAINING_SQL, s=SPLIT_SQL, tr=TRAIN_SQL) + """
-SELECT count_if(target = 0) AS n_negative, count_if(target = 1) AS n_positive,
+SELECT CAST(count_if(target = 0) AS BIGINT) AS n_negative, CAST(count_if(target = 1) AS BIGINT) AS n_positive,
        round(CAST(count_if(target = 0) AS DOUBLE) / nullif(count_if(target = 1), 0), 6) AS class_weight
 FROM tr""")
 def q_class_weight(spark, sf_dir):
@@ -204,7 +204,7 @@ def emb(spark, sf_dir):
 
 EMB_SQL = """SELECT vec_id, label, embedding, vec_id // 12 AS batch_id, CAST(label >= 5 AS INTEGER) AS y,
                     CAST(embedding[1] AS DOUBLE) * 20.0 AS logit FROM embeddings"""
-_CENTERS_SQL = """SELECT label, pos - 1 AS pos, avg(CAST(v AS DOUBLE)) AS cv FROM
+_CENTERS_SQL = """SELECT label, CAST(pos - 1 AS INTEGER) AS pos, avg(CAST(v AS DOUBLE)) AS cv FROM
   (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)
   GROUP BY label, pos"""
 _DIST_SQL = """SELECT e.vec_id, e.batch_id, sum(pow(CAST(e.v AS DOUBLE) - c.cv, 2)) AS dist FROM
@@ -301,7 +301,7 @@ def volumes(spark, sf_dir):
 
 
 @query("volume_max_scale", """
-SELECT vec_id, pos, round(CAST(v AS DOUBLE) / max(CAST(v AS DOUBLE)) OVER (PARTITION BY vec_id), 6) + 0.0 AS value
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(CAST(v AS DOUBLE) / max(CAST(v AS DOUBLE)) OVER (PARTITION BY vec_id), 6) + 0.0 AS value
 FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)""")
 def q_volume_max_scale(spark, sf_dir):
     v = A.volume_max_scale(volumes(spark, sf_dir))
@@ -330,7 +330,7 @@ def _resample_sql() -> str:
             w.append(t if hi else f"(1 - {t})")
         terms.append(f"CAST(embedding[{' + '.join(idx)} + 1] AS DOUBLE) * {' * '.join(w)}")
     value = " + ".join(terms)
-    return f"""SELECT vec_id, o AS pos, round({value}, 6) + 0.0 AS value
+    return f"""SELECT vec_id, CAST(o AS INTEGER) AS pos, round({value}, 6) + 0.0 AS value
 FROM (SELECT vec_id, embedding, unnest(range({n0 * n1 * n2})) AS o FROM embeddings)"""
 
 
@@ -342,7 +342,7 @@ def q_volume_resample(spark, sf_dir):
 
 
 @query("fuse_features", with_cte(t=td.TRAINING_SQL) + """
-SELECT e.vec_id AS subject, len(e.embedding) + 3 AS n_features,
+SELECT e.vec_id AS subject, CAST(len(e.embedding) + 3 AS INTEGER) AS n_features,
        round(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))) + t.sex + t.age + t.n_chars, 6) AS fused_sum,
        round(t.age, 6) AS fused_age
 FROM embeddings e JOIN t ON t.subject = e.vec_id""")
