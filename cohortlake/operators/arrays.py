@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,28 +109,33 @@ def volume_resample(df: DataFrame, new_size: Sequence[int], voxels: str = "voxel
                                          else T.ArrayType(T.IntegerType()))
                            for f in df.schema.fields])
 
+    run = _resample_batches(voxels, dims, new_size)
+    return df.mapInPandas(run, schema)
+
+
+def _resample_batches(voxels: str, dims: str, new_size: list):
+    """Build the per-batch function. Everything it needs is defined inside, so it
+    is shipped by value and executors need only numpy, not this package."""
+    def one(flat, shape_in):
+        import numpy as np
+        shape = [int(d) for d in shape_in if int(d) != 1]
+        if len(shape) != len(new_size):
+            raise ValueError("volume rank does not match new size")
+        vol = np.asarray(flat, dtype=np.float64).reshape(shape)
+        for axis, (d, n) in enumerate(zip(shape, new_size)):
+            src = np.linspace(0.0, 1.0, d)
+            dst = np.linspace(0.0, 1.0, n)
+            vol = np.apply_along_axis(lambda line: np.interp(dst, src, line), axis, vol)
+        return vol.ravel()
+
     def run(batches):
+        import numpy as np
         for pdf in batches:
             pdf = pdf.copy()
-            pdf[voxels] = [_np_resample(np.asarray(v, dtype=np.float64), list(d), new_size)
-                           for v, d in zip(pdf[voxels], pdf[dims])]
+            pdf[voxels] = [one(v, list(d)) for v, d in zip(pdf[voxels], pdf[dims])]
             pdf[dims] = [np.asarray(new_size, dtype=np.int32)] * len(pdf)
             yield pdf
-
-    return df.mapInPandas(run, schema)
-
-
-def _np_resample(flat: np.ndarray, dims: list, new_size: list) -> np.ndarray:
-    """numpy twin of :func:`resample_expr` for one volume (separable np.interp)."""
-    shape = [int(d) for d in dims if int(d) != 1]
-    if len(shape) != len(new_size):
-        raise ValueError("volume rank does not match new size")
-    vol = flat.reshape(shape)
-    for axis, (d, n) in enumerate(zip(shape, new_size)):
-        src = np.linspace(0.0, 1.0, d)
-        dst = np.linspace(0.0, 1.0, n)
-        vol = np.apply_along_axis(lambda line: np.interp(dst, src, line), axis, vol)
-    return vol.astype(np.float64).ravel()
+    return run
 
 
 def fuse_features(left: DataFrame, right: DataFrame, key: str, left_array: str,
