@@ -69,3 +69,15 @@ def test_scan_is_pruned_and_filter_pushed(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_custkey), LessThan(o_custkey,50)]" in plan
     assert "o_orderstatus" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_third_of_rows_in_one_subject(spark):
+    # every third visit re-assigned to subject 0: one key holds a third of the table
+    v = td.visits(spark, "/root/testdata/sf0.01")
+    v = v.withColumn("subject", F.when(F.col("visit") % 3 == 0, F.lit(0)).otherwise(F.col("subject")))
+    cols = ["score", "band", "priority"]
+    a = fill.fill_nearest_visit(v, "subject", ["visit_date", "visit"], cols, skew_split=False)
+    b = fill.fill_nearest_visit(v, "subject", ["visit_date", "visit"], cols, rows_per_task=1000)
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "_chunk" in plan
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
