@@ -193,3 +193,22 @@ def null_check(df: DataFrame, key: str | Sequence[str], columns: Sequence[str])
     keys = _as_list(key)
     return df.groupBy(*keys).agg(*[F.bool_or(F.col(c).isNull()).alias(f"{c}_has_null")
                                    for c in columns])
+
+
+def global_fill(df: DataFrame, mode_columns: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
+    """Mode fill of ``mode_columns`` then mean fill of every other numeric column,
+    with all statistics from ONE aggregate (one scan).
+
+    Equivalent to :func:`global_mode_fill` followed by :func:`global_mean_fill`:
+    mode-filled columns have no nulls left, so their means are never used, and the
+    other columns' means do not depend on the mode fill.
+    """
+    modes = [c for c in mode_columns if c in df.columns]
+    means = [c for c in numeric_columns(df, exclude) if c not in modes]
+    if not modes and not means:
+        return df
+    stats = df.agg(F.struct(*[F.mode(c, deterministic=True).alias(f"m_{c}") for c in modes],
+                            *[F.bround(F.avg(c), 0).alias(f"a_{c}") for c in means])).scalar()
+    fills = {c: F.coalesce(F.col(c), stats.getField(f"m_{c}")) for c in modes}
+    fills.update({c: F.coalesce(F.col(c), stats.getField(f"a_{c}")) for c in means})
+    return df.withColumns(fills)

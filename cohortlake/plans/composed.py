@@ -46,8 +46,7 @@ def tabular_preparation(df: DataFrame, key: str = "subject",
     x = fill.fill_nearest_visit(x, key, order_by)
     if checkpoint:
         x = materialize(x)
-    x = fill.global_mode_fill(x, mode_columns)
-    x = fill.global_mean_fill(x, exclude=[key, *order_by])
+    x = fill.global_fill(x, mode_columns, exclude=[key, *order_by])
     x = C.category_codes(x, code_columns)
     return C.filter_lt(x, age_column, age_bound)
 

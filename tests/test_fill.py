@@ -81,3 +81,10 @@ def test_third_of_rows_in_one_subject(spark):
     plan = b._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "_chunk" in plan
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_global_fill_equals_mode_then_mean(spark):
+    v = td.visits(spark, "/root/testdata/sf0.01").select("subject", "visit", "score", "band", "priority")
+    a = fill.global_mean_fill(fill.global_mode_fill(v, ["priority", "band"]), exclude=["subject", "visit"])
+    b = fill.global_fill(v, ["priority", "band"], exclude=["subject", "visit"])
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
