@@ -36,8 +36,13 @@ def _as_list(x) -> list:
 def _order_number(df: DataFrame, c: str) -> Column | None:
     """A numeric image of an order column, used to cut hot subjects into ranges."""
     dt = df.schema[c].dataType
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    if isinstance(dt, T.TimestampNTZType):
+        # wall-clock seconds, independent of the session time zone
+        x = F.col(c)
+        return (F.unix_date(F.to_date(x)).cast("double") * 86400.0
+                + F.hour(x) * 3600.0 + F.minute(x) * 60.0 + F.second(x))
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(F.col(c)).cast("double")
     if isinstance(dt, T.DateType):
         return F.unix_date(F.col(c)).cast("double")
     if isinstance(dt, _NUMERIC):

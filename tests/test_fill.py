@@ -88,3 +88,20 @@ def test_global_fill_equals_mode_then_mean(spark):
     a = fill.global_mean_fill(fill.global_mode_fill(v, ["priority", "band"]), exclude=["subject", "visit"])
     b = fill.global_fill(v, ["priority", "band"], exclude=["subject", "visit"])
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_fill_matches_python_on_random_groups(spark):
+    import random
+    rnd = random.Random(5)
+    rows = []
+    for s in range(30):
+        for t in range(rnd.randint(1, 9)):
+            rows.append((s, t, None if rnd.random() < 0.5 else float(rnd.randint(0, 9))))
+    df = spark.createDataFrame(rows, "s int, t int, x double")
+    got = {(r.s, r.t): r.x for r in fill.fill_nearest_visit(df, "s", ["t"], ["x"]).collect()}
+    for s in range(30):
+        xs = [r[2] for r in rows if r[0] == s]
+        for i, x in enumerate(xs):
+            nxt = next((y for y in xs[i:] if y is not None), None)
+            prv = next((y for y in reversed(xs[:i + 1]) if y is not None), None)
+            assert got[(s, i)] == (nxt if nxt is not None else prv)
