@@ -47,7 +47,7 @@ def q_presplit_scan(spark, sf_dir):
 
 @query("image_table_scan", """
 SELECT vec_id AS subject, CAST(len(embedding) AS INTEGER) AS n_voxels,
-       round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS voxel_sum
+       round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) + 0.0 AS voxel_sum
 FROM embeddings""")
 def q_image_table_scan(spark, sf_dir):
     path = shared_path(spark, "volumes", unique=True)

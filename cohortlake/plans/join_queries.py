@@ -100,7 +100,7 @@ _VOL_SQL = """SELECT vec_id AS subject, embedding AS voxels FROM embeddings"""
 
 @query("join_image_rows", with_cte(t=td.TRAINING_SQL, vol=_VOL_SQL) + """
 SELECT t.subject, t.target, CAST(len(vol.voxels) AS INTEGER) AS n_voxels,
-       round(list_sum(list_transform(vol.voxels, lambda x: CAST(x AS DOUBLE))), 6) AS voxel_sum
+       round(list_sum(list_transform(vol.voxels, lambda x: CAST(x AS DOUBLE))), 6) + 0.0 AS voxel_sum
 FROM t JOIN vol ON t.subject = vol.subject""")
 def q_join_image_rows(spark, sf_dir):
     vols = volume_table(td.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", (4, 4, 4))

@@ -64,7 +64,7 @@ PRED = "CAST(logit > 0 AS INTEGER)"
 
 
 @query("predict_tag", P + f"""
-SELECT subject, split, epoch, round(logit, 6) AS logit,
+SELECT subject, split, epoch, round(logit, 6) + 0.0 AS logit,
        round(1.0 / (1.0 + exp(-logit)), 6) AS probability, {PRED} AS prediction FROM p""")
 def q_predict_tag(spark, sf_dir):
     p = M.with_prediction(scored(spark, sf_dir))
