@@ -95,16 +95,15 @@ def cluster_bootstrap(df: DataFrame, key: str = "subject", seed: int = 7) -> Dat
     """Resample subjects with replacement (as many draws as subjects) and append
     all visits of every draw, repeats included; ``draw`` numbers the draws.
 
-    Draw ``i`` picks subject index ``md5(seed|i) mod n``. Draws are grouped per
-    picked subject (multiplicity is tiny) and joined to the visits once, then
-    exploded, so a subject with many visits is not joined once per draw.
+    Draw ``i`` picks subject index ``md5(seed|i) mod n``; the (draw, subject)
+    table (one row per subject) joins the visits on the subject. A subject with
+    many visits is a skewed key on the visit side only, which AQE's skew-join
+    handling splits while replicating that subject's few draws.
     """
     subjects = df.select(key).where(F.col(key).isNotNull()).distinct()
     indexed = row_index(subjects, [key], "_idx")
     n = subjects.agg(F.count(F.lit(1))).scalar()
     draws = indexed.select(F.col("_idx").alias("draw"),
                            (hash_int(F.lit(seed), F.col("_idx")) % n).alias("_pick"))
-    picked = (draws.join(indexed.withColumnRenamed("_idx", "_pick"), "_pick", "inner")
-              .groupBy(key).agg(F.collect_list("draw").alias("_draws")))
-    return (df.join(picked, key, "inner")
-            .withColumn("draw", F.explode("_draws")).drop("_draws"))
+    picked = draws.join(indexed.withColumnRenamed("_idx", "_pick"), "_pick", "inner").drop("_pick")
+    return df.join(picked, key, "inner")
