@@ -107,3 +107,21 @@ def cluster_bootstrap(df: DataFrame, key: str = "subject", seed: int = 7) -> Dat
                            (hash_int(F.lit(seed), F.col("_idx")) % n).alias("_pick"))
     picked = draws.join(indexed.withColumnRenamed("_idx", "_pick"), "_pick", "inner").drop("_pick")
     return df.join(picked, key, "inner")
+
+
+def mini_batches_epochs(df: DataFrame, key: str, epochs: Sequence[int], split_col: str = "split",
+                        batch_size: int = BATCH_SIZE, seed: int = SPLIT_SEED,
+                        shuffle_splits: Sequence[str] = ("train",), drop_last: bool = True) -> DataFrame:
+    """:func:`mini_batches` for several epochs in ONE ranking pass: rows are
+    repeated per epoch and ranked inside (split, epoch)."""
+    x = df.withColumn("epoch", F.explode(F.array(*[F.lit(int(e)) for e in epochs])))
+    x = x.withColumn("_grp", F.concat_ws("|", F.col(split_col), F.col("epoch").cast("string")))
+    shuffled = F.col(split_col).isin(list(shuffle_splits))
+    order = F.when(shuffled, hash_key(key, F.col("epoch"), F.lit(seed))).otherwise(F.lit(""))
+    ranked = rank_within(x, "_grp", [order, F.col(key)], "_pos")
+    sizes = x.groupBy("_grp").agg(F.count(F.lit(1)).alias("_n"))
+    out = ranked.join(F.broadcast(sizes), "_grp", "inner").withColumn(
+        "batch_id", F.floor(F.col("_pos") / batch_size).cast("bigint"))
+    if drop_last:
+        out = out.where(F.col("batch_id") < F.floor(F.col("_n") / batch_size))
+    return out.withColumn("position", F.col("_pos")).drop("_pos", "_n", "_grp")

@@ -10,8 +10,6 @@ Two scored tables stand in for the network's output:
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..constants import CENTER_MIX, TRIPLET_MIX
@@ -27,9 +25,7 @@ FEATS = td.TRAINING_FEATURES
 
 def batches(spark, sf_dir):
     a = split_assignment(spark, sf_dir)
-    parts = [S.mini_batches(a, "subject", "split", 12, epoch=e, seed=SEED)
-             .withColumn("epoch", F.lit(e)) for e in EPOCHS]
-    return reduce(lambda x, y: x.unionByName(y), parts)
+    return S.mini_batches_epochs(a, "subject", EPOCHS, "split", 12, seed=SEED)
 
 
 def scored(spark, sf_dir):

@@ -56,3 +56,13 @@ def test_class_weight_without_positives_is_null(spark):
     assert SC.class_weight(df, "y").first().class_weight is None
     df2 = spark.createDataFrame([(0,), (0,), (1,)], "y int")
     assert SC.class_weight(df2, "y").first().class_weight == 2.0
+
+
+def test_batches_for_several_epochs_equal_per_epoch_calls(spark):
+    df = spark.range(0, 61).select(F.col("id").alias("k"),
+                                   F.when(F.col("id") % 4 == 0, "val").otherwise("train").alias("split"))
+    both = S.mini_batches_epochs(df, "k", [0, 1], "split", 12)
+    for e in (0, 1):
+        one = S.mini_batches(df, "k", "split", 12, epoch=e).select("k", "split", "batch_id", "position")
+        got = both.where(F.col("epoch") == e).select("k", "split", "batch_id", "position")
+        assert one.exceptAll(got).count() == 0 and got.exceptAll(one).count() == 0
