@@ -177,3 +177,16 @@ def path_columns(df: DataFrame, base: str, key: str = "subject") -> DataFrame:
         "image_path": F.concat_ws("/", root, k, F.lit("image.nii.gz")),
     })
 
+
+
+def feature_group_tables(data: DataFrame, category_file: DataFrame,
+                         categories: Sequence[str]) -> dict[str, DataFrame]:
+    """``{category: data restricted to that category's columns}`` in data-column
+    order. The (category, feature) list is schema metadata (bounded by the number
+    of columns), so it is collected; the tables stay distributed projections."""
+    groups = feature_groups(category_file, data.columns, categories)
+    rows = _bounded_collect(groups, max(len(data.columns), 1) * max(len(categories), 1))
+    by_cat: dict[str, list] = {c: [] for c in categories}
+    for r in rows or []:
+        by_cat[r["category"]].append((r["position"], r["feature"]))
+    return {c: data.select(*[f for _, f in sorted(v)]) for c, v in by_cat.items()}

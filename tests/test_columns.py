@@ -68,3 +68,11 @@ def test_feature_groups_keep_data_order(spark):
     out = C.feature_groups(cats, ["x", "c", "a", "z"], ["demographics", "sleep", "life"]).collect()
     assert sorted((r.category, r.feature, r.position) for r in out) == [
         ("demographics", "a", 2), ("demographics", "c", 1), ("sleep", "z", 3)]
+
+
+def test_feature_group_tables(spark):
+    cats = spark.createDataFrame([("a", "z"), ("c", None)], "demographics string, sleep string")
+    data = spark.createDataFrame([(1, 2, 3, 4)], "x int, c int, a int, z int")
+    t = C.feature_group_tables(data, cats, ["demographics", "sleep", "life"])
+    assert t["demographics"].columns == ["c", "a"]
+    assert t["sleep"].columns == ["z"] and t["life"].columns == []
