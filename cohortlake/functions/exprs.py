@@ -5,7 +5,7 @@ Every function returns a ``Column``; none of them calls Python per row.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -104,13 +104,3 @@ def sentence(sex: Column, age: Column) -> Column:
     word = F.when(sex == 0, F.lit("female")).otherwise(F.lit("male"))
     return F.concat(F.lit("This subject is "), word, F.lit(" and "),
                     F.bround(age.cast("double"), 2).cast("string"), F.lit(" years old"))
-
-
-def path_of(base: str, *parts: str | Column, suffix: str = "") -> Column:
-    cols = [F.lit(base.rstrip("/"))] + [col_of(p).cast("string") for p in parts]
-    p = F.concat_ws("/", *cols)
-    return F.concat(p, F.lit(suffix)) if suffix else p
-
-
-def array_concat(*arrays: Sequence[str | Column]) -> Column:
-    return F.concat(*[col_of(a) for a in arrays])

@@ -68,11 +68,6 @@ def class_centers(emb: DataFrame, label: str = "label", vec: str = "embedding")
             .select(label, F.transform("_c", lambda s: s["v"]).alias("center")))
 
 
-def class_centers_long(emb: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
-    return (emb.select(label, F.posexplode(vec).alias("pos", "v"))
-            .groupBy(label, "pos").agg(F.avg(F.col("v").cast("double")).alias("center_value")))
-
-
 def center_loss(emb: DataFrame, centers: DataFrame, keys: Sequence[str], label: str = "label",
                 vec: str = "embedding", n_classes: int | Column | None = None) -> DataFrame:
     """Per group: ``sum(clamp(|x - c_y|^2, 1e-12, 1e12)) / n + (k-1) * 1e-12``.

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import scale as SC
 from ..session import shared_path
-from ..sources import io
 from . import composed as CP
 from . import testdata as td
 from .catalog import query, r6, with_cte
@@ -188,5 +187,3 @@ def q_weighted_classifier(spark, sf_dir):
     w = weight.select("class_weight").first()[0] or 1.0
     return CP.weighted_classifier(scaled, "target", td.TRAINING_FEATURES, w)
 
-
-_ = io  # sources are used by the flows above

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import agg, fill
 from . import testdata as td
 from .catalog import query, r6, with_cte

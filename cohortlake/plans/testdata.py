@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import hash_int
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,7 +118,3 @@ def logit_expr(key):
 
 
 LOGIT_SQL = "(CAST(subject % 11 AS DOUBLE) - 5.0) / 2.0 + (log_chars - 6.0) / 4.0"
-
-
-def seeded_int(*parts):
-    return hash_int(*parts)
