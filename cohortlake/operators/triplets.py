@@ -65,29 +65,33 @@ def _age_table(df: DataFrame, label: str, age: str) -> DataFrame:
 
 def _nearest(d: DataFrame, label: str, age: str, classes: list) -> DataFrame:
     """Per (label, age): distance to the nearest OTHER subject of the same class
-    (0 when the age is shared) and to the nearest subject of the negative class."""
+    (0 when the age is shared) and to the nearest subject of the negative class.
+
+    Both are windows partitioned by a class over the distinct-age table: lag/lead
+    inside the own class, and an as-of lookup (probe rows unioned with the target
+    class' ages) for the negative class.
+    """
     wc = Window.partitionBy(label).orderBy(age)
     own = F.when(F.col("cnt") > 1, F.lit(0.0)).otherwise(
         F.least(F.col(age) - F.lag(age).over(wc), F.lead(age).over(wc) - F.col(age)).cast("double"))
-    d = d.withColumn("d_pos", own)
-    # union-and-window over all classes' distinct ages (bounded by the age resolution)
-    wa = Window.orderBy(age, label)
-    before = wa.rowsBetween(Window.unboundedPreceding, 0)
-    after = wa.rowsBetween(0, Window.unboundedFollowing)
-    cols = {}
-    for i, c in enumerate(classes):
-        own_age = F.when(F.col(label) == F.lit(c), F.col(age))
-        cols[f"_prev{i}"] = F.last(own_age, ignorenulls=True).over(before)
-        cols[f"_next{i}"] = F.first(own_age, ignorenulls=True).over(after)
-    d = d.withColumns(cols)
     neg = _other_class_map(classes)
-    d = d.withColumn("neg_label", F.try_element_at(neg, F.col(label)))
-    prev_t = F.coalesce(*[F.when(F.col("neg_label") == F.lit(c), F.col(f"_prev{i}"))
-                          for i, c in enumerate(classes)], F.lit(None).cast("double"))
-    next_t = F.coalesce(*[F.when(F.col("neg_label") == F.lit(c), F.col(f"_next{i}"))
-                          for i, c in enumerate(classes)], F.lit(None).cast("double"))
-    d = d.withColumn("d_neg", F.least(F.col(age) - prev_t, next_t - F.col(age)).cast("double"))
-    return d.drop(*cols.keys())
+    d = d.withColumn("d_pos", own).withColumn("neg_label", F.try_element_at(neg, F.col(label)))
+    a = F.col(age).cast("double")
+    pts = d.select(F.col(label).alias("cls"), a.alias("value"), F.lit(0).alias("kind"),
+                   a.alias("pt"), F.lit(None).cast(d.schema[label].dataType).alias("o_label"))
+    probes = (d.where(F.col("neg_label").isNotNull())
+              .select(F.col("neg_label").alias("cls"), a.alias("value"), F.lit(1).alias("kind"),
+                      F.lit(None).cast("double").alias("pt"), F.col(label).alias("o_label")))
+    w = Window.partitionBy("cls").orderBy("value", "kind")
+    u = pts.unionByName(probes).select(
+        "o_label", "value", "kind",
+        F.last("pt", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_prev"),
+        F.first("pt", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_next"))
+    near = u.where(F.col("kind") == 1).select(
+        "o_label", F.col("value").alias("o_age"),
+        F.least(F.col("value") - F.col("_prev"), F.col("_next") - F.col("value")).cast("double").alias("d_neg"))
+    return (d.withColumn("o_label", F.col(label)).withColumn("o_age", a)
+            .join(near, ["o_label", "o_age"], "left").drop("o_label", "o_age"))
 
 
 def _count_lookup(d: DataFrame, probes: DataFrame, label: str, age: str) -> DataFrame:
