@@ -86,12 +86,14 @@ def q_common_subjects(spark, sf_dir):
     return out.select("subject", "visit", "label", r6("visit_age"), r6("t1_score"))
 
 
-@query("semi_join_subjects", P + """
+@query("semi_join_subjects", with_cte(v=td.VISITS_SQL, **PANELS_SQL) + """
 SELECT subject, visit, round(t1_score, 6) AS t1_score FROM t1
-WHERE subject IN (SELECT subject FROM fa WHERE visit = 1995 AND fa_n >= 2)""")
+WHERE subject IN (SELECT subject FROM v WHERE visit_age < 18)""")
 def q_semi_join_subjects(spark, sf_dir):
-    early = panel_orders(spark, sf_dir).where((F.col("visit") == 1995) & (F.col("fa_n") >= 2))
-    out = J.semi_join_subjects(panel_lineitem(spark, sf_dir), early)
+    """Imaging rows of subjects that have a tabular visit under 18 (the reference
+    semi-filters imaging on the subjects of the age-filtered tabular table)."""
+    tab = td.visits(spark, sf_dir).where(F.col("visit_age") < 18)
+    out = J.semi_join_subjects(panel_lineitem(spark, sf_dir), tab)
     return out.select("subject", "visit", r6("t1_score"))
 
 
@@ -130,11 +132,12 @@ def q_lookup_first_row(spark, sf_dir):
 
 
 @query("intersect_subjects", with_cte(v=td.VISITS_SQL, **PANELS_SQL) + """
-SELECT subject FROM v WHERE visit_age < 16 INTERSECT SELECT subject FROM t1 WHERE visit >= 2001""")
+SELECT subject FROM v WHERE visit_age < 18 INTERSECT SELECT subject FROM rsf WHERE rsf_score > 0.05""")
 def q_intersect_subjects(spark, sf_dir):
-    late = panel_lineitem(spark, sf_dir).where(F.col("visit") >= 2001)
-    early = td.visits(spark, sf_dir).where(F.col("visit_age") < 16)
-    return J.intersect_subjects(early, late)
+    """Subjects in both the age-filtered tabular table and an imaging panel."""
+    tab = td.visits(spark, sf_dir).where(F.col("visit_age") < 18)
+    img = panel_discount(spark, sf_dir).where(F.col("rsf_score") > 0.05)
+    return J.intersect_subjects(tab, img)
 
 
 @query("other_classes", """
