@@ -111,33 +111,54 @@ def _count_lookup(d: DataFrame, probes: DataFrame, label: str, age: str) -> Data
 def band_intervals(ages: DataFrame, label: str = "label", age: str = "age",
                    m0: float = 12.0, step: float = 6.0) -> DataFrame:
     """Age-level table: per (label, age) the final margins and the rank intervals
-    ``[lo, lo+size)`` of the positive and negative bands (self not removed)."""
+    ``[lo, lo+size)`` of the positive and negative bands (self not removed).
+
+    The band is counted with the reference's own comparisons
+    (``age > a - m`` and ``age < a + m``). With inexact (float) ages the margin
+    from the nearest distance can sit one rounding error short of a non-empty
+    band, so the band is also counted at ``m + step`` and the first non-empty
+    one is kept -- what the reference's loop would do.
+    """
     classes = _classes(ages, label)
     d = _nearest(_age_table(ages, label, age), label, age, classes)
-    d = d.withColumns({"pos_margin": final_margin(F.col("d_pos"), m0, step),
-                       "neg_margin": final_margin(F.col("d_neg"), m0, step)})
+    d = d.withColumns({"_pm": final_margin(F.col("d_pos"), m0, step),
+                       "_nm": final_margin(F.col("d_neg"), m0, step)})
     a = F.col(age).cast("double")
     lt = F.lit(-1)
     le = F.lit(1)
+    stp = F.lit(float(step))
 
     def probe(cls, value, kind, name):
         return d.select(cls.alias("cls"), value.alias("value"), kind.alias("kind"),
                         F.lit(name).alias("name"), F.col(label).alias("o_label"),
                         a.alias("o_age"))
-    probes = (probe(F.col(label), a - F.col("pos_margin"), le, "pos_lo")
-              .unionByName(probe(F.col(label), a + F.col("pos_margin"), lt, "pos_hi"))
-              .unionByName(probe(F.col("neg_label"), a - F.col("neg_margin"), le, "neg_lo"))
-              .unionByName(probe(F.col("neg_label"), a + F.col("neg_margin"), lt, "neg_hi"))
-              .where(F.col("value").isNotNull() & F.col("cls").isNotNull()))
+    specs = []
+    for tag, cls, m in (("pos", F.col(label), F.col("_pm")), ("neg", F.col("neg_label"), F.col("_nm"))):
+        for suffix, mm in (("0", m - stp), ("", m), ("2", m + stp)):
+            specs += [probe(cls, a - mm, le, f"{tag}_lo{suffix}"), probe(cls, a + mm, lt, f"{tag}_hi{suffix}")]
+    probes = specs[0]
+    for p in specs[1:]:
+        probes = probes.unionByName(p)
+    probes = probes.where(F.col("value").isNotNull() & F.col("cls").isNotNull())
+    names = [f"{t}_{e}{x}" for t in ("pos", "neg") for x in ("0", "", "2") for e in ("lo", "hi")]
     found = (_count_lookup(d, probes, label, age)
-             .groupBy("o_label", "o_age").pivot("name", ["pos_lo", "pos_hi", "neg_lo", "neg_hi"])
-             .agg(F.first("n_le")))
+             .groupBy("o_label", "o_age").pivot("name", names).agg(F.first("n_le")))
     out = (d.withColumn("o_label", F.col(label)).withColumn("o_age", a)
            .join(found, ["o_label", "o_age"], "left"))
-    return out.select(
-        label, age, "neg_label", "pos_margin", "neg_margin",
-        F.col("pos_lo"), (F.col("pos_hi") - F.col("pos_lo")).alias("pos_size"),
-        F.col("neg_lo"), (F.col("neg_hi") - F.col("neg_lo")).alias("neg_size"))
+    # The smallest non-empty band among m - step (only when m - step >= m0), m and
+    # m + step. The positive band always holds the anchor's own age, so
+    # "non-empty" means more than one member there.
+    cols = []
+    for tag, m, need in (("pos", F.col("_pm"), 1), ("neg", F.col("_nm"), 0)):
+        size = {x: F.col(f"{tag}_hi{x}") - F.col(f"{tag}_lo{x}") for x in ("0", "", "2")}
+        use0 = (m - stp >= F.lit(float(m0))) & (size["0"] > need)
+        use1 = size[""] > need
+        cols += [
+            F.when(m.isNull(), m).when(use0, m - stp).when(use1, m).otherwise(m + stp).alias(f"{tag}_margin"),
+            F.when(use0, F.col(f"{tag}_lo0")).when(use1, F.col(f"{tag}_lo"))
+             .otherwise(F.col(f"{tag}_lo2")).alias(f"{tag}_lo"),
+            F.when(use0, size["0"]).when(use1, size[""]).otherwise(size["2"]).alias(f"{tag}_size")]
+    return out.select(label, age, "neg_label", *cols)
 
 
 def _ranked(ages: DataFrame, key: str, label: str, age: str) -> DataFrame:

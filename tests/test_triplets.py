@@ -84,3 +84,36 @@ def test_candidates_in_band_counts(spark):
         pos = sum(1 for t in rows if t[1] == y and t[0] != s and abs(t[2] - a) < 6.0)
         neg = sum(1 for t in rows if t[1] != y and abs(t[2] - a) < 6.0)
         assert got[s] == (pos, neg)
+
+
+def _brute_loop(rows, m0, step, seed):
+    """The reference's literal loop on float ages (float comparisons)."""
+    out = {}
+    classes = sorted({r[1] for r in rows})
+    for s, y, a in rows:
+        res = {}
+        neg = [c for c in classes if c != y]
+        for kind, cls in (("pos", y), ("neg", neg[0])):
+            cands = [r for r in rows if r[1] == cls and r[0] != s]
+            m = m0
+            band = [r for r in cands if r[2] > a - m and r[2] < a + m]
+            while not band:
+                m += step
+                band = [r for r in cands if r[2] > a - m and r[2] < a + m]
+            band.sort(key=lambda r: (r[2], r[0]))
+            res[kind] = (m, len(band), band[_h(s, seed, kind) % len(band)][0])
+        out[s] = res
+    return out
+
+
+def test_float_ages_follow_the_reference_loop(spark):
+    rnd = random.Random(21)
+    rows = [(i, rnd.randint(0, 1), round(rnd.uniform(12.0, 20.0), 2)) for i in range(120)]
+    # ages exactly one or one and a half years apart stress the band edges
+    rows += [(200, 0, 13.1), (201, 0, 14.1), (202, 1, 14.6), (203, 1, 16.1), (204, 0, 17.3)]
+    df = spark.createDataFrame(rows, "subject int, label int, age double")
+    got = {r.subject: r for r in TR.age_band_triplets(df, m0=1.0, step=0.5, seed=9).collect()}
+    exp = _brute_loop(rows, 1.0, 0.5, 9)
+    for s, e in exp.items():
+        assert (got[s].pos_margin, got[s].pos_band_size, got[s].positive) == e["pos"], s
+        assert (got[s].neg_margin, got[s].neg_band_size, got[s].negative) == e["neg"], s
