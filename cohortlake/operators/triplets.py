@@ -108,6 +108,17 @@ def _count_lookup(d: DataFrame, probes: DataFrame, label: str, age: str) -> Data
     return u.where(F.col("name").isNotNull()).select("o_label", "o_age", "name", "n_le")
 
 
+def _probes(d: DataFrame, specs, label: str, a) -> DataFrame:
+    """All probe rows ``(cls, value, kind, name, o_label, o_age)`` from ONE pass
+    over the age table (explode of an array of structs, no union of copies)."""
+    arr = F.array(*[F.struct(cls.cast(d.schema[label].dataType).alias("cls"),
+                             value.cast("double").alias("value"), kind.cast("int").alias("kind"),
+                             F.lit(name).alias("name")) for cls, value, kind, name in specs])
+    return (d.select(F.col(label).alias("o_label"), a.alias("o_age"), F.explode(arr).alias("p"))
+            .select("p.cls", "p.value", "p.kind", "p.name", "o_label", "o_age")
+            .where(F.col("value").isNotNull() & F.col("cls").isNotNull()))
+
+
 def band_intervals(ages: DataFrame, label: str = "label", age: str = "age",
                    m0: float = 12.0, step: float = 6.0) -> DataFrame:
     """Age-level table: per (label, age) the final margins and the rank intervals
@@ -128,18 +139,11 @@ def band_intervals(ages: DataFrame, label: str = "label", age: str = "age",
     le = F.lit(1)
     stp = F.lit(float(step))
 
-    def probe(cls, value, kind, name):
-        return d.select(cls.alias("cls"), value.alias("value"), kind.alias("kind"),
-                        F.lit(name).alias("name"), F.col(label).alias("o_label"),
-                        a.alias("o_age"))
     specs = []
     for tag, cls, m in (("pos", F.col(label), F.col("_pm")), ("neg", F.col("neg_label"), F.col("_nm"))):
         for suffix, mm in (("0", m - stp), ("", m), ("2", m + stp)):
-            specs += [probe(cls, a - mm, le, f"{tag}_lo{suffix}"), probe(cls, a + mm, lt, f"{tag}_hi{suffix}")]
-    probes = specs[0]
-    for p in specs[1:]:
-        probes = probes.unionByName(p)
-    probes = probes.where(F.col("value").isNotNull() & F.col("cls").isNotNull())
+            specs += [(cls, a - mm, le, f"{tag}_lo{suffix}"), (cls, a + mm, lt, f"{tag}_hi{suffix}")]
+    probes = _probes(d, specs, label, a)
     names = [f"{t}_{e}{x}" for t in ("pos", "neg") for x in ("0", "", "2") for e in ("lo", "hi")]
     found = (_count_lookup(d, probes, label, age)
              .groupBy("o_label", "o_age").pivot("name", names).agg(F.first("n_le")))
@@ -202,13 +206,9 @@ def candidates_in_band(ages: DataFrame, margin: float, key: str = "subject",
     a = F.col(age).cast("double")
     m = F.lit(float(margin))
 
-    def probe(cls, value, kind, name):
-        return d.select(cls.alias("cls"), value.alias("value"), F.lit(kind).alias("kind"),
-                        F.lit(name).alias("name"), F.col(label).alias("o_label"), a.alias("o_age"))
     negc = F.try_element_at(neg, F.col(label))
-    probes = (probe(F.col(label), a - m, 1, "pos_lo").unionByName(probe(F.col(label), a + m, -1, "pos_hi"))
-              .unionByName(probe(negc, a - m, 1, "neg_lo")).unionByName(probe(negc, a + m, -1, "neg_hi"))
-              .where(F.col("cls").isNotNull()))
+    probes = _probes(d, [(F.col(label), a - m, F.lit(1), "pos_lo"), (F.col(label), a + m, F.lit(-1), "pos_hi"),
+                         (negc, a - m, F.lit(1), "neg_lo"), (negc, a + m, F.lit(-1), "neg_hi")], label, a)
     found = (_count_lookup(d, probes, label, age)
              .groupBy("o_label", "o_age").pivot("name", ["pos_lo", "pos_hi", "neg_lo", "neg_hi"])
              .agg(F.first("n_le")))
