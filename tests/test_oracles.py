@@ -58,3 +58,14 @@ def test_entry(spark):
     assert df.count() > 0
     assert df.columns == ["subject", "visit", "visit_age", "negative_valence_score", "priority",
                           "label", "error_sum"]
+
+
+def test_entry_module_loads_by_path():
+    import importlib.util
+    import os
+    path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "__spark_entry__.py")
+    spec = importlib.util.spec_from_file_location("entry_by_path", path)
+    mod = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(mod)
+    qs, sql = mod.queries(), mod.oracle_sql()
+    assert len(qs) == 79 and set(sql) <= set(qs) and len(sql) == 78
