@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import sys
+import types
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +43,30 @@ def text_or_empty(name: str) -> Column:
 def fold(doc_id: Column, modulus: int) -> Column:
     """``crc32(doc_id as text) mod modulus``; NULL for a null id."""
     return F.crc32(doc_id.cast("string")) % modulus
+
+
+def process_cache(name: str) -> dict:
+    """A dict that lives as long as the Python worker process (tasks of the same
+    worker share it)."""
+    holder = sys.modules.setdefault("_cohortlake_worker", types.ModuleType("_cohortlake_worker"))
+    return vars(holder).setdefault(name, {})
+
+
+def load_tokenizer(path: str):
+    """The ``tokenizers`` file at ``path``, once per process, single-threaded."""
+    cache = process_cache("tokenizers")
+    if path not in cache:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        cache[path] = tokenizer
+    return cache[path]
+
+
+def bounded(cache: dict, limit: int) -> dict:
+    """Empty a memo that has grown beyond ``limit`` entries."""
+    if len(cache) > limit:
+        cache.clear()
+    return cache
