@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_runs, mixture, packing, token_count, url_ratio
+from . import hnsw, line_runs, mixture, packing, simhash, token_count, url_ratio, voronoi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,21 @@ def op2_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_ratio.judge_urls(table(spark, sf_dir, "pages"))
 
 
+@query("op3_voronoi_topk", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+""")
+def op3_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.knn_join(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 @query("op4_token_count")
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
@@ -72,3 +87,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_source_mix")
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixed_words(table(spark, sf_dir, "documents"), weights=(1, 2, 3), repeat_limit=3)
+
+
+@query("op9_simhash")
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, radius=2)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
+@query("op10_near_vectors")
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)

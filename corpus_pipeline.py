@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlake.llm import line_runs, mixture, packing
+from cohortlake.llm import line_runs, mixture, packing, simhash
 from cohortlake.llm.common import save
 from cohortlake.llm.queries import tokenizer_path
 
@@ -15,6 +15,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return line_runs.dedup_lines(docs, min_docs=10).select(*docs.columns)
 
 
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints (3-word shingles) are within 2 bits, the one with the smallest id stays."""
+    return simhash.keep_one(docs, shingle_words=3, radius=2)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights 1, 2, 3: one row per document and pass that takes words of it."""
     return mixture.mixed_documents(docs)
@@ -27,6 +32,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("line dedup", drop_repeated_lines),
+    ("SimHash near-dedup", one_of_near_duplicates),
     ("source mix", mix),
     ("best-fit packing", pack),
 ]
