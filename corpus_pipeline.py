@@ -4,12 +4,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlake.llm import line_runs, mixture, packing, simhash
-from cohortlake.llm.common import save
+from cohortlake.llm import language_id, line_runs, mixture, packing, simhash
+from cohortlake.llm.common import fold, save
 from cohortlake.llm.queries import tokenizer_path
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter (``und``), or whose best language has a posterior below one half, go."""
+    learns = F.coalesce(fold(F.col("doc_id"), 3) != 1, F.lit(True))
+    found = language_id.identify(docs, tokenizer_path("piece_bpe_32k.model"), learns)
+    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= 0.5)).select(*docs.columns)
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten or more documents hold go; documents stay, if need be empty."""
     return line_runs.dedup_lines(docs, min_docs=10).select(*docs.columns)
@@ -31,6 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language ID", known_language),
     ("line dedup", drop_repeated_lines),
     ("SimHash near-dedup", one_of_near_duplicates),
     ("source mix", mix),
