@@ -12,6 +12,7 @@ are numbered in a distributed way and take the plan's places of that length.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,43 +23,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, load_tokenizer, process_cache, save
+from .common import load_tokenizer, process_cache, save
 
 BUCKETS = 256
-MEMO = 400_000
+
+
+#: Pre-token pattern of byte-level vocabularies (fixed value).
+BYTE_LEVEL = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
 def text_encoder(path: str):
-    """A function from a text to its ids (little-endian unsigned 32-bit bytes).
+    """A function from a text to its ids (little-endian unsigned 32-bit bytes), as the
+    ``tokenizers`` file at ``path`` gives them without added special tokens.
 
-    The byte-level pre-tokenizer never joins what stands on both sides of a single
-    blank or line feed, so words are encoded one by one (with their blank) and kept
-    in a memo. Texts with two adjacent white-space characters are cut only where a
-    single blank stands between other characters.
+    A byte-level BPE whose merges make their tokens in the order of the ids is run by
+    ranks, which gives the same ids several times as fast; texts that may hold special
+    strings, and other files, go to the library itself.
     """
-    import re
+    cache = process_cache("encoders")
+    if path in cache:
+        return cache[path]
     tokenizer = load_tokenizer(path)
-    first, later = process_cache(f"ids {path}"), process_cache(f"ids after blank {path}")
-    double, safe = re.compile(r"\s\s").search, re.compile(r"(?<=\S)(?= \S)").split
-
-    def learn(memo: dict, words: set[str], lead: str) -> None:
-        new = [w for w in words if w not in memo]
-        for w, e in zip(new, tokenizer.encode_batch([lead + w for w in new], add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+    spec = json.loads(tokenizer.to_str())
+    vocab, pre = spec["model"]["vocab"], spec["pre_tokenizer"] or {}
+    special = [t["content"] for t in spec["added_tokens"]]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    made = [vocab.get("".join(m), -1) for m in spec["model"].get("merges", [])]
+    ranked = (spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex")
+              and not pre.get("add_prefix_space") and made == sorted(made) and all(c in vocab for c in byte))
+
+    def by_library(text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    if not ranked:
+        cache[path] = by_library
+        return by_library
+    import tiktoken
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in special}
+    by_rank = tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> bytes:
-        bounded(first, MEMO)
-        bounded(later, MEMO)
-        if double(text):
-            head, *tail = safe(text)
-            tail = [t[1:] for t in tail]
-            learn(first, {head}, "")
-            learn(later, set(tail), " ")
-            return first[head] + b"".join(map(later.__getitem__, tail))
-        lines = [line.split(" ") for line in text.split("\n")]
-        learn(first, {line[0] for line in lines} | {"\n"}, "")
-        learn(later, {w for line in lines for w in line[1:]}, " ")
-        return first["\n"].join([first[line[0]] + b"".join(map(later.__getitem__, line[1:])) for line in lines])
+        if any(s in text for s in special):
+            return by_library(text)
+        return by_rank.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+    cache[path] = encode
     return encode
 
 
@@ -112,17 +121,15 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 
 def _best_fit(counts: np.ndarray, room: int) -> tuple[int, ...]:
     """The largest length that fits, again and again."""
-    left, filling = counts, []
-    used: dict[int, int] = {}
-    size = min(room, len(counts) - 1)
-    while size > 0 and room > 0:
-        if left[size] > used.get(size, 0):
-            filling.append(size)
-            used[size] = used.get(size, 0) + 1
-            room -= size
-            size = min(size, room)
-        else:
-            size -= 1
+    filling: list[int] = []
+    top = min(room, len(counts) - 1)
+    below = np.maximum.accumulate(np.where(counts[:top + 1] > 0, np.arange(top + 1), 0))  # largest one present
+    size = int(below[top])
+    while size:
+        times = min(room // size, int(counts[size]))
+        filling += [size] * times
+        room -= times * size
+        size = int(below[min(room, size - 1)])
     return tuple(filling)
 
 
@@ -150,41 +157,43 @@ def fillings(counts: np.ndarray, room: int, width: int = 4, depth: int = 4) -> l
         return [()]
     if room < len(counts) and counts[room]:
         return [(room,)]
-    sizes = np.flatnonzero(counts[:room + 1])[::-1]
-    sizes = sizes[sizes > 0]
     found = {_best_fit(counts, room)}
-    present = counts > 0
-
-    def fullest(limit: int, items: int, used: tuple[int, ...]) -> tuple[int, ...]:
-        """The fullest filling of ``limit`` by up to ``items`` items (first found among equals)."""
-        best: tuple[int, ...] = ()
-        tried = 0
-        for s in sizes[np.searchsorted(-sizes, -limit):]:
-            s = int(s)
-            if counts[s] <= used.count(s):
-                continue
-            rest = limit - s
-            if items == 1 or rest == 0:
-                return (s,) if s > sum(best) else best
-            if items == 2:
-                t = rest
-                while t > 0 and not (present[t] and counts[t] > (used + (s,)).count(t)):
-                    t -= 1
-                option = (s, t) if t > 0 else (s,)
-            else:
-                option = (s,) + fullest(rest, items - 1, used + (s,))
-            if sum(option) > sum(best):
-                best = option
-            tried += 1
-            if sum(best) == limit or tried >= 24:
+
+    def fullest(c: np.ndarray, limit: int, items: int, top: int) -> tuple[int, ...]:
+        """The fullest filling of ``limit`` by up to ``items`` lengths of at most ``top``
+        (the first found among equals)."""
+        top = min(top, limit)
+        if top <= 0:
+            return ()
+        below = np.maximum.accumulate(np.where(c[:top + 1] > 0, np.arange(top + 1), 0))  # largest one present
+        if items == 1 or below[top] == 0:
+            return (int(below[top]),) if below[top] else ()
+        if items == 2:
+            first = np.flatnonzero(c[:top + 1] > 0)
+            first = first[first > 0]
+            rest = np.minimum(limit - first, top)
+            second = below[rest]
+            alone = (second == first) & (c[first] < 2)
+            second[alone] = below[first[alone] - 1]
+            best = int(np.argmax((first + second)[::-1]))
+            one, two = int(first[::-1][best]), int(second[::-1][best])
+            return (one, two) if two else (one,)
+        best, size = (), int(below[top])
+        for _ in range(16 if items == 3 else 4):
+            if size == 0 or sum(best) == limit:
                 break
+            c[size] -= 1
+            option = (size, *fullest(c, limit - size, items - 1, size))
+            c[size] += 1
+            best = option if sum(option) > sum(best) else best
+            size = int(below[size - 1])
         return best
 
     for items in range(1, depth + 1):
-        f = fullest(room, items, ())
+        f = fullest(counts, room, items, room)
         if f:
             found.add(tuple(sorted(f, reverse=True)))
-    ranked = sorted(found, key=lambda f: (room - sum(f), len(f), tuple(-x for x in f)))
+    ranked = sorted(found, key=lambda f: (room - sum(f), tuple(-x for x in f)))  # small lengths are kept for later
     kept: list[tuple[int, ...]] = []
     for f in ranked:
         if not any(_dominates(g, f) for g in kept):
@@ -192,7 +201,7 @@ def fillings(counts: np.ndarray, room: int, width: int = 4, depth: int = 4) -> l
     return kept[:width]
 
 
-def pack_counts(counts: np.ndarray, capacity: int, node_limit: int = 20_000) -> list[tuple[tuple[int, ...], int]]:
+def pack_counts(counts: np.ndarray, capacity: int, node_limit: int = 2_000) -> list[tuple[tuple[int, ...], int]]:
     """Fillings with multiplicities that use up ``counts`` (index: length).
 
     Depth-first branch and bound; ``node_limit`` bounds the nodes, after which the
@@ -270,7 +279,7 @@ def place_table(plan: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "times", "base", "offset"]).astype("int64").sort_values(["length", "first"])
 
 
-def assign_sequences(pieces: DataFrame, capacity: int = 1024, node_limit: int = 20_000) -> DataFrame:
+def assign_sequences(pieces: DataFrame, capacity: int = 1024, node_limit: int = 2_000) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to ``pieces`` (columns ``doc_id, piece, length, ids_crc32``)."""
     histogram = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most `capacity` rows
     counts = np.zeros(capacity + 1, dtype=np.int64)
@@ -303,7 +312,7 @@ def assign_sequences(pieces: DataFrame, capacity: int = 1024, node_limit: int =
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id",
-                   text_col: str = "text", with_ids: bool = False, node_limit: int = 20_000) -> DataFrame:
+                   text_col: str = "text", with_ids: bool = False, node_limit: int = 2_000) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset``.
 
     Offsets are gapless from 0 and no sequence holds more than ``capacity`` ids. A

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,7 @@ def word_counter(path: str, whole: frozenset[str]):
 
     def count(words: list[bytes]) -> list[int]:
         out, rest, at = [0] * len(words), [], []
+        merged, owner = [], []
         for i, word in enumerate(words):
             text = word.decode("utf-8")
             if "<|" in text or not plain(text):
@@ -66,9 +68,13 @@ def word_counter(path: str, whole: frozenset[str]):
                 if token in whole:
                     n += 1
                 else:
-                    rest.append(token)
-                    at.append(i)
+                    merged.append(token)
+                    owner.append(i)
             out[i] = n
+        if merged:  # pre-tokens with blanks between them; the library numbers them
+            lengths = np.bincount(tokenizer.encode(" ".join(merged), add_special_tokens=False).word_ids, minlength=len(merged))
+            for i, n in zip(owner, lengths.tolist(), strict=True):
+                out[i] += n
         for i, e in zip(at, tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
             out[i] += len(e.ids)
         return out
