@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, language_id, line_runs, mixture, packing, simhash, token_count, url_ratio, voronoi
+from . import hnsw, language_id, line_runs, mixing_lm, mixture, packing, simhash, token_count, url_ratio, voronoi
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_context_mixing")
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(F.col("doc_id"), 7) == 2, F.lit(False))
+    scores = mixing_lm.score_documents(docs, ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op2_url_ratio")
 def op2_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_ratio.judge_urls(table(spark, sf_dir, "pages"))
