@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, save, text_or_empty
+from .common import BLANKS, ascii_lower, free_names, save, text_or_empty
 
 
 def line_key(line: Column) -> Column:
@@ -90,15 +90,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # flags 0 and 1 for each line up to the last dropped one, built from the gaps
     gaps = F.transform("_pos", lambda p, i: F.concat(
         F.repeat(F.lit("0"), (p - F.when(i > 0, F.get("_pos", i - 1)).otherwise(-1) - 1).cast("int")), F.lit("1")))
-    drops = drops.select("_id", "_hash", F.array_join(gaps, "").alias("_flags"))
+    i, k, flags = free_names(docs, "_id", "_hash", "_flags")
+    drops = drops.select(F.col("_id").alias(i), F.col("_hash").alias(k), F.array_join(gaps, "").alias(flags))
 
     x = docs.drop(*[c for c in ("n_lines", "n_dropped") if c in docs.columns])
     columns = x.columns
-    joined = x.join(drops.hint("shuffle_hash"), x[id_col].eqNullSafe(drops["_id"])
-                    & (F.xxhash64(x[text_col]) == drops["_hash"]), "left")
+    joined = x.join(drops.hint("shuffle_hash"), x[id_col].eqNullSafe(drops[i])
+                    & (F.xxhash64(x[text_col]) == drops[k]), "left")
     split = F.split(text_or_empty(text_col), "\n")
-    flagged = F.zip_with(split, F.split(F.col("_flags"), ""), lambda line, flag: F.when(F.coalesce(flag, F.lit("0")) == "0", line))
-    kept = F.when(F.col("_flags").isNull(), text_or_empty(text_col)).otherwise(F.array_join(flagged, "\n"))
-    dropped = F.coalesce(F.length(F.replace("_flags", F.lit("0"), F.lit(""))), F.lit(0)).cast("long")
+    flagged = F.zip_with(split, F.split(F.col(flags), ""), lambda line, flag: F.when(F.coalesce(flag, F.lit("0")) == "0", line))
+    kept = F.when(F.col(flags).isNull(), text_or_empty(text_col)).otherwise(F.array_join(flagged, "\n"))
+    dropped = F.coalesce(F.length(F.replace(flags, F.lit("0"), F.lit(""))), F.lit(0)).cast("long")
     return joined.select(*[kept.alias(c) if c == text_col else c for c in columns],
                          F.size(split).cast("long").alias("n_lines"), dropped.alias("n_dropped"))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, save
+from .common import WORD, free_names, save
 
 BUCKETS = 1024
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -243,12 +243,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = Window.partitionBy("doc_id", "source_no", "text_hash").orderBy("start")
     takes = (d.withColumn("_copy", F.row_number().over(same)).join(spans, ["source_no", "start"])
              .select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"),
-                     "_copy", "size", "_spans", "_taken"))
-    x = docs.withColumn("_h", F.xxhash64(text_col))
-    x = x.withColumn("_n", F.row_number().over(Window.partitionBy(id_col, source_col, "_h").orderBy(F.lit(0))))
+                     "_copy", F.struct("size", "_spans", "_taken").alias("_take")))
+    names = ["_id", "_source", "_hash", "_copy", "_take"]
+    new = free_names(docs, "_h", "_n", *names)
+    h, n, renamed = new[0], new[1], dict(zip(names, new[2:], strict=True))
+    takes = takes.withColumnsRenamed(renamed)
+    x = docs.withColumn(h, F.xxhash64(text_col))
+    x = x.withColumn(n, F.row_number().over(Window.partitionBy(id_col, source_col, h).orderBy(F.lit(0))))
+    take = F.col(renamed["_take"])
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
-    parts = F.transform("_spans", lambda s: F.slice(words, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))
-    text = F.when(F.col("_taken") == F.col("size"), F.col(text_col)).otherwise(F.array_join(F.flatten(parts), " "))
-    joined = x.join(takes, x[id_col].eqNullSafe(takes["_id"]) & x[source_col].eqNullSafe(takes["_source"])
-                    & (x["_h"] == takes["_hash"]) & (x["_n"] == takes["_copy"]))
+    parts = F.transform(take["_spans"], lambda s: F.slice(words, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))
+    text = F.when(take["_taken"] == take["size"], F.col(text_col)).otherwise(F.array_join(F.flatten(parts), " "))
+    joined = x.join(takes, x[id_col].eqNullSafe(takes[renamed["_id"]]) & x[source_col].eqNullSafe(takes[renamed["_source"]])
+                    & (x[h] == takes[renamed["_hash"]]) & (x[n] == takes[renamed["_copy"]]))
     return joined.select(*[text.alias(c) if c == text_col else x[c] for c in docs.columns])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import free_names, save
 from .components import connected_components, local_roots
 
 BLOCK_ROWS = 65_536
@@ -206,7 +206,8 @@ def keep_one(docs: DataFrame, shingle_words: int = 3, radius: int = 2, id_col: s
     group = F.when(F.col("component_id").isNull(), F.col("fp"))
     kept = fps.groupBy("component_id", group.alias("_g")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    x = docs.withColumn("_h", F.xxhash64(text_col))
-    return (x.join(kept, x[id_col].eqNullSafe(kept["_id"]) & (x["_h"] == kept["_hash"]), "left_semi")
-            .dropDuplicates([id_col, "_h"]).drop("_h"))
+    i, k, h = free_names(docs, "_id", "_hash", "_h")
+    kept = kept.select(F.col("k.doc_id").alias(i), F.col("k.text_hash").alias(k))
+    x = docs.withColumn(h, F.xxhash64(text_col))
+    return (x.join(kept, x[id_col].eqNullSafe(kept[i]) & (x[h] == kept[k]), "left_semi")
+            .dropDuplicates([id_col, h]).drop(h))
