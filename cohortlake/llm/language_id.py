@@ -26,8 +26,9 @@ from .common import process_cache, save
 
 MARK = "▁"
 UNKNOWN = 1e-7  # probability of a character that is no piece
+LONG = 1_000      # characters of a word at once
 CHUNK = 32      # longer words are cut, so that products stay in range
-MEMO = 300_000
+MEMO = 500_000   # tokens, and words, that a worker remembers
 UNDETERMINED = "und"
 
 
@@ -40,14 +41,72 @@ def load_pieces(path: str) -> list[str]:
 
 
 def letter_words(token: str) -> list[str]:
-    """Runs of letters in a blank-separated token, lower case."""
-    return [w for w in re.findall(r"[^\W\d_]+", token.lower()) if any(map(str.isalpha, w))]
+    """Runs of letters in a blank-separated token, lower case, in parts of ``LONG`` characters."""
+    token = token.lower()
+    if token.isalpha() and len(token) <= LONG:
+        return [token]
+    return [w[i:i + LONG] for w in re.findall(r"[^\W\d_]+", token) if any(map(str.isalpha, w)) for i in range(0, len(w), LONG)]
+
+
+class Trie:
+    """Pieces by their characters: a hash table from (node, character) to node."""
+
+    BITS = 20
+    PROBES = 8
+
+    def __init__(self, pieces: list[str]):
+        self.unknown = len(pieces)
+        nodes, keys, targets = {"": 0}, [], []
+        for piece in pieces:
+            for j in range(1, len(piece) + 1):
+                if piece[:j] not in nodes:
+                    nodes[piece[:j]] = len(nodes)
+                    keys.append(nodes[piece[:j - 1]] << 21 | ord(piece[j - 1]))
+                    targets.append(nodes[piece[:j]])
+        self.piece = np.full(len(nodes), -1, dtype=np.int64)
+        for k, piece in enumerate(pieces):
+            self.piece[nodes[piece]] = k
+        bits, probes = self.BITS, 2 * self.PROBES
+        while probes > self.PROBES:  # a larger table until every key is near its slot
+            slots = np.full((1 << bits) + 4 * self.PROBES, -1, dtype=np.int64)
+            probes = 0
+            for key, at in zip(keys, self._slot(np.array(keys, dtype=np.int64), bits).tolist(), strict=True):
+                first = at
+                while slots[at] >= 0 and at - first <= self.PROBES:
+                    at += 1
+                slots[at] = key
+                probes = max(probes, at - first + 1)
+            bits += 1
+        self.bits, self.probes, self.keys = bits - 1, probes, slots
+        self.targets = np.zeros(len(slots), dtype=np.int64)
+        of = dict(zip(keys, targets, strict=True))
+        on = np.flatnonzero(slots >= 0)
+        self.targets[on] = [of[k] for k in slots[on].tolist()]
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The next node, -1 without one."""
+        key = node << 21 | char
+        slot, out = self._slot(key, self.bits), np.full(len(node), -1, dtype=np.int64)
+        left = np.arange(len(node))
+        for k in range(self.probes):
+            there = self.keys[slot[left] + k]
+            hit = there == key[left]
+            out[left[hit]] = self.targets[slot[left[hit]] + k]
+            left = left[~hit & (there >= 0)]
+            if not len(left):
+                break
+        return out
 
 
 class Lattice:
     """All pieces of many words: arrays of (word, begin, end, piece)."""
 
-    def __init__(self, words: list[str], prefixes: dict[str, int], unknown: int):
+    def __init__(self, words: list[str], trie: Trie):
         chunks, owner = [], []
         for k, word in enumerate(words):
             marked = MARK + word
@@ -56,22 +115,27 @@ class Lattice:
                 owner.append(k)
         self.owner = np.array(owner, dtype=np.int64)
         self.lengths = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
-        w, b, e, p = [], [], [], []
-        get = prefixes.get
-        for k, chunk in enumerate(chunks):
-            size = len(chunk)
-            for i in range(size):
-                alone = True
-                for j in range(i + 1, size + 1):
-                    piece = get(chunk[i:j])
-                    if piece is None:
-                        break
-                    if piece >= 0:
-                        w.append(k), b.append(i), e.append(j), p.append(piece)
-                        alone = alone and j != i + 1
-                if alone:
-                    w.append(k), b.append(i), e.append(i + 1), p.append(unknown)
-        self.word, self.begin, self.end, self.piece = (np.array(x, dtype=np.int64) for x in (w, b, e, p))
+        char = np.frombuffer("".join(chunks).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(chunks)), self.lengths)
+        stop = np.cumsum(self.lengths)
+        first = (stop - self.lengths)[word]
+        active, node, found = np.arange(len(char)), np.zeros(len(char), dtype=np.int64), []
+        alone = np.ones(len(char), dtype=bool)  # characters that are no piece
+        depth = 0
+        while len(active):
+            node = trie.step(node, char[active + depth])
+            active, node = active[node >= 0], node[node >= 0]
+            depth += 1
+            piece = trie.piece[node]
+            on = active[piece >= 0]
+            found.append((word[on], on - first[on], on - first[on] + depth, piece[piece >= 0]))
+            if depth == 1:
+                alone[on] = False
+            inside = active + depth < stop[word[active]]
+            active, node = active[inside], node[inside]
+        on = np.flatnonzero(alone)
+        found.append((word[on], on - first[on], on - first[on] + 1, np.full(len(on), trie.unknown, dtype=np.int64)))
+        self.word, self.begin, self.end, self.piece = (np.concatenate(x) for x in zip(*found, strict=True))
 
     def forward(self, weight: np.ndarray) -> np.ndarray:
         """Sums of the weights [edge, g] over all segmentations: [chunk, position, g]."""
@@ -100,16 +164,6 @@ class Lattice:
         return alpha[np.arange(len(self.lengths)), self.lengths]
 
 
-def _prefixes(pieces: list[str]) -> dict[str, int]:
-    """Every prefix of a piece: the piece's number, or -1 for a mere prefix."""
-    out: dict[str, int] = {}
-    for k, piece in enumerate(pieces):
-        for j in range(1, len(piece)):
-            out.setdefault(piece[:j], -1)
-        out[piece] = k
-    return out
-
-
 def count_words(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
     """``(lang, word, n)`` of all rows with a text and a label."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,14 +194,14 @@ def count_words(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
 
 def learn(docs: DataFrame, path: str, text_col: str = "text", label_col: str = "lang", rounds: int = 2,
           smooth: float = 200.0) -> dict:
-    """A model from labelled rows: languages, priors, pieces, and log-free piece
+    """A model from labelled rows: languages, log priors, pieces, and piece
     probabilities [piece, language] (the last row: unknown characters).
 
     A language's probabilities are its expected counts plus ``smooth`` counts spread
     as in all languages together.
     """
     pieces = load_pieces(path)
-    prefixes, unknown = _prefixes(pieces), len(pieces)
+    trie, unknown = Trie(pieces), len(pieces)
     words = save(count_words(docs, text_col, label_col), "language-words")
     sizes = sorted((r["lang"], r["n"]) for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect())
     langs = [lang for lang, _ in sizes]
@@ -155,15 +209,15 @@ def learn(docs: DataFrame, path: str, text_col: str = "text", label_col: str = "
     theta[unknown] = UNKNOWN
     number = {lang: g for g, lang in enumerate(langs)}
     for _ in range(rounds if langs else 0):
-        shared = words.sparkSession.sparkContext.broadcast((prefixes, theta, number))
+        shared = words.sparkSession.sparkContext.broadcast((trie, theta, number))
 
         def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            table, prob, numbers = shared.value
+            tree, prob, numbers = shared.value
             total = np.zeros(prob.shape)
             for batch in batches:
                 for at in range(0, len(batch), 20_000):
                     part = batch.iloc[at:at + 20_000]
-                    lattice = Lattice(part["word"].tolist(), table, unknown)
+                    lattice = Lattice(part["word"].tolist(), tree)
                     lang = part["lang"].map(numbers).to_numpy()[lattice.owner]
                     n = part["n"].to_numpy(dtype=float)[lattice.owner]
                     weight = prob[lattice.piece, lang[lattice.word]][:, None]
@@ -181,7 +235,7 @@ def learn(docs: DataFrame, path: str, text_col: str = "text", label_col: str = "
         theta[:unknown] = (expected + smooth * pool[:, None]) / (expected.sum(0) + smooth)
         shared.unpersist()
     n = np.array([n for _, n in sizes], dtype=float)
-    return {"langs": langs, "prior": np.log((n + 1) / (n + 1).sum()) if langs else n, "pieces": pieces, "theta": theta}
+    return {"langs": langs, "prior": np.log((n + 1) / (n + 1).sum()) if langs else n, "trie": trie, "theta": theta}
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
@@ -197,34 +251,46 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        langs, unknown = m["langs"], len(m["pieces"])
+        langs = m["langs"]
         memo = process_cache("languages " + m["id"])
-        if not memo:
-            memo.update(prefixes=_prefixes(m["pieces"]), rows={}, table=np.zeros((MEMO + 1, len(langs) + 1)))
-        prefixes, rows, table = memo["prefixes"], memo["rows"], memo["table"]
-
-        def learn_tokens(tokens: list[str]) -> None:
-            """Sums of the log probabilities of the tokens' words, and whether they have a letter."""
-            found = [(k, w) for k, token in enumerate(tokens) for w in letter_words(token)]
-            values = np.zeros((len(tokens), len(langs) + 1))
-            for at in range(0, len(found), 20_000):
-                part = found[at:at + 20_000]
-                lattice = Lattice([w for _, w in part], prefixes, unknown)
-                logs = np.log(lattice.totals(lattice.forward(m["theta"][lattice.piece])))
-                token = np.array([k for k, _ in part], dtype=np.int64)[lattice.owner]
-                np.add.at(values[:, :-1], token, logs)
-                values[token, -1] = 1
+        if not memo:  # tokens and words to their rows: sums of log probabilities, and whether they have a letter
+            memo.update(tokens={}, of_tokens=np.zeros((MEMO, len(langs) + 1)), words={}, of_words=np.zeros((MEMO, len(langs) + 1)))
+        rows, table, words, word_table = memo["tokens"], memo["of_tokens"], memo["words"], memo["of_words"]
+
+        def learn_words(new: list[str]) -> None:
+            for at in range(0, len(new), 20_000):
+                part = new[at:at + 20_000]
+                lattice = Lattice(part, m["trie"])
+                values = np.zeros((len(part), len(langs) + 1))
+                np.add.at(values[:, :-1], lattice.owner, np.log(lattice.totals(lattice.forward(m["theta"][lattice.piece]))))
+                values[:, -1] = 1
+                first = len(words)
+                word_table[first:first + len(part)] = values
+                words.update(zip(part, range(first, first + len(part)), strict=True))
+
+        def learn_tokens(new: list[str]) -> None:
+            found = [letter_words(token) for token in new]
+            flat, owner = [w for ws in found for w in ws], np.repeat(np.arange(len(new)), [len(ws) for ws in found])
+            values = np.zeros((len(new), len(langs) + 1))
+            for at in range(0, len(flat), MEMO // 2):
+                some = flat[at:at + MEMO // 2]
+                missing = set(some).difference(words)
+                if len(words) + len(missing) > MEMO:
+                    words.clear()
+                    missing = set(some)
+                learn_words(list(missing))
+                np.add.at(values, owner[at:at + MEMO // 2], word_table[[words[w] for w in some]])
             first = len(rows)
-            table[first:first + len(tokens)] = values
-            rows.update(zip(tokens, range(first, first + len(tokens)), strict=True))
+            table[first:first + len(new)] = values
+            rows.update(zip(new, range(first, first + len(new)), strict=True))
 
         for batch in batches:
             names, scores = [], []
             for text in batch.column(place).cast(pa.string()).to_pylist():
                 tokens = (text or "").split()
                 s = np.zeros(len(langs) + 1)
-                for at in range(0, len(tokens), 100_000):
-                    part = tokens[at:at + 100_000]
+                for at in range(0, len(tokens), MEMO // 8):
+                    part = tokens[at:at + MEMO // 8]
                     if new := list(set(part).difference(rows)):
                         if len(rows) + len(new) > MEMO:  # the memo is emptied: learn all of this part anew
                             new = list(set(part))

@@ -27,13 +27,28 @@ def total(word, theta):
 def test_forward_and_backward_sum_all_segmentations():
     theta = np.random.default_rng(0).random((len(PIECES) + 1, 2))
     words = ["abc", "a", "bbabab", "zab"]
-    lattice = language_id.Lattice(words, language_id._prefixes(PIECES), len(PIECES))
+    lattice = language_id.Lattice(words, language_id.Trie(PIECES))
     weight = theta[lattice.piece]
     alpha, beta = lattice.forward(weight), lattice.backward(weight)
     want = [[total(w, theta[:, g]) for g in (0, 1)] for w in words]
     assert np.allclose(lattice.totals(alpha), want) and np.allclose(beta[:, 0], want)
 
 
+def test_trie_finds_every_piece():
+    pieces = language_id.load_pieces(PATH)
+    trie, words = language_id.Trie(pieces), ["straßenbahn", "日本語の", "the", "é"]
+    lattice = language_id.Lattice(words, trie)
+    want = set()
+    for k, w in enumerate("▁" + w for w in words):
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                if w[i:j] in pieces:
+                    want.add((k, i, j, pieces.index(w[i:j])))
+    got = set(zip(lattice.word.tolist(), lattice.begin.tolist(), lattice.end.tolist(), lattice.piece.tolist()))
+    assert {g for g in got if g[3] < len(pieces)} == want
+    assert all(g[2] == g[1] + 1 for g in got - want)
+
+
 def test_held_out_accuracy_and_odd_rows(docs, no_docs):
     d = docs.select("doc_id", "text", "lang", "score")
     learns = F.coalesce(fold(F.col("doc_id"), 3) != 1, F.lit(True))
