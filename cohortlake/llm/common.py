@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import types
@@ -31,6 +32,13 @@ def save(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Let go of shuffle files of finished jobs: Spark removes them when the driver
+    has collected its garbage, which may be long after they are of use."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)
