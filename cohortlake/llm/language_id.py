@@ -19,16 +19,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import process_cache, save
 
 MARK = "▁"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 UNKNOWN = 1e-7  # probability of a character that is no piece
 LONG = 1_000      # characters of a word at once
 CHUNK = 32      # longer words are cut, so that products stay in range
-MEMO = 500_000   # tokens, and words, that a worker remembers
+WORDS = 3_000      # words whose lattices are built together
+MEMO = 300_000    # words that a worker remembers
 UNDETERMINED = "und"
 
 
@@ -43,8 +46,9 @@ def load_pieces(path: str) -> list[str]:
 def letter_words(token: str) -> list[str]:
     """Runs of letters in a blank-separated token, lower case, in parts of ``LONG`` characters."""
     token = token.lower()
-    if token.isalpha() and len(token) <= LONG:
-        return [token]
+    inner = token.strip(PUNCTUATION)
+    if inner.isalpha() and len(inner) <= LONG:
+        return [inner]
     return [w[i:i + LONG] for w in re.findall(r"[^\W\d_]+", token) if any(map(str.isalpha, w)) for i in range(0, len(w), LONG)]
 
 
@@ -167,24 +171,18 @@ class Lattice:
 def count_words(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
     """``(lang, word, n)`` of all rows with a text and a label."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, Counter] = {}
-
-        def rows() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for lang, tokens in kept.items():
-                for token, n in tokens.items():
-                    for word in letter_words(token):
-                        words[lang, word] += n
-            kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in words], pa.string()), pa.array([k[1] for k in words], pa.string()),
-                                               pa.array(words.values(), pa.int64())], names=["lang", "word", "n"])
-
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                kept.setdefault(lang, Counter()).update(text.split())
-                if sum(map(len, kept.values())) > MEMO:
-                    yield rows()
-        yield rows()
+            for start in range(0, batch.num_rows, 8192):
+                part = batch.slice(start, 8192)
+                for lang in pc.unique(part.column(1)).to_pylist():
+                    texts = part.column(0).filter(pc.equal(part.column(1), lang))
+                    tokens = pc.value_counts(pc.utf8_split_whitespace(texts).flatten())
+                    words: Counter = Counter()
+                    for token, n in zip(tokens.field("values").to_pylist(), tokens.field("counts").to_pylist(), strict=True):
+                        for word in letter_words(token):
+                            words[word] += n
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words.keys(), pa.string()),
+                                                      pa.array(words.values(), pa.int64())], names=["lang", "word", "n"])
 
     x = docs.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang"))
     x = x.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -215,8 +213,8 @@ def learn(docs: DataFrame, path: str, text_col: str = "text", label_col: str = "
             tree, prob, numbers = shared.value
             total = np.zeros(prob.shape)
             for batch in batches:
-                for at in range(0, len(batch), 20_000):
-                    part = batch.iloc[at:at + 20_000]
+                for at in range(0, len(batch), WORDS):
+                    part = batch.iloc[at:at + WORDS]
                     lattice = Lattice(part["word"].tolist(), tree)
                     lang = part["lang"].map(numbers).to_numpy()[lattice.owner]
                     n = part["n"].to_numpy(dtype=float)[lattice.owner]
@@ -253,25 +251,25 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
         m = shared.value
         langs = m["langs"]
         memo = process_cache("languages " + m["id"])
-        if not memo:  # tokens and words to their rows: sums of log probabilities, and whether they have a letter
-            memo.update(tokens={}, of_tokens=np.zeros((MEMO, len(langs) + 1)), words={}, of_words=np.zeros((MEMO, len(langs) + 1)))
-        rows, table, words, word_table = memo["tokens"], memo["of_tokens"], memo["words"], memo["of_words"]
+        if not memo:  # words to rows of their log probabilities
+            memo.update(words={}, table=np.zeros((MEMO, len(langs))))
+        words, table = memo["words"], memo["table"]
 
         def learn_words(new: list[str]) -> None:
-            for at in range(0, len(new), 20_000):
-                part = new[at:at + 20_000]
+            for at in range(0, len(new), WORDS):
+                part = new[at:at + WORDS]
                 lattice = Lattice(part, m["trie"])
-                values = np.zeros((len(part), len(langs) + 1))
-                np.add.at(values[:, :-1], lattice.owner, np.log(lattice.totals(lattice.forward(m["theta"][lattice.piece]))))
-                values[:, -1] = 1
+                values = np.zeros((len(part), len(langs)))
+                np.add.at(values, lattice.owner, np.log(lattice.totals(lattice.forward(m["theta"][lattice.piece]))))
                 first = len(words)
-                word_table[first:first + len(part)] = values
+                table[first:first + len(part)] = values
                 words.update(zip(part, range(first, first + len(part)), strict=True))
 
-        def learn_tokens(new: list[str]) -> None:
-            found = [letter_words(token) for token in new]
-            flat, owner = [w for ws in found for w in ws], np.repeat(np.arange(len(new)), [len(ws) for ws in found])
-            values = np.zeros((len(new), len(langs) + 1))
+        def token_sums(tokens: list[str]) -> np.ndarray:
+            """Sums over the words of each token, and how many there are."""
+            found = [letter_words(token) for token in tokens]
+            flat, owner = [w for ws in found for w in ws], np.repeat(np.arange(len(tokens)), [len(ws) for ws in found])
+            out = np.zeros((len(tokens), len(langs) + 1))
             for at in range(0, len(flat), MEMO // 2):
                 some = flat[at:at + MEMO // 2]
                 missing = set(some).difference(words)
@@ -279,32 +277,30 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                     words.clear()
                     missing = set(some)
                 learn_words(list(missing))
-                np.add.at(values, owner[at:at + MEMO // 2], word_table[[words[w] for w in some]])
-            first = len(rows)
-            table[first:first + len(new)] = values
-            rows.update(zip(new, range(first, first + len(new)), strict=True))
+                np.add.at(out[:, :-1], owner[at:at + MEMO // 2], table[[words[w] for w in some]])
+            out[:, -1] = np.bincount(owner, minlength=len(tokens))
+            return out
 
         for batch in batches:
             names, scores = [], []
-            for text in batch.column(place).cast(pa.string()).to_pylist():
-                tokens = (text or "").split()
-                s = np.zeros(len(langs) + 1)
-                for at in range(0, len(tokens), MEMO // 8):
-                    part = tokens[at:at + MEMO // 8]
-                    if new := list(set(part).difference(rows)):
-                        if len(rows) + len(new) > MEMO:  # the memo is emptied: learn all of this part anew
-                            new = list(set(part))
-                            rows.clear()
-                        learn_tokens(new)
-                    s += table[np.fromiter(map(rows.__getitem__, part), dtype=np.int64, count=len(part))].sum(0)
-                if not langs or not s[-1]:
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                log = s[:-1] + m["prior"]
-                best = int(log.argmax())
-                names.append(langs[best])
-                scores.append(float(1 / np.exp(np.maximum(log - log[best], -700)).sum()))
+            for start in range(0, batch.num_rows, 4096):
+                lists = pc.utf8_split_whitespace(pc.fill_null(batch.column(place).slice(start, 4096).cast(pa.string()), ""))
+                size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                tokens = lists.flatten().dictionary_encode()
+                index, sums = tokens.indices.to_numpy(zero_copy_only=False), token_sums(tokens.dictionary.to_pylist())
+                ends = np.cumsum(size)
+                for n, end in zip(size.tolist(), ends.tolist(), strict=True):
+                    s = np.zeros(len(langs) + 1)
+                    for at in range(end - n, end, 1 << 16):
+                        s += sums[index[at:min(end, at + (1 << 16))]].sum(0)
+                    if not langs or not s[-1]:
+                        names.append(UNDETERMINED)
+                        scores.append(0.0)
+                        continue
+                    log = s[:-1] + m["prior"]
+                    best = int(log.argmax())
+                    names.append(langs[best])
+                    scores.append(float(1 / np.exp(np.maximum(log - log[best], -700)).sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                              names=[*batch.schema.names, "lang_pred", "score"])
 
