@@ -99,6 +99,19 @@ def test_hot_group_is_whole():
     assert len(u) >= 0.99 * links(ids, x, 0.9).sum() and len(set(zip(u.tolist(), v.tolist()))) == len(u)
 
 
+def test_upper_layer_larger_than_a_batch():
+    x = np.random.default_rng(6).normal(size=(3000, 8))
+    level = hnsw.Graph.levels(len(x), 4)
+    order = np.argsort(-level, kind="stable")
+    unit = hnsw._unit(x[order])
+    sizes = [int((level >= k).sum()) for k in range(int(level.max()) + 1)]
+    graph = hnsw.Graph.build(unit.astype(np.float32), sizes, 4, 32, batch=64)
+    assert sizes[1] > 64
+    found, _ = graph.search(unit[:500].astype(np.float32), 64)
+    best = np.argsort(-(unit[:500] @ unit.T), axis=1)[:, :5]
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(found.tolist(), best.tolist())]) > 0.9
+
+
 def test_graph_round_trip():
     x = np.random.default_rng(5).normal(size=(300, 8))
     ids, unit, graph = hnsw.shard_graph(np.arange(300), x, 8, 32)
