@@ -252,8 +252,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     x = x.withColumn(n, F.row_number().over(Window.partitionBy(id_col, source_col, h).orderBy(F.lit(0))))
     take = F.col(renamed["_take"])
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
-    parts = F.transform(take["_spans"], lambda s: F.slice(words, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))
-    text = F.when(take["_taken"] == take["size"], F.col(text_col)).otherwise(F.array_join(F.flatten(parts), " "))
+    # the outer array has one element, so that a text is cut into words once and not for each span
+    parts = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(
+        take["_spans"], lambda s: F.slice(w, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))), " "))
+    text = F.when(take["_taken"] == take["size"], F.col(text_col)).otherwise(F.get(parts, 0))
     joined = x.join(takes, x[id_col].eqNullSafe(takes[renamed["_id"]]) & x[source_col].eqNullSafe(takes[renamed["_source"]])
                     & (x[h] == takes[renamed["_hash"]]) & (x[n] == takes[renamed["_copy"]]))
     return joined.select(*[text.alias(c) if c == text_col else x[c] for c in docs.columns])
