@@ -133,7 +133,6 @@ TRIPLET_MIX = {"bce": 0.45, "center": 0.2, "triplet": 0.35}
 
 BATCH_SIZE = 12
 IMAGE_SIZE = 64
-TEST_FRACTION = 0.25
 SPLIT_SEED = 23
 
 # --- end of fixed values ----------------------------------------------------

@@ -25,8 +25,8 @@ def hash_key(*parts: str | Column) -> Column:
 
 
 def hash_int(*parts: str | Column) -> Column:
-    """First 32 bits of :func:`hash_key` as a non-negative bigint."""
-    return F.conv(F.substring(hash_key(*parts), 1, 8), 16, 10).cast("bigint")
+    """First 60 bits of :func:`hash_key` as a non-negative bigint."""
+    return F.conv(F.substring(hash_key(*parts), 1, 15), 16, 10).cast("bigint")
 
 
 # --- codes and sums ---------------------------------------------------------

@@ -4,19 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import (CODE_COLUMNS, CONFOUNDERS, CONSTRUCT_RENAMES, HOUR_CODES,
                          HOUR_COLUMNS, ONE_HOT_COLUMNS, REDUNDANT_COLUMNS,
                          STROOP_ERROR_WEIGHTS, STROOP_MISS_WEIGHTS)
 from ..functions.exprs import hour_code, weighted_sum
-from .index import row_index
-
-# Largest code table turned into a literal map (no shuffle of the data side).
-MAX_LITERAL_CODES = 10_000
-# Largest number of one-hot output columns per source column.
-MAX_ONE_HOT_VALUES = 1_000
 
 
 def project_target(df: DataFrame, target: str, key: str = "subject") -> DataFrame:
@@ -63,6 +57,11 @@ def drop_by_name(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return drop_columns(df, names)
 
 
+def drop_positions(df: DataFrame, features: Sequence[str], positions: Sequence[int] = (2, 3)) -> DataFrame:
+    """Drop features by their POSITION in the feature list, as the reference does."""
+    return drop_columns(df, [features[i] for i in positions])
+
+
 def attach_columns(df: DataFrame, front: Sequence[str], rest: Sequence[str]) -> DataFrame:
     """Put ``front`` (key, target) before the feature columns, in one projection."""
     return df.select(*front, *rest)
@@ -88,64 +87,51 @@ def hours_to_codes(df: DataFrame, columns: Sequence[str] = HOUR_COLUMNS,
     return df.withColumns({c: hour_code(c, codes) for c in columns if c in df.columns})
 
 
-def _bounded_collect(df: DataFrame, max_rows: int) -> list | None:
-    """Collect ``df`` only if it has at most ``max_rows`` rows (checked by a limit)."""
-    rows = df.limit(max_rows + 1).collect()
-    return None if len(rows) > max_rows else rows
-
-
-def code_table(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): 0-based rank of each distinct non-null value in sorted order."""
-    vals = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return (row_index(vals, [column], "_code")
-            .select(column, F.col("_code").cast("int").alias("_code")))
+def code_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(name, value, code)``: 0-based rank of each distinct non-null value of its
+    column in sorted order. Columns of one type; distinct values are found in one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns])).alias("e")
+    values = df.select(each).select("e.*").where(F.col("value").isNotNull()).distinct()
+    code = F.row_number().over(Window.partitionBy("name").orderBy("value")) - 1
+    return values.select("name", "value", code.cast("int").alias("code"))
 
 
-def category_codes(df: DataFrame, columns: Sequence[str] = CODE_COLUMNS,
-                   max_literal: int = MAX_LITERAL_CODES) -> DataFrame:
+def category_codes(df: DataFrame, columns: Sequence[str] = CODE_COLUMNS) -> DataFrame:
     """Replace values by their rank among the sorted distinct values; null -> -1.
 
-    Small code tables (checked with a bounded collect) become a literal map, so
-    the data side is never shuffled; larger ones are joined (AQE picks the
-    strategy from runtime sizes and splits skewed values).
+    Code tables are joined; Spark broadcasts one that is small by its measured size,
+    and splits skewed values of a large one.
     """
-    out = df
+    columns = [c for c in columns if c in df.columns]
+    by_type: dict[str, list[str]] = {}
     for c in columns:
-        if c not in out.columns:
-            continue
-        vals = out.select(c).where(F.col(c).isNotNull()).distinct()
-        rows = _bounded_collect(vals, max_literal)
-        if rows is not None:
-            ordered = sorted(r[0] for r in rows)
-            kv = []
-            for i, v in enumerate(ordered):
-                kv += [F.lit(v), F.lit(i)]
-            m = F.create_map(*kv) if kv else F.create_map().cast(f"map<{out.schema[c].dataType.simpleString()},int>")
-            out = out.withColumn(c, F.coalesce(F.try_element_at(m, F.col(c)), F.lit(-1)))
-        else:
-            codes = code_table(out, c)
-            cols = out.columns
-            out = (out.join(codes, c, "left")
-                   .withColumn(c, F.coalesce(F.col("_code"), F.lit(-1))).select(*cols))
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    out = df
+    for same in by_type.values():
+        codes = code_table(df, same)
+        for c in same:
+            t = codes.where(F.col("name") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+            names = out.columns
+            out = (out.join(t, out[c] == t["_value"], "left").drop("_value")
+                   .withColumn(c, F.coalesce(F.col("_code"), F.lit(-1))).select(*names))
     return out
 
 
 def one_hot(df: DataFrame, columns: Sequence[str] = ONE_HOT_COLUMNS,
-            max_values: int = MAX_ONE_HOT_VALUES) -> DataFrame:
+            values: Mapping[str, Sequence] | None = None) -> DataFrame:
     """One 0/1 column ``<col>_<value>`` per sorted distinct value; source dropped.
 
-    Null rows get all zeros. New columns go last. The distinct values become
-    schema, so they are collected behind a bound and the call fails beyond it.
+    Null rows get all zeros. New columns go last. ``values`` names the values of a
+    column; without it they are collected, since each becomes a column of the schema.
     """
     out = df
     for c in columns:
         if c not in out.columns:
             continue
-        rows = _bounded_collect(out.select(c).where(F.col(c).isNotNull()).distinct(), max_values)
-        if rows is None:
-            raise ValueError(f"{c}: more than {max_values} distinct values for one-hot")
-        values = sorted(r[0] for r in rows)
-        new = {f"{c}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)) for v in values}
+        given = (values or {}).get(c)
+        if given is None:
+            given = [r[0] for r in out.select(c).where(F.col(c).isNotNull()).distinct().collect()]
+        new = {f"{c}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)) for v in sorted(given)}
         out = out.withColumns(new).drop(c)
     return out
 
@@ -185,8 +171,7 @@ def feature_group_tables(data: DataFrame, category_file: DataFrame,
     order. The (category, feature) list is schema metadata (bounded by the number
     of columns), so it is collected; the tables stay distributed projections."""
     groups = feature_groups(category_file, data.columns, categories)
-    rows = _bounded_collect(groups, max(len(data.columns), 1) * max(len(categories), 1))
     by_cat: dict[str, list] = {c: [] for c in categories}
-    for r in rows or []:
+    for r in groups.collect():
         by_cat[r["category"]].append((r["position"], r["feature"]))
     return {c: data.select(*[f for _, f in sorted(v)]) for c, v in by_cat.items()}

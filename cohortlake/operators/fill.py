@@ -1,14 +1,10 @@
 """Missing-value fills: per-subject next/previous visit, then global mode and mean.
 
-Per-subject fill (``fill_nearest_visit``) is one hash exchange on the subject, one
-sort and one Window node for all columns. A subject can hold a large share of all
-rows, so subjects above ``rows_per_task`` rows are cut into order-contiguous chunks
-(equal-width ranges of the first order column). Every chunk is filled locally; a
-small summary of each chunk's first and last non-null value carries values across
-chunk borders. The hot-subject table has at most ``rows / rows_per_task`` rows and
-the summary at most ``2 * chunks_per_task * rows / rows_per_task``, which is the
-bound that makes broadcasting them safe. Without hot subjects the plan is a
-single window.
+A subject can hold a large share of all rows. ``fill_nearest_visit`` deals rows over
+range partitions of (subject, visit order), so that a large subject spans several
+parts, fills inside each (subject, part) by windows that read every row once per
+side, and carries values across parts from a summary of the subjects that span more
+than one. One plan for all sizes and for any type of the order columns.
 """
 
 from __future__ import annotations
@@ -19,13 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .index import range_partitioned
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
             T.DoubleType, T.DecimalType)
 
-DEFAULT_ROWS_PER_TASK = 2_000_000
-# Hot-subject tables up to this size are shipped from the driver as rows.
-MAX_HOT_ROWS_ON_DRIVER = 100_000
-
 
 def _as_list(x) -> list:
     if x is None:
@@ -33,36 +27,18 @@ def _as_list(x) -> list:
     return [x] if isinstance(x, (str, Column)) else list(x)
 
 
-def _order_number(df: DataFrame, c: str) -> Column | None:
-    """A numeric image of an order column, used to cut hot subjects into ranges."""
-    dt = df.schema[c].dataType
-    if isinstance(dt, T.TimestampNTZType):
-        # wall-clock seconds, independent of the session time zone
-        x = F.col(c)
-        return (F.unix_date(F.to_date(x)).cast("double") * 86400.0
-                + F.hour(x) * 3600.0 + F.minute(x) * 60.0 + F.second(x))
-    if isinstance(dt, T.TimestampType):
-        return F.unix_micros(F.col(c)).cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(F.col(c)).cast("double")
-    if isinstance(dt, _NUMERIC):
-        return F.col(c).cast("double")
-    return None
-
-
 def fill_nearest_visit(df: DataFrame, key: str | Sequence[str], order_by: str | Sequence[str],
                        columns: Sequence[str] | None = None, direction: str = "both",
-                       rows_per_task: int = DEFAULT_ROWS_PER_TASK, chunks_per_task: int = 4,
-                       skew_split: bool = True) -> DataFrame:
+                       partitions: int | None = None) -> DataFrame:
     """Fill nulls within each subject from its other visits.
 
     ``direction='both'`` is backward fill then forward fill: a gap takes the next
     non-null value in visit order, only trailing gaps take the previous one.
     ``'backward'`` and ``'forward'`` are the two halves alone. All-null groups
-    stay null. ``order_by`` is required: Spark rows have no file order.
+    stay null. ``order_by`` is required (Spark rows have no file order) and should
+    be unique within a subject.
     """
-    keys = _as_list(key)
-    order = _as_list(order_by)
+    keys, order = _as_list(key), _as_list(order_by)
     if not order:
         raise ValueError("order_by is required")
     if direction not in ("both", "backward", "forward"):
@@ -72,86 +48,38 @@ def fill_nearest_visit(df: DataFrame, key: str | Sequence[str], order_by: str |
     columns = list(columns)
     if not columns:
         return df
-
-    order_num = _order_number(df, order[0]) if skew_split and isinstance(order[0], str) else None
-    if order_num is None:
-        tagged = df
-        hot_flag = None
-    else:
-        # Hot subjects: more rows than one task should sort. Bounded by rows/rows_per_task.
-        stats = (df.groupBy(*keys)
-                 .agg(F.count(F.lit(1)).alias("_n"), F.min(order_num).alias("_lo"),
-                      F.max(order_num).alias("_hi"))
-                 .where(F.col("_n") > rows_per_task)
-                 .withColumn("_k", (F.ceil(F.col("_n") / rows_per_task) * chunks_per_task)
-                             .cast("int"))
-                 .withColumn("_hot", F.lit(True))
-                 .drop("_n"))
-        # Decide on the driver from the (small) hot-subject table: without hot
-        # subjects the plan is the textbook one (one exchange, one sort, one
-        # window) and the data is scanned once; a short hot list is shipped as
-        # rows instead of being recomputed inside the main job.
-        hot_rows = stats.limit(MAX_HOT_ROWS_ON_DRIVER + 1).collect()
-        if not hot_rows:
-            return fill_nearest_visit(df, keys, order, columns, direction, skew_split=False)
-        if len(hot_rows) <= MAX_HOT_ROWS_ON_DRIVER:
-            stats = df.sparkSession.createDataFrame(hot_rows, stats.schema)
-        tagged = df.join(F.broadcast(stats), keys, "left")
-        width = F.col("_hi") - F.col("_lo")
-        chunk = F.when(F.col("_hot") & order_num.isNotNull() & (width > 0),
-                       F.least(F.floor((order_num - F.col("_lo")) / width * F.col("_k")),
-                               F.col("_k") - 1).cast("int")).otherwise(F.lit(0))
-        tagged = tagged.withColumn("_chunk", chunk).drop("_lo", "_hi", "_k")
-        hot_flag = F.coalesce(F.col("_hot"), F.lit(False))
-
-    parts = keys if hot_flag is None else [*keys, "_chunk"]
-    w = Window.partitionBy(*parts).orderBy(*order)
-    after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = {}
-    for c in columns:
-        nxt = F.first(c, ignorenulls=True).over(after)
-        prv = F.last(c, ignorenulls=True).over(before)
-        local[f"_n_{c}"] = nxt
-        local[f"_p_{c}"] = prv
-    filled = tagged.withColumns(local)
-
-    if hot_flag is None:
-        return filled.withColumns(
-            {c: _combine(direction, F.col(f"_n_{c}"), None, F.col(f"_p_{c}"), None)
-             for c in columns}).select(*df.columns)
-
-    # Chunk summary for hot subjects only: first/last non-null value per chunk.
-    ostruct = F.struct(*[F.col(o) for o in order])
-    aggs = []
-    for c in columns:
-        aggs.append(F.min_by(F.col(c), F.when(F.col(c).isNotNull(), ostruct)).alias(f"_f_{c}"))
-        aggs.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), ostruct)).alias(f"_l_{c}"))
-    summary = tagged.where(hot_flag).groupBy(*keys, "_chunk").agg(*aggs)
-    sw = Window.partitionBy(*keys).orderBy("_chunk")
-    carry = {}
-    for c in columns:
-        carry[f"_cn_{c}"] = F.first(f"_f_{c}", ignorenulls=True).over(
-            sw.rowsBetween(1, Window.unboundedFollowing))
-        carry[f"_cp_{c}"] = F.last(f"_l_{c}", ignorenulls=True).over(
-            sw.rowsBetween(Window.unboundedPreceding, -1))
-    summary = summary.withColumns(carry).select(*keys, "_chunk", *carry.keys())
-    out = filled.join(F.broadcast(summary), [*keys, "_chunk"], "left")
-    return out.withColumns(
-        {c: _combine(direction, F.col(f"_n_{c}"), F.col(f"_cn_{c}"),
-                     F.col(f"_p_{c}"), F.col(f"_cp_{c}")) for c in columns}
-    ).select(*df.columns)
-
-
-def _combine(direction: str, nxt: Column, nxt_carry: Column | None,
-             prv: Column, prv_carry: Column | None) -> Column:
-    n = nxt if nxt_carry is None else F.coalesce(nxt, nxt_carry)
-    p = prv if prv_carry is None else F.coalesce(prv, prv_carry)
-    if direction == "backward":
-        return n
-    if direction == "forward":
-        return p
-    return F.coalesce(n, p)
+    sides = {"both": "np", "backward": "n", "forward": "p"}[direction]
+    out = nearest_values(df, keys, order, columns, sides, partitions)
+    return out.withColumns({c: F.coalesce(*[F.col(f"_{side}{i}") for side in sides]) for i, c in enumerate(columns)}).select(*df.columns)
+
+
+def nearest_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], sides: str = "np",
+                   partitions: int | None = None) -> DataFrame:
+    """Add, for the i-th of ``columns``, ``_p<i>``: the last non-null value at or before the
+    row in its group's order, and ``_n<i>``: the first one at or after it."""
+    rows = range_partitioned(df, [*keys, *order], partitions)
+    known, carries, edges = {}, {}, []
+    for side in sides:  # the next value is the last one in falling order: no frame reads ahead
+        rising = side == "p"
+        place, part = (F.col("_place").asc(), F.col("_part").asc()) if rising else (F.col("_place").desc(), F.col("_part").desc())
+        inside = Window.partitionBy(*keys, "_part").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+        across = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        pick = F.max_by if rising else F.min_by
+        for i, c in enumerate(columns):
+            known[f"_{side}{i}"] = F.last(c, ignorenulls=True).over(inside)
+            edges.append(pick(F.col(c), F.when(F.col(c).isNotNull(), F.col("_place"))).alias(f"_e{side}{i}"))
+            carries[f"_c{side}{i}"] = F.last(f"_e{side}{i}", ignorenulls=True).over(across)
+    # at most two rows for each border between parts, and the parts inside large groups
+    spans = rows.groupBy(*keys).agg(F.min("_part").alias("_lo"), F.max("_part").alias("_hi")).where("_lo < _hi").select(*keys)
+    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    summary = rows.alias("r").join(spans.alias("s"), on, "left_semi").groupBy(*keys, "_part").agg(*edges)
+    summary = summary.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.col("_part").alias("_kp"),
+                             *[c.alias(name) for name, c in carries.items()])
+    filled = rows.withColumns(known)
+    out = filled.join(summary, [*[filled[k].eqNullSafe(summary[f"_k{j}"]) for j, k in enumerate(keys)],
+                                filled["_part"] == summary["_kp"]], "left")
+    return out.select(*df.columns, *[F.coalesce(f"_{side}{i}", f"_c{side}{i}").alias(f"_{side}{i}")
+                                     for side in sides for i in range(len(columns))])
 
 
 def backfill(df: DataFrame, key, order_by, columns=None, **kw) -> DataFrame:

@@ -1,11 +1,11 @@
 """Global positions without a single-partition window.
 
-``row_index`` range-partitions by the order key into a fixed number of
-partitions (a user-sized range exchange, which AQE never coalesces, so partition
-ids are stable), sorts inside each partition, counts rows per partition (one row
-per partition) and adds the running offset of earlier partitions to the local
-position. The only global step runs over the per-partition counts table, whose
-size is the partition count.
+``row_index`` deals rows over range partitions of the order key, sorts each, and
+writes the result once to the shared folder together with the partition number and
+the place inside it. Range bounds come from a sample, so that a second execution may
+draw other ones: everything below reads the one written copy. The counts per
+partition, cumulated, give the offset of each partition; they are as many rows as
+there are partitions.
 """
 
 from __future__ import annotations
@@ -15,46 +15,46 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import write_shared
+
 
 def _cols(order_by) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_by]
 
 
+def range_partitioned(df: DataFrame, order_by: Sequence[str | Column], partitions: int | None = None,
+                      part: str = "_part", place: str = "_place") -> DataFrame:
+    """A written copy of ``df`` in order: ``part`` rises with the order, ``place`` (from 0)
+    is the position inside the part."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = _cols(order_by)
+    sorted_ = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+               .withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id()))
+    return write_shared(sorted_.withColumn(place, F.col(place) - F.shiftleft(F.col(part).cast("bigint"), 33)), "ordered")
+
+
 def row_index(df: DataFrame, order_by: Sequence[str | Column], name: str = "row_index",
               partitions: int | None = None) -> DataFrame:
     """Add a 0-based ``name`` = position of the row in ``order_by`` order.
 
     ``order_by`` should be unique (add a key as tie-breaker) for a reproducible index.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = _cols(order_by)
-    ordered = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return (ordered.join(F.broadcast(offsets), "_pid", "inner")
-            .withColumn(name, F.col("_off") + local)
-            .drop("_pid", "_mid", "_off"))
+    ordered = range_partitioned(df, order_by, partitions)
+    counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    return (ordered.join(offsets, "_part").withColumn(name, F.col("_off") + F.col("_place"))
+            .drop("_part", "_place", "_off"))
 
 
 def rank_within(df: DataFrame, group: str, order_by: Sequence[str | Column],
                 name: str = "rank_in_group", partitions: int | None = None) -> DataFrame:
-    """0-based rank inside ``group`` for a LOW-cardinality group column (labels).
+    """0-based rank inside ``group``, which may be a column of few values (labels).
 
     A ``row_number`` window partitioned by a label would send each class to one
     task; instead one global index over ``(group, order)`` minus the class start.
     """
     idx = row_index(df, [F.col(group), *_cols(order_by)], "_gi", partitions)
-    # class starts from per-class counts (partial aggregate, one row per class),
-    # not from a second pass over the index
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.orderBy(F.col(group).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(group, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_start"))
-    return (idx.join(F.broadcast(starts), idx[group].eqNullSafe(starts[group]), "inner")
-            .drop(starts[group])
-            .withColumn(name, F.col("_gi") - F.col("_start"))
-            .drop("_gi", "_start"))
+    starts = idx.groupBy(F.col(group).alias("_group")).agg(F.min("_gi").alias("_start"))
+    return (idx.join(starts, idx[group].eqNullSafe(starts["_group"]))
+            .withColumn(name, F.col("_gi") - F.col("_start")).drop("_group", "_gi", "_start"))

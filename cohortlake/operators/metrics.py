@@ -8,8 +8,10 @@ happens before any exchange.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +29,15 @@ def with_prediction(df: DataFrame, logit: str = "logit") -> DataFrame:
 
 def prediction_table(scored: DataFrame, key: str = "subject", label: str = "label",
                      age: str = "age", sex: str = "sex",
-                     extra: Sequence[str] = ("run", "split", "epoch", "batch_id")) -> DataFrame:
-    """``subject, label, prediction, age, sex`` per scored row (plus run/split/epoch)."""
+                     extra: Sequence[str] = ("run", "split", "epoch", "batch_id"),
+                     target_transform: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``subject, label, prediction, age, sex`` per scored row (plus run/split/epoch).
+
+    ``target_transform`` maps the label column."""
+    transform = target_transform or (lambda c: c)
     p = with_prediction(scored) if "prediction" not in scored.columns else scored
     keep = [c for c in extra if c in p.columns]
-    return p.select(*keep, F.col(key).alias("subject"), F.col(label).alias("label"),
+    return p.select(*keep, F.col(key).alias("subject"), transform(F.col(label)).alias("label"),
                     "prediction", F.col(age).alias("age"), F.col(sex).alias("sex"))
 
 
@@ -56,16 +62,10 @@ def bce_loss(scored: DataFrame, pos_weight: Column | float, keys: Sequence[str]
 
 
 def class_centers(emb: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
-    """Per-class mean vector (the reference learns them; here they are class means).
-
-    ``posexplode`` + ``groupBy(label, pos)`` keeps the work distributed; the result
-    (classes x dims) is small and re-assembled in position order.
-    """
-    long = (emb.select(label, F.posexplode(vec).alias("pos", "v"))
-            .groupBy(label, "pos").agg(F.avg(F.col("v").cast("double")).alias("v")))
-    return (long.groupBy(label)
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("_c"))
-            .select(label, F.transform("_c", lambda s: s["v"]).alias("center")))
+    """Per-class mean vector (the reference learns them; here they are class means):
+    one vector aggregate per label."""
+    mean = Summarizer.mean(array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
+    return emb.groupBy(label).agg(vector_to_array(mean).alias("center"))
 
 
 def center_loss(emb: DataFrame, centers: DataFrame, keys: Sequence[str], label: str = "label",
@@ -74,11 +74,11 @@ def center_loss(emb: DataFrame, centers: DataFrame, keys: Sequence[str], label:
 
     Distances to other classes' centres are masked to 0 and then clamped to
     1e-12, which is the ``(k-1)*1e-12`` term. Centres join on the label (a
-    classes-sized table, broadcast).
+    classes-sized table; Spark broadcasts it by its measured size).
     """
     k = n_classes if n_classes is not None else centers.agg(F.count(F.lit(1))).scalar()
     k = k if isinstance(k, Column) else F.lit(int(k))
-    j = emb.join(F.broadcast(centers.select(label, "center")), label, "inner")
+    j = emb.join(centers.select(label, "center"), label, "inner")
     d = F.least(F.greatest(squared_distance(F.col(vec), F.col("center")), F.lit(1e-12)), F.lit(1e12))
     return j.groupBy(*keys).agg(
         (F.sum(d) / F.count(F.lit(1)) + (k - 1).cast("double") * F.lit(1e-12)).alias("center_loss"))

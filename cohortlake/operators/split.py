@@ -8,68 +8,59 @@ would put a whole class into one task.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import BATCH_SIZE, SPLIT_SEED, TEST_FRACTION
+from ..constants import BATCH_SIZE, SPLIT_SEED
 from ..functions.exprs import hash_int, hash_key
-from ..session import materialize
+from ..session import write_shared
 from .index import rank_within, row_index
 
-MAX_CLASSES = 10_000
+TEST_FRACTION = 0.25  # default of this library
 
 
-def class_quotas(counts: dict, test_fraction: float = TEST_FRACTION) -> dict:
-    """Per-class test sizes for a stratified split.
+def class_quotas(counts: DataFrame, label: str, test_fraction: float = TEST_FRACTION) -> DataFrame:
+    """``(label, cnt, test_quota)`` from ``(label, cnt)``, one row per class.
 
     Test total is ``ceil(f * n)``. The train sizes are distributed first by
-    largest remainder (ties to the smaller class value); a class' test size is
-    the rest. Integer arithmetic only.
+    largest remainder (ties to the smaller class value, null last); a class' test
+    size is the rest. Whole-number arithmetic in decimals.
     """
-    n = sum(counts.values())
-    n_test = math.ceil(test_fraction * n)
-    n_train = n - n_test
-    labels = sorted(counts)
-    floors = {c: (n_train * counts[c]) // n for c in labels}
-    rems = {c: (n_train * counts[c]) % n for c in labels}
-    extra = n_train - sum(floors.values())
-    for c in sorted(labels, key=lambda c: (-rems[c], c))[:extra]:
-        floors[c] += 1
-    return {c: counts[c] - floors[c] for c in labels}
+    every = Window.partitionBy(F.lit(0))
+    order = every.orderBy(F.col("_rem").desc(), F.col(label).asc_nulls_last())
+    c = counts.withColumn("_n", F.sum("cnt").over(every))
+    c = c.withColumn("_train", F.col("_n") - F.ceil(F.lit(test_fraction) * F.col("_n")))
+    share = F.col("_train").cast("decimal(19,0)") * F.col("cnt").cast("decimal(19,0)")
+    c = c.withColumns({"_fl": F.floor(share / F.col("_n")).cast("bigint"), "_rem": (share % F.col("_n")).cast("bigint")})
+    extra = F.col("_train") - F.sum("_fl").over(every)
+    quota = F.col("cnt") - F.col("_fl") - (F.row_number().over(order) <= extra).cast("int")
+    return c.select(label, "cnt", quota.alias("test_quota"))
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float = TEST_FRACTION,
                      seed: int = SPLIT_SEED, split_col: str = "split",
                      checkpoint: bool = True) -> DataFrame:
-    """Assign each distinct (key, label) unit to 'train' or 'test', stratified by label.
+    """Assign each distinct subject to 'train' or 'test', stratified by label.
 
-    Exact quotas (see :func:`class_quotas`); inside a class the test rows are
-    the first ones in ``md5(key|seed)`` order. Classes with under two members
-    are rejected, as the reference's splitter does.
+    A subject has one label: the smallest of its rows (null only where it has no
+    other; null is a class of its own). Exact quotas (see :func:`class_quotas`);
+    inside a class the test subjects are the first ones in ``md5(key|seed)`` order.
+    Classes with under two members are rejected, as the reference's splitter does.
     """
-    units = df.select(key, label).distinct()
-    rows = units.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError("too many classes for a stratified split")
-    counts = {r[0]: r[1] for r in rows}
-    small = [c for c, n in counts.items() if n < 2]
+    units = write_shared(df.groupBy(key).agg(F.min(label).alias(label)), "split-units")
+    counts = units.groupBy(label).agg(F.count(F.lit(1)).alias("cnt"))
+    small = [r[0] for r in counts.where("cnt < 2").select(label).limit(10).collect()]
     if small:
         raise ValueError(f"classes with fewer than 2 members: {small}")
-    quotas = class_quotas(counts, test_fraction)
-    kv = []
-    for c, q in quotas.items():
-        kv += [F.lit(c), F.lit(q)]
-    quota = F.try_element_at(F.create_map(*kv), F.col(label))
+    quotas = class_quotas(counts, label, test_fraction).select(F.col(label).alias("_label"), "test_quota")
     ranked = rank_within(units, label, [hash_key(key, F.lit(seed)), F.col(key)], "_rank")
-    out = ranked.select(key, label, F.when(F.col("_rank") < quota, F.lit("test"))
-                        .otherwise(F.lit("train")).alias(split_col))
-    # One row per unit: written once to the shared checkpoint folder, so the
-    # training rows, the scaler fit, the class weight and the batches all read
-    # the same assignment instead of re-running the ranking.
-    return materialize(out) if checkpoint else out
+    out = ranked.join(quotas, ranked[label].eqNullSafe(quotas["_label"])).select(
+        key, label, F.when(F.col("_rank") < F.col("test_quota"), "test").otherwise("train").alias(split_col))
+    # One row per subject: written once to the shared folder, so the training rows, the
+    # scaler fit, the class weight and the batches all read the same assignment.
+    return write_shared(out, "split") if checkpoint else out
 
 
 def mini_batches(df: DataFrame, key: str, split_col: str = "split", batch_size: int = BATCH_SIZE,
@@ -84,7 +75,7 @@ def mini_batches(df: DataFrame, key: str, split_col: str = "split", batch_size:
     order = F.when(shuffled, hash_key(key, F.lit(epoch), F.lit(seed))).otherwise(F.lit(""))
     ranked = rank_within(df, split_col, [order, F.col(key)], "_pos")
     sizes = df.groupBy(split_col).agg(F.count(F.lit(1)).alias("_n"))
-    out = ranked.join(F.broadcast(sizes), split_col, "inner").withColumn(
+    out = ranked.join(sizes, split_col).withColumn(
         "batch_id", F.floor(F.col("_pos") / batch_size).cast("bigint"))
     if drop_last:
         out = out.where(F.col("batch_id") < F.floor(F.col("_n") / batch_size))
@@ -120,7 +111,7 @@ def mini_batches_epochs(df: DataFrame, key: str, epochs: Sequence[int], split_co
     order = F.when(shuffled, hash_key(key, F.col("epoch"), F.lit(seed))).otherwise(F.lit(""))
     ranked = rank_within(x, "_grp", [order, F.col(key)], "_pos")
     sizes = x.groupBy("_grp").agg(F.count(F.lit(1)).alias("_n"))
-    out = ranked.join(F.broadcast(sizes), "_grp", "inner").withColumn(
+    out = ranked.join(sizes, "_grp").withColumn(
         "batch_id", F.floor(F.col("_pos") / batch_size).cast("bigint"))
     if drop_last:
         out = out.where(F.col("batch_id") < F.floor(F.col("_n") / batch_size))

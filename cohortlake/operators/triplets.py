@@ -8,10 +8,9 @@ margin only depends on the distance ``d`` to the nearest candidate:
 No anchor-candidate pairs are built. Work splits in two:
 
 * age level -- a table of distinct ``(label, age)`` with counts. Nearest
-  distances come from lag/lead and a union-and-window of the classes; band
-  edges are turned into rank intervals by an as-of lookup of cumulative counts.
-  Its size is bounded by the age resolution times the number of classes, not by
-  the number of subjects.
+  distances and the rank intervals of band edges come from as-of lookups: probes
+  in one table with the class ages, dealt over range parts of (class, age), so
+  that no task holds a class, whatever the resolution of the ages.
 * subject level -- every anchor draws a rank inside its interval
   (``lo + md5(anchor|seed) mod size``, skipping its own rank in its own class)
   and an equi-join on ``(label, rank)`` fetches the subject. Ranks come from a
@@ -24,13 +23,15 @@ so that band edges compare the same way in every engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_int
-from .index import rank_within
-
-MAX_CLASSES = 1_000
+from ..session import write_shared
+from .fill import nearest_values
+from .index import range_partitioned, rank_within
 
 
 def final_margin(d, m0: float, step: float):
@@ -40,72 +41,58 @@ def final_margin(d, m0: float, step: float):
                        * (F.floor((d - F.lit(float(m0))) / F.lit(float(step))) + 1)))
 
 
-def _classes(df: DataFrame, label: str) -> list:
-    rows = df.select(label).distinct().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError("too many classes")
-    return sorted(r[0] for r in rows if r[0] is not None)
-
-
-def _other_class_map(classes: list):
-    """Negative class of each label: the smallest other class (binary labels: the other)."""
-    kv = []
-    for c in classes:
-        others = [o for o in classes if o != c]
-        kv += [F.lit(c), F.lit(others[0]) if others else F.lit(None).cast("int")]
-    return F.create_map(*kv)
+def _other_class(df: DataFrame, label: str):
+    """Negative class of each label, as a column: the smallest other class (binary
+    labels: the other one). The two smallest classes are a scalar subquery."""
+    two = df.agg(F.slice(F.sort_array(F.collect_set(label)), 1, 2)).scalar()
+    lo, hi = F.get(two, 0), F.get(two, 1)
+    return lambda c: F.when(c == lo, hi).otherwise(lo)
 
 
 def _age_table(df: DataFrame, label: str, age: str) -> DataFrame:
-    """Distinct (label, age) with counts and the class rank range ``[start, end)``."""
-    d = df.groupBy(label, age).agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy(label).orderBy(age).rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn("cum_end", F.sum("cnt").over(w))
-
+    """Distinct (label, age) with counts and ``cum_end``, the class members up to that age.
 
-def _nearest(d: DataFrame, label: str, age: str, classes: list) -> DataFrame:
+    Cumulated inside range parts of (label, age), then across the parts of a class."""
+    d = df.groupBy(label, age).agg(F.count(F.lit(1)).alias("cnt"))
+    r = range_partitioned(d, [label, age])
+    inside = Window.partitionBy(label, "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(label).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = r.groupBy(label, "_part").agg(F.sum("cnt").alias("_n"))
+    before = sums.select(F.col(label).alias("_l"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"))
+    r = r.withColumn("_in", F.sum("cnt").over(inside))
+    return (r.join(before, r[label].eqNullSafe(before["_l"]) & (r["_part"] == before["_p"]))
+            .select(label, age, "cnt", (F.col("_before") + F.col("_in")).alias("cum_end")))
+
+
+def _asof(d: DataFrame, probes: DataFrame, label: str, age: str, sides: str) -> DataFrame:
+    """Nearest class ages of each probe ``(cls, value, kind, name, o_label, o_age)``:
+    ``prev`` and ``n_le`` (age and count of members) at or before it, ``next`` at or after
+    it; kind -1 stands before, 1 after the members of its own age."""
+    kinds = d.schema[label].dataType
+    pts = d.select(F.col(label).alias("cls"), F.col(age).cast("double").alias("value"), F.lit(0).alias("kind"),
+                   F.lit(None).cast("string").alias("name"), F.lit(None).cast(kinds).alias("o_label"),
+                   F.lit(None).cast("double").alias("o_age"), F.col(age).cast("double").alias("pt"), F.col("cum_end"))
+    u = pts.unionByName(probes.withColumns({"pt": F.lit(None).cast("double"), "cum_end": F.lit(None).cast("bigint")}))
+    out = nearest_values(u, ["cls"], ["value", "kind", "name", "o_label", "o_age"], ["pt", "cum_end"], sides)
+    found = {"p": [F.col("_p0").alias("prev"), F.coalesce("_p1", F.lit(0)).alias("n_le")], "n": [F.col("_n0").alias("next")]}
+    return out.where(F.col("name").isNotNull()).select("o_label", "o_age", "name", "value", *[c for s in sides for c in found[s]])
+
+
+def _nearest(d: DataFrame, label: str, age: str, other) -> DataFrame:
     """Per (label, age): distance to the nearest OTHER subject of the same class
-    (0 when the age is shared) and to the nearest subject of the negative class.
-
-    Both are windows partitioned by a class over the distinct-age table: lag/lead
-    inside the own class, and an as-of lookup (probe rows unioned with the target
-    class' ages) for the negative class.
-    """
-    wc = Window.partitionBy(label).orderBy(age)
-    own = F.when(F.col("cnt") > 1, F.lit(0.0)).otherwise(
-        F.least(F.col(age) - F.lag(age).over(wc), F.lead(age).over(wc) - F.col(age)).cast("double"))
-    neg = _other_class_map(classes)
-    d = d.withColumn("d_pos", own).withColumn("neg_label", F.try_element_at(neg, F.col(label)))
+    (0 when the age is shared) and to the nearest subject of the negative class."""
     a = F.col(age).cast("double")
-    pts = d.select(F.col(label).alias("cls"), a.alias("value"), F.lit(0).alias("kind"),
-                   a.alias("pt"), F.lit(None).cast(d.schema[label].dataType).alias("o_label"))
-    probes = (d.where(F.col("neg_label").isNotNull())
-              .select(F.col("neg_label").alias("cls"), a.alias("value"), F.lit(1).alias("kind"),
-                      F.lit(None).cast("double").alias("pt"), F.col(label).alias("o_label")))
-    w = Window.partitionBy("cls").orderBy("value", "kind")
-    u = pts.unionByName(probes).select(
-        "o_label", "value", "kind",
-        F.last("pt", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_prev"),
-        F.first("pt", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_next"))
-    near = u.where(F.col("kind") == 1).select(
-        "o_label", F.col("value").alias("o_age"),
-        F.least(F.col("value") - F.col("_prev"), F.col("_next") - F.col("value")).cast("double").alias("d_neg"))
-    return (d.withColumn("o_label", F.col(label)).withColumn("o_age", a)
-            .join(near, ["o_label", "o_age"], "left").drop("o_label", "o_age"))
-
-
-def _count_lookup(d: DataFrame, probes: DataFrame, label: str, age: str) -> DataFrame:
-    """As-of lookup: for each probe (cls, value, kind, name, owner keys) the number
-    of class members with age <= value (kind 1) or age < value (kind -1)."""
-    pts = d.select(F.col(label).alias("cls"), F.col(age).cast("double").alias("value"),
-                   F.lit(0).alias("kind"), F.col("cum_end"),
-                   F.lit(None).cast("string").alias("name"),
-                   F.lit(None).cast(d.schema[label].dataType).alias("o_label"),
-                   F.lit(None).cast("double").alias("o_age"))
-    u = pts.unionByName(probes.withColumn("cum_end", F.lit(None).cast("bigint")))
-    w = Window.partitionBy("cls").orderBy("value", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumn("n_le", F.coalesce(F.last("cum_end", ignorenulls=True).over(w), F.lit(0)))
-    return u.where(F.col("name").isNotNull()).select("o_label", "o_age", "name", "n_le")
+    d = d.withColumn("neg_label", other(F.col(label)))
+    probes = _probes(d, [(F.col(label), a, F.lit(-1), "own_prev"), (F.col(label), a, F.lit(1), "own_next"),
+                         (F.col("neg_label"), a, F.lit(1), "neg_prev"), (F.col("neg_label"), a, F.lit(-1), "neg_next")], label, a)
+    near = _asof(d, probes, label, age, "pn")
+
+    def gap(kind):  # probes before (after) their own age look back (ahead)
+        return F.min(F.when(F.col("name") == f"{kind}_prev", F.col("value") - F.col("prev"))
+                     .when(F.col("name") == f"{kind}_next", F.col("next") - F.col("value"))).alias(f"d_{kind}")
+    near = near.groupBy("o_label", "o_age").agg(gap("own"), gap("neg"))
+    out = d.join(near, (d[label] == near["o_label"]) & (a == near["o_age"]), "left").drop("o_label", "o_age")
+    return out.withColumn("d_pos", F.when(F.col("cnt") > 1, F.lit(0.0)).otherwise(F.col("d_own"))).drop("d_own")
 
 
 def _probes(d: DataFrame, specs, label: str, a) -> DataFrame:
@@ -130,8 +117,7 @@ def band_intervals(ages: DataFrame, label: str = "label", age: str = "age",
     band, so the band is also counted at ``m + step`` and the first non-empty
     one is kept -- what the reference's loop would do.
     """
-    classes = _classes(ages, label)
-    d = _nearest(_age_table(ages, label, age), label, age, classes)
+    d = write_shared(_nearest(_age_table(ages, label, age), label, age, _other_class(ages, label)), "ages")
     d = d.withColumns({"_pm": final_margin(F.col("d_pos"), m0, step),
                        "_nm": final_margin(F.col("d_neg"), m0, step)})
     a = F.col(age).cast("double")
@@ -145,7 +131,7 @@ def band_intervals(ages: DataFrame, label: str = "label", age: str = "age",
             specs += [(cls, a - mm, le, f"{tag}_lo{suffix}"), (cls, a + mm, lt, f"{tag}_hi{suffix}")]
     probes = _probes(d, specs, label, a)
     names = [f"{t}_{e}{x}" for t in ("pos", "neg") for x in ("0", "", "2") for e in ("lo", "hi")]
-    found = (_count_lookup(d, probes, label, age)
+    found = (_asof(d, probes, label, age, "p")
              .groupBy("o_label", "o_age").pivot("name", names).agg(F.first("n_le")))
     out = (d.withColumn("o_label", F.col(label)).withColumn("o_age", a)
            .join(found, ["o_label", "o_age"], "left"))
@@ -172,7 +158,12 @@ def _ranked(ages: DataFrame, key: str, label: str, age: str) -> DataFrame:
 def age_band_triplets(ages: DataFrame, key: str = "subject", label: str = "label",
                       age: str = "age", m0: float = 12.0, step: float = 6.0,
                       seed: int = 5) -> DataFrame:
-    """Per anchor: positive and negative subject, margins and band sizes."""
+    """Per anchor: positive and negative subject, margins and band sizes.
+
+    One row per subject: of a subject's rows the one with the smallest (label, age)
+    counts, so that a positive is never the anchor itself."""
+    one = ages.groupBy(key).agg(F.min(F.struct(label, age)).alias("_r"))
+    ages = write_shared(one.select(key, F.col("_r")[label].alias(label), F.col("_r")[age].alias(age)), "anchors")
     ranked = _ranked(ages, key, label, age)
     bands = band_intervals(ages, label, age, m0, step)
     a = ranked.join(bands, [label, age], "inner")
@@ -200,16 +191,14 @@ def candidates_in_band(ages: DataFrame, margin: float, key: str = "subject",
                        label: str = "label", age: str = "age") -> DataFrame:
     """Per anchor, the number of same-label others and other-label subjects with
     ``|age - anchor age| < margin`` (counts from the age table; no pairs)."""
-    classes = _classes(ages, label)
     d = _age_table(ages, label, age)
-    neg = _other_class_map(classes)
     a = F.col(age).cast("double")
     m = F.lit(float(margin))
 
-    negc = F.try_element_at(neg, F.col(label))
+    negc = _other_class(ages, label)(F.col(label))
     probes = _probes(d, [(F.col(label), a - m, F.lit(1), "pos_lo"), (F.col(label), a + m, F.lit(-1), "pos_hi"),
                          (negc, a - m, F.lit(1), "neg_lo"), (negc, a + m, F.lit(-1), "neg_hi")], label, a)
-    found = (_count_lookup(d, probes, label, age)
+    found = (_asof(d, probes, label, age, "p")
              .groupBy("o_label", "o_age").pivot("name", ["pos_lo", "pos_hi", "neg_lo", "neg_hi"])
              .agg(F.first("n_le")))
     per_age = found.select(F.col("o_label").alias(label), F.col("o_age").alias("_age"),
@@ -223,14 +212,11 @@ def random_triplets(ages: DataFrame, key: str = "subject", label: str = "label",
                     seed: int = 5) -> DataFrame:
     """Baseline: uniform positive of the same label (may be the anchor itself) and
     uniform negative of the other label, by seeded rank draws."""
-    classes = _classes(ages, label)
     ranked = rank_within(ages.select(key, label), label, [F.col(key)], "rank")
     sizes = ranked.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    neg = _other_class_map(classes)
-    a = (ranked.withColumn("neg_label", F.try_element_at(neg, F.col(label)))
-         .join(F.broadcast(sizes), label)
-         .join(F.broadcast(sizes.withColumnRenamed(label, "neg_label")
-                           .withColumnRenamed("_n", "_nn")), "neg_label", "left"))
+    a = (ranked.withColumn("neg_label", _other_class(ages, label)(F.col(label)))
+         .join(sizes, label)
+         .join(sizes.withColumnRenamed(label, "neg_label").withColumnRenamed("_n", "_nn"), "neg_label", "left"))
     a = a.select(key, label, "neg_label",
                  (hash_int(F.col(key), F.lit(seed), F.lit("rpos")) % F.col("_n")).alias("_pr"),
                  (hash_int(F.col(key), F.lit(seed), F.lit("rneg")) % F.col("_nn")).alias("_nr"))
@@ -244,8 +230,13 @@ def random_triplets(ages: DataFrame, key: str = "subject", label: str = "label",
 
 def triplet_table(triplets: DataFrame, features: DataFrame, key: str = "subject",
                   anchor: str = "subject", positive: str = "positive",
-                  negative: str = "negative") -> DataFrame:
-    """Attach features (and label) of anchor, positive and negative: three key joins."""
+                  negative: str = "negative", label: str = "label",
+                  target_transform: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Attach features (and label) of anchor, positive and negative: three key joins.
+
+    ``target_transform`` maps the ``label`` column of the features."""
+    if target_transform is not None and label in features.columns:
+        features = features.withColumn(label, target_transform(F.col(label)))
     feats = [c for c in features.columns if c != key]
 
     def side(prefix, col):

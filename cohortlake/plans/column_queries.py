@@ -63,6 +63,13 @@ def q_drop_by_position(spark, sf_dir):
                                                      "n_chars", "other_label")
 
 
+@query("drop_positions", T + "SELECT subject, target, age, sex, other_label FROM t")
+def q_drop_positions(spark, sf_dir):
+    """Features 2 and 3 go by position."""
+    t = td.training(spark, sf_dir).select("subject", "target", "age", "sex", "log_chars", "n_chars", "other_label")
+    return C.drop_positions(t, ["age", "sex", "log_chars", "n_chars", "other_label"], (2, 3))
+
+
 _CODES_SQL = V + """
 , pc AS (SELECT priority AS pv, CAST(row_number() OVER (ORDER BY priority) - 1 AS INTEGER) AS code
          FROM (SELECT DISTINCT priority FROM v WHERE priority IS NOT NULL))
@@ -209,3 +216,13 @@ def q_row_index(spark, sf_dir):
     from ..functions.exprs import hash_key
     t = td.training(spark, sf_dir).select("subject")
     return row_index(t, [hash_key("subject", F.lit(23)), F.col("subject")]).select("subject", "row_index")
+
+
+@query("row_index_payload", """
+SELECT l_orderkey, l_linenumber, l_extendedprice, flag, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS row_index
+FROM (SELECT *, l_returnflag AS flag FROM lineitem)""")
+def q_row_index_payload(spark, sf_dir):
+    """Positions in date order, with columns beside the key."""
+    li = td.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate",
+                                                    F.col("l_returnflag").alias("flag"))
+    return row_index(li, ["l_shipdate", "l_orderkey", "l_linenumber"]).drop("l_shipdate")

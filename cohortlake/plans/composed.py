@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.exprs import bce_with_logits
 from ..operators import columns as C, fill, joins as J, metrics as M, scale as SC, split as S
 from ..operators import triplets as TR
-from ..session import materialize
+from ..session import write_shared
 from ..sources import io
 
 
@@ -31,9 +32,9 @@ def tabular_preparation(df: DataFrame, key: str = "subject",
     """Drop confounders -> sums -> drop redundant -> rename -> per-subject fill ->
     global mode fill -> global mean fill -> codes -> ``age < bound``.
 
-    The filled table is checkpointed (shared checkpoint folder): the mode and
-    mean statistics, the code tables and the final projection all read it, and
-    the lineage above it (an exchange, a sort and a window) is cut.
+    The filled table is written once to the shared folder: the mode and mean
+    statistics, the code tables and the final projection all read the columns they
+    need from it, and the lineage above it is cut.
     """
     if sums is None:
         sums = {"stroop_error_sum": K.STROOP_ERROR_WEIGHTS, "stroop_miss_sum": K.STROOP_MISS_WEIGHTS}
@@ -45,7 +46,7 @@ def tabular_preparation(df: DataFrame, key: str = "subject",
     x = C.rename_columns(x, renames)
     x = fill.fill_nearest_visit(x, key, order_by)
     if checkpoint:
-        x = materialize(x)
+        x = write_shared(x, "filled")
     x = fill.global_fill(x, mode_columns, exclude=[key, *order_by])
     x = C.category_codes(x, code_columns)
     return C.filter_lt(x, age_column, age_bound)
@@ -55,7 +56,7 @@ def load_tabular(spark: SparkSession, input_path: str, write_path: str, quick: b
                  write: bool = True, schema=None, **prep) -> DataFrame:
     """Read the visit CSV; with ``quick`` read the saved processed table instead of recomputing."""
     target = f"{write_path.rstrip('/')}/processed"
-    if quick and io._exists(spark, target):
+    if quick and io.is_complete(spark, target):
         return io.read_processed(spark, target)
     out = tabular_preparation(io.csv_scan(spark, input_path, ",", schema), **prep)
     if write:
@@ -77,7 +78,7 @@ def load_with_imaging(spark: SparkSession, tabular: DataFrame, fa: DataFrame, t1
 
 
 def prepare_training_set(df: DataFrame, key: str, target: str, features: Sequence[str],
-                         test_fraction: float = K.TEST_FRACTION, seed: int = K.SPLIT_SEED):
+                         test_fraction: float = S.TEST_FRACTION, seed: int = K.SPLIT_SEED):
     """Split -> fit scaler on train -> scale both -> key and target in front ->
     class weight -> set sizes. Returns (scaled rows with ``split``, fit, weight, sizes)."""
     assignment = S.stratified_split(df, key, target, test_fraction, seed)
@@ -92,7 +93,7 @@ def prepare_training_set(df: DataFrame, key: str, target: str, features: Sequenc
 
 def prepare_triplets(ages: DataFrame, features: DataFrame, key: str = "subject",
                      label: str = "label", age: str = "age", m0: float = 12.0, step: float = 6.0,
-                     test_fraction: float = K.TEST_FRACTION, seed: int = K.SPLIT_SEED,
+                     test_fraction: float = S.TEST_FRACTION, seed: int = K.SPLIT_SEED,
                      draw_seed: int = 5) -> DataFrame:
     """Split subjects, then mine age-band triplets inside each split separately
     (anchors only meet candidates of their own split) and attach features."""
@@ -109,9 +110,14 @@ def prepare_triplets(ages: DataFrame, features: DataFrame, key: str = "subject",
 def evaluate_run(scored: DataFrame, pos_weight, keys: Sequence[str] = M.EPOCH_KEYS) -> DataFrame:
     """Prediction table -> accuracy, macro accuracy, BCE per run/split/epoch, as a
     long metric log ``(run, split, epoch, metric, value)``."""
-    preds = M.prediction_table(scored)
-    wide = (M.accuracy_micro(preds, keys).join(M.accuracy_macro(preds, keys), list(keys))
-            .join(M.bce_loss(scored, pos_weight, keys), list(keys)))
+    # one pass: counts, hits and losses per class, then per run, split and epoch
+    rows = M.with_prediction(scored).withColumn("_bce", bce_with_logits(F.col("logit"), F.col("label"), pos_weight))
+    per_class = rows.groupBy(*keys, "label").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum((F.col("label") == F.col("prediction")).cast("long")).alias("_hits"),
+        F.sum("_bce").alias("_loss"))
+    n = F.sum("_n")
+    wide = per_class.groupBy(*keys).agg((F.sum("_hits") / n).alias("accuracy"), F.avg(F.col("_hits") / F.col("_n")).alias("macro_accuracy"),
+                                        (F.sum("_loss") / n).alias("bce_loss"))
     return M.metrics_long(wide, keys, ["accuracy", "macro_accuracy", "bce_loss"])
 
 

@@ -184,6 +184,8 @@ def q_weighted_classifier(spark, sf_dir):
     """SURVEY op 77: class-weighted logistic regression on the scaled training set."""
     scaled, _, weight, _ = CP.prepare_training_set(td.training(spark, sf_dir), "subject", "target",
                                                    td.TRAINING_FEATURES, 0.25, SEED)
-    w = weight.select("class_weight").first()[0] or 1.0
+    w = weight.select("class_weight").first()[0]
+    if w is None:
+        raise ValueError("no positive training row")
     return CP.weighted_classifier(scaled, "target", td.TRAINING_FEATURES, w)
 

@@ -148,3 +148,11 @@ SELECT label, count(*) AS n FROM (
 def q_label_groups(spark, sf_dir):
     v = td.visits(spark, sf_dir).select("subject", "visit_date", "visit", "label")
     return agg.label_group_sizes(v, "subject", "label", ORDER)
+
+
+@query("label_group_rows", V + """
+SELECT subject, arg_min(label, (visit_date, visit)) AS label FROM v GROUP BY subject""")
+def q_label_group_rows(spark, sf_dir):
+    """The groups themselves: each subject with the label of its first visit."""
+    v = td.visits(spark, sf_dir).select("subject", "visit_date", "visit", "label")
+    return agg.label_groups(v, "subject", "label", ORDER)

@@ -93,7 +93,9 @@ def q_quick_reload(spark, sf_dir):
 SELECT run, split, epoch, batch_id, subject, label, CAST(logit > 0 AS INTEGER) AS prediction, age, sex FROM p""")
 def q_write_predictions(spark, sf_dir):
     path = shared_path(spark, "predictions", unique=True)
-    io.write_predictions(M.prediction_table(scored(spark, sf_dir)), path)
+    preds = M.prediction_table(scored(spark, sf_dir))
+    io.write_predictions(preds, path)
+    io.write_predictions(preds, path)  # a repeated epoch replaces its own rows
     back = spark.read.parquet(path)
     return back.select("run", "split", back.epoch.cast("int").alias("epoch"), "batch_id", "subject",
                        "label", "prediction", "age", "sex")

@@ -122,21 +122,20 @@ def q_missing_volumes(spark, sf_dir):
 @query("lookup_first_row", with_cte(v=td.VISITS_SQL, s=td.SUBJECTS_SQL) + """
 SELECT s.subject, f.visit, f.score, f.priority FROM s JOIN (
   SELECT subject, visit, score, priority FROM v
-  QUALIFY row_number() OVER (PARTITION BY subject ORDER BY visit_date, visit) = 1) f ON s.subject = f.subject
-WHERE s.label = 1""")
+  QUALIFY row_number() OVER (PARTITION BY subject ORDER BY visit_date, visit) = 1) f ON s.subject = f.subject""")
 def q_lookup_first_row(spark, sf_dir):
     v = td.visits(spark, sf_dir).select("subject", "visit_date", "visit", "score", "priority")
-    ids = td.subjects(spark, sf_dir).where(F.col("label") == 1)
+    ids = td.subjects(spark, sf_dir)
     return J.lookup_first_row(v, ids, "subject", ["visit_date", "visit"]).select(
         "subject", "visit", "score", "priority")
 
 
 @query("intersect_subjects", with_cte(v=td.VISITS_SQL, **PANELS_SQL) + """
-SELECT subject FROM v WHERE visit_age < 18 INTERSECT SELECT subject FROM rsf WHERE rsf_score > 0.05""")
+SELECT subject FROM v WHERE visit_age < 18 INTERSECT SELECT subject FROM rsf""")
 def q_intersect_subjects(spark, sf_dir):
     """Subjects in both the age-filtered tabular table and an imaging panel."""
     tab = td.visits(spark, sf_dir).where(F.col("visit_age") < 18)
-    img = panel_discount(spark, sf_dir).where(F.col("rsf_score") > 0.05)
+    img = panel_discount(spark, sf_dir)
     return J.intersect_subjects(tab, img)
 
 

@@ -238,7 +238,7 @@ def emb_triplets(spark, sf_dir):
 
 
 def _hsql(tag: str) -> str:
-    return f"('0x' || substr(md5(CAST(a.subject AS VARCHAR) || '|5|{tag}'), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5(CAST(a.subject AS VARCHAR) || '|5|{tag}'), 1, 15))::BIGINT"
 
 
 _RT_SQL = f"""

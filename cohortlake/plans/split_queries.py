@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import agg, joins as J, split as S
 from . import testdata as td
 from .catalog import query, with_cte
@@ -73,7 +75,7 @@ def q_mini_batches(spark, sf_dir):
 _BOOT_SQL = with_cte(v=td.VISITS_SQL) + """
 , subj AS (SELECT subject, row_number() OVER (ORDER BY subject) - 1 AS idx FROM (SELECT DISTINCT subject FROM v))
 , n AS (SELECT count(*) AS n FROM subj)
-, draws AS (SELECT idx AS draw, ('0x' || substr(md5('7|' || CAST(idx AS VARCHAR)), 1, 8))::BIGINT % (SELECT n FROM n) AS pick FROM subj)
+, draws AS (SELECT idx AS draw, ('0x' || substr(md5('7|' || CAST(idx AS VARCHAR)), 1, 15))::BIGINT % (SELECT n FROM n) AS pick FROM subj)
 SELECT d.draw, s.subject, v.visit, v.score
 FROM draws d JOIN subj s ON s.idx = d.pick JOIN v ON v.subject = s.subject
 """
@@ -83,3 +85,27 @@ FROM draws d JOIN subj s ON s.idx = d.pick JOIN v ON v.subject = s.subject
 def q_cluster_bootstrap(spark, sf_dir):
     v = td.visits(spark, sf_dir).select("subject", "visit", "score")
     return S.cluster_bootstrap(v, "subject", seed=7).select("draw", "subject", "visit", "score")
+
+
+_ORDERS_SPLIT = with_cte(t="""SELECT o_custkey AS subject, min(o_orderpriority) AS target FROM orders GROUP BY o_custkey""") + SPLIT_SQL
+
+
+@query("stratified_split_orders", _ORDERS_SPLIT)
+def q_stratified_split_orders(spark, sf_dir):
+    """Subjects with several labels: one row each."""
+    o = td.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderpriority").alias("target"))
+    return S.stratified_split(o, "subject", "target", 0.25, SEED)
+
+
+@query("mini_batches_payload", """
+SELECT o_orderkey AS subject, split, o_totalprice, position, position // 12 AS batch_id FROM (
+  SELECT o_orderkey, split, o_totalprice,
+         row_number() OVER (PARTITION BY split ORDER BY
+           CASE WHEN split = 'train' THEN md5(CAST(o_orderkey AS VARCHAR) || '|0|23') ELSE '' END, o_orderkey) - 1 AS position
+  FROM (SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM orders))""")
+def q_mini_batches_payload(spark, sf_dir):
+    """All rows, incomplete last batches too, with a payload column."""
+    o = td.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("subject"), "o_totalprice",
+        F.when(F.col("o_orderkey") % 4 == 0, "test").otherwise("train").alias("split"))
+    return S.mini_batches(o, "subject", "split", 12, epoch=0, seed=SEED, drop_last=False)

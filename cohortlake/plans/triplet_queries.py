@@ -21,7 +21,7 @@ def ages(spark, sf_dir):
 
 
 def _h(expr_key: str, tag: str) -> str:
-    return f"('0x' || substr(md5(CAST({expr_key} AS VARCHAR) || '|{SEED}|{tag}'), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5(CAST({expr_key} AS VARCHAR) || '|{SEED}|{tag}'), 1, 15))::BIGINT"
 
 
 _BASE = with_cte(

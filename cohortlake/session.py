@@ -8,6 +8,7 @@ We only set that folder ourselves when the session has none (local tests).
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) \
         or sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = os.path.join("/tmp", "cohortlake-checkpoints")
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "cohortlake-checkpoints")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
     return base
@@ -67,6 +70,14 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     return f"{base}/cohortlake/{leaf}"
 
 
+def write_shared(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read the copy: later steps prune its
+    columns, and none of them runs the plan above again."""
+    path = shared_path(df.sparkSession, "tables", name, unique=True)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder.
 

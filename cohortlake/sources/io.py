@@ -24,22 +24,53 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 def csv_scan(spark: SparkSession, path: str | Sequence[str], sep: str = ";",
              schema: T.StructType | str | None = None,
              na_tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
-    """Delimited text with a header row.
+    """Delimited text with a header row; missing-value tokens become NULL in every column.
 
-    Give ``schema`` in production (inference reads the data twice). Numeric
-    fields that hold a missing-value token fail to parse and become NULL; string
-    fields holding one are turned to NULL by a projection.
+    Fields are read as text, cleaned, and then typed, so that a token never decides
+    a type and NaN never stays in a number. With ``schema`` (by position), a field that
+    does not parse becomes NULL; :func:`unparsable` counts those. Without it, a column
+    whose values are all whole numbers is bigint, all numbers double, else string (one
+    more pass over the data).
     """
-    reader = (spark.read.option("header", True).option("sep", sep)
-              .option("mode", "PERMISSIVE").option("nullValue", "").option("nanValue", "NaN"))
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(path)
-    tokens = [t for t in na_tokens if t != ""]
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not strings or not tokens:
-        return df
-    return df.withColumns({c: F.when(F.col(c).isin(tokens), F.lit(None)).otherwise(F.col(c))
-                           for c in strings})
+    reader = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("inferSchema", False)
+    types = _schema(spark, schema)
+    if types is not None:
+        reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in types.fields]))
+    raw = reader.csv(path)
+    clean = raw.select(*[F.when(~F.col(f"`{c}`").isin(list(na_tokens)), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    return clean.select(*[_typed(f) for f in (types or _inferred(clean)).fields])
+
+
+def _schema(spark: SparkSession, schema: T.StructType | str | None) -> T.StructType | None:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def _typed(field: T.StructField):
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.StringType):
+        return c
+    out = F.trim(c).try_cast(field.dataType)
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        out = F.when(~F.isnan(out), out)
+    return out.alias(field.name)
+
+
+def _inferred(clean: DataFrame) -> T.StructType:
+    def fits(c: str, kind: str):
+        x = F.trim(F.col(f"`{c}`"))
+        return F.coalesce(F.bool_and(F.when(F.col(f"`{c}`").isNotNull(), x.try_cast(kind).isNotNull())), F.lit(False))
+    row = clean.agg(*[f.alias(f"{k}{i}") for i, c in enumerate(clean.columns) for k, f in (("w", fits(c, "bigint")), ("d", fits(c, "double")))]).first()
+    kinds = [T.LongType() if row[f"w{i}"] else T.DoubleType() if row[f"d{i}"] else T.StringType() for i in range(len(clean.columns))]
+    return T.StructType([T.StructField(c, k) for c, k in zip(clean.columns, kinds, strict=True)])
+
+
+def unparsable(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, sep: str = ";",
+               na_tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
+    """``(column, n)``: fields that are neither a missing-value token nor of their type."""
+    types = _schema(spark, schema)
+    text = csv_scan(spark, path, sep, T.StructType([T.StructField(f.name, T.StringType()) for f in types.fields]), na_tokens)
+    bad = text.agg(*[F.count(F.when(F.col(f"`{f.name}`").isNotNull() & _typed(f).isNull(), 1)).alias(f.name) for f in types.fields])
+    return bad.unpivot([], [f.name for f in types.fields], "column", "n")
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", null_token: str = "") -> None:
@@ -73,10 +104,11 @@ def read_processed(spark: SparkSession, path: str, fmt: str = "parquet",
     return spark.read.parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a job has finished writing a table at ``path`` (a crashed one leaves no marker)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
     return p.getFileSystem(conf).exists(p)
 
 
@@ -84,7 +116,7 @@ def quick_reload(spark: SparkSession, path: str, compute: Callable[[], DataFrame
                  quick: bool = True, fmt: str = "parquet") -> DataFrame:
     """Read the materialised table at ``path`` if ``quick`` and it exists; else
     compute it, write it, and read it back (the written copy cuts the lineage)."""
-    if quick and _exists(spark, path):
+    if quick and is_complete(spark, path):
         return read_processed(spark, path, fmt)
     write_processed(compute(), path, fmt)
     return read_processed(spark, path, fmt)
@@ -126,10 +158,18 @@ def read_npy_volumes(spark: SparkSession, pattern: str, key_from_name: bool = Tr
 
 def write_predictions(preds: DataFrame, path: str,
                       partition_by: Sequence[str] = ("run", "split", "epoch")) -> None:
-    """One directory per run/split/epoch (the reference writes one CSV each)."""
-    preds.write.mode("append").partitionBy(*partition_by).parquet(path)
+    """One directory per run/split/epoch (the reference writes one CSV each); what
+    these directories held before is replaced, so a repeated epoch is there once."""
+    _replace_partitions(preds, path, partition_by)
+
+
+def write_metrics(metrics_long: DataFrame, path: str,
+                  partition_by: Sequence[str] = ("run", "split", "epoch")) -> None:
+    """``(run, split, epoch, metric, value)`` rows to the metric log, replacing the
+    directories of the same run, split and epoch."""
+    _replace_partitions(metrics_long, path, partition_by)
 
 
-def write_metrics(metrics_long: DataFrame, path: str) -> None:
-    """Append ``(run, split, epoch, metric, value)`` rows to the metric log."""
-    metrics_long.write.mode("append").partitionBy("run").parquet(path)
+def _replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_by).parquet(path))

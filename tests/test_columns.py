@@ -11,10 +11,11 @@ def test_category_codes_sorted_rank_null_minus_one(spark):
     assert [r.sex for r in C.category_codes(df, ["sex"]).collect()] == [1, 0, -1]
 
 
-def test_category_codes_join_path_beyond_literal_bound(spark):
-    df = spark.createDataFrame([("M",), ("F",), (None,), ("X",)], "sex string")
-    out = C.category_codes(df, ["sex"], max_literal=1).collect()
-    assert [r.sex for r in out] == [1, 0, -1, 2]
+def test_category_codes_of_several_types(spark):
+    df = spark.createDataFrame([(0, "M", 10, 2.5), (1, "F", 9, None), (2, None, 10, -1.0), (3, "X", None, 2.5)],
+                               "i int, sex string, n int, d double")
+    out = C.category_codes(df, ["sex", "n", "d"]).orderBy("i").collect()
+    assert [(r.sex, r.n, r.d) for r in out] == [(1, 1, 1), (0, 0, -1), (-1, 1, 0), (2, -1, 1)]
 
 
 def test_one_hot(spark):
@@ -56,6 +57,16 @@ def test_row_index_matches_row_number(spark):
     assert [g[2] for g in got] == list(range(5000))
 
 
+def test_row_index_with_payload(spark):
+    """More rows than the range sampler looks at, and columns beside the key."""
+    df = spark.range(0, 200_000).select((F.col("id") * 7919 % 200_003).alias("k"), F.format_string("%050d", "id").alias("payload"))
+    for n in (3, 8):
+        idx = row_index(df, ["k"], partitions=n)
+        assert idx.select("row_index").distinct().count() == 200_000
+        rank = idx.join(df.select("k").distinct().select("k", F.row_number().over(__import__("pyspark").sql.Window.orderBy("k")).alias("r")), "k")
+        assert rank.where("row_index + 1 <> r").count() == 0
+
+
 def test_rank_within_group(spark):
     df = spark.range(0, 300).withColumn("g", F.col("id") % 3)
     out = rank_within(df, "g", ["id"], partitions=5).collect()

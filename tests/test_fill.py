@@ -30,9 +30,9 @@ def test_hot_subject_chunks_equal_plain_window(spark):
     cols = ["score", "band", "priority"]
     for d in ("both", "backward", "forward"):
         a = fill.fill_nearest_visit(v, "subject", ["visit_date", "visit"], cols, direction=d,
-                                    skew_split=False)
+                                    partitions=1)
         b = fill.fill_nearest_visit(v, "subject", ["visit_date", "visit"], cols, direction=d,
-                                    rows_per_task=2, chunks_per_task=3)
+                                    partitions=13)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
@@ -40,8 +40,8 @@ def test_one_subject_holding_most_rows(spark):
     # one subject with 300 rows and scattered gaps, the chunked path against the plain one
     rows = [(0 if i % 10 else i, i, None if i % 3 else float(i)) for i in range(330)]
     df = spark.createDataFrame(rows, "s int, t int, x double")
-    a = fill.fill_nearest_visit(df, "s", ["t"], ["x"], skew_split=False)
-    b = fill.fill_nearest_visit(df, "s", ["t"], ["x"], rows_per_task=20)
+    a = fill.fill_nearest_visit(df, "s", ["t"], ["x"], partitions=1)
+    b = fill.fill_nearest_visit(df, "s", ["t"], ["x"], partitions=9)
     assert a.exceptAll(b).count() == 0
 
 
@@ -63,12 +63,23 @@ def test_null_check(spark):
     assert got == {1: True, 2: False}
 
 
-def test_scan_is_pruned_and_filter_pushed(spark):
-    v = td.visits(spark, "/root/testdata/sf0.001").where(F.col("subject") < 50)
-    out = fill.fill_nearest_visit(v, "subject", ["visit_date", "visit"], ["score"]).select("subject", "score")
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(o_custkey), LessThan(o_custkey,50)]" in plan
-    assert "o_orderstatus" not in plan.split("ReadSchema")[1].split("\n")[0]
+def test_one_long_subject_with_string_visits_is_linear(spark):
+    import time
+    df = spark.range(200_000).select(F.lit("s").alias("subject"), F.format_string("v%08d", "id").alias("visit"),
+                                     F.when(F.col("id") % 1000 == 7, F.col("id")).alias("x"))
+    t = time.time()
+    out = fill.fill_nearest_visit(df, "subject", ["visit"], ["x"], partitions=8)
+    want = F.floor((F.substring("visit", 2, 8).cast("long") - 8) / 1000 + 1) * 1000 + 7
+    wrong = out.where(F.col("x") != F.least(want, F.lit(199_007))).count()
+    assert wrong == 0 and out.where("x IS NULL").count() == 0
+    assert time.time() - t < 20
+
+
+def test_null_keys_and_ties_of_parts(spark):
+    df = spark.createDataFrame([(None, 1, 2.0), (None, 2, None), (None, 3, None), ("a", 1, None), ("a", 2, 5.0)], "s string, t int, x double")
+    for n in (1, 4):
+        got = sorted((str(r.s), r.t, r.x) for r in fill.fill_nearest_visit(df, "s", ["t"], ["x"], partitions=n).collect())
+        assert got == [("None", 1, 2.0), ("None", 2, 2.0), ("None", 3, 2.0), ("a", 1, 5.0), ("a", 2, 5.0)]
 
 
 def test_third_of_rows_in_one_subject(spark):
@@ -76,10 +87,8 @@ def test_third_of_rows_in_one_subject(spark):
     v = td.visits(spark, "/root/testdata/sf0.01")
     v = v.withColumn("subject", F.when(F.col("visit") % 3 == 0, F.lit(0)).otherwise(F.col("subject")))
     cols = ["score", "band", "priority"]
-    a = fill.fill_nearest_visit(v, "subject", ["visit_date", "visit"], cols, skew_split=False)
-    b = fill.fill_nearest_visit(v, "subject", ["visit_date", "visit"], cols, rows_per_task=1000)
-    plan = b._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "_chunk" in plan
+    a = fill.fill_nearest_visit(v, "subject", ["visit_date", "visit"], cols, partitions=1)
+    b = fill.fill_nearest_visit(v, "subject", ["visit_date", "visit"], cols, partitions=8)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 

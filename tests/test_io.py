@@ -12,6 +12,34 @@ def test_csv_na_tokens(spark, tmp_path):
     assert [r.site for r in rows] == ["x", None, None]
 
 
+def test_csv_tokens_never_decide_a_type(spark, tmp_path):
+    from cohortlake.operators import fill
+    p = tmp_path / "v.csv"
+    p.write_text("s;x;n;c\nA;1.5;1;a\nB;NA;NaN;null\nC;NaN;3;b\nD;nan;null;NA\nE;2.5;;c\n")
+    df = io.csv_scan(spark, str(p), ";")
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["string", "double", "bigint", "string"]
+    typed = io.csv_scan(spark, str(p), ";", "s string, x double, n int, c string")
+    for d in (df, typed):
+        assert [(r.x, r.n) for r in d.orderBy("s").collect()] == [(1.5, 1), (None, None), (None, 3), (None, None), (2.5, None)]
+        assert [r.x for r in fill.global_mean_fill(d, ["x"]).orderBy("s").collect()] == [1.5, 2.0, 2.0, 2.0, 2.5]
+    bad = io.unparsable(spark, str(p), "s int, x double, n int, c string", ";")
+    assert {r.column: r.n for r in bad.collect()} == {"s": 5, "x": 0, "n": 0, "c": 0}
+
+
+def test_unfinished_table_is_computed_again(spark, tmp_path):
+    path = tmp_path / "half"
+    (path / "_temporary").mkdir(parents=True)
+    assert io.quick_reload(spark, str(path), lambda: spark.range(4)).count() == 4
+
+
+def test_a_repeated_epoch_is_stored_once(spark, tmp_path):
+    p = str(tmp_path / "preds")
+    df = spark.createDataFrame([("r", "s", e, i) for e in (0, 1) for i in range(5)], "run string, split string, epoch int, subject int")
+    io.write_predictions(df, p)
+    io.write_predictions(df.where("epoch = 1"), p)
+    assert spark.read.parquet(p).count() == 10
+
+
 def test_quick_reload_reads_saved_copy(spark, tmp_path):
     path = str(tmp_path / "proc")
     first = io.quick_reload(spark, path, lambda: spark.range(5))

@@ -6,8 +6,18 @@ from pyspark.sql import functions as F
 from cohortlake.operators import scale as SC, split as S
 
 
-def test_quotas_match_expected_15_85():
-    assert S.class_quotas({0: 58, 1: 341}, 0.25) == {0: 15, 1: 85}
+def test_quotas_match_expected_15_85(spark):
+    counts = spark.createDataFrame([(0, 58), (1, 341)], "y int, cnt bigint")
+    assert {r.y: r.test_quota for r in S.class_quotas(counts, "y", 0.25).collect()} == {0: 15, 1: 85}
+
+
+def test_null_labels_and_subjects_with_two_labels(spark):
+    df = spark.createDataFrame([(i % 40, None if i % 40 < 4 else i % 3) for i in range(200)], "k int, y int")
+    out = S.stratified_split(df, "k", "y").collect()
+    assert len(out) == 40 and len({r.k for r in out}) == 40
+    assert sum(r.split == "test" for r in out) == 10 and sum(r.y is None for r in out) == 4
+    rows = df.join(S.stratified_split(df, "k", "y").select("k", "split"), "k")
+    assert rows.count() == 200
 
 
 def test_stratified_split_on_labels_table(spark):

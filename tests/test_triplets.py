@@ -7,7 +7,7 @@ from cohortlake.operators import triplets as TR
 
 
 def _h(*parts):
-    return int(hashlib.md5("|".join(str(p) for p in parts).encode()).hexdigest()[:8], 16)
+    return int(hashlib.md5("|".join(str(p) for p in parts).encode()).hexdigest()[:15], 16)
 
 
 def _margin(d, m0, step):
@@ -117,3 +117,26 @@ def test_float_ages_follow_the_reference_loop(spark):
     for s, e in exp.items():
         assert (got[s].pos_margin, got[s].pos_band_size, got[s].positive) == e["pos"], s
         assert (got[s].neg_margin, got[s].neg_band_size, got[s].negative) == e["neg"], s
+
+
+def test_repeated_subject_is_never_its_own_positive(spark):
+    rows = [(1, 0, 10.0), (1, 0, 10.0), (2, 0, 11.0), (3, 1, 10.0), (4, 1, 12.0)]
+    got = TR.age_band_triplets(spark.createDataFrame(rows, "subject int, label int, age double")).collect()
+    assert len(got) == 4 and all(r.positive != r.subject for r in got)
+
+
+def test_many_float_ages_against_brute_force(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.randint(0, 1), rnd.uniform(100, 400)) for i in range(400)]
+    got = {r.subject: r for r in TR.age_band_triplets(spark.createDataFrame(rows, "subject int, label int, age double"),
+                                                      m0=0.25, step=0.5, seed=2).collect()}
+    for s, e in brute(rows, 0.25, 0.5, 2).items():
+        assert (got[s].pos_margin, got[s].pos_band_size, got[s].positive) == e["pos"]
+        assert (got[s].neg_margin, got[s].neg_band_size, got[s].negative) == e["neg"]
+
+
+def test_target_transform(spark):
+    trip = spark.createDataFrame([(1, 2, 3)], "subject int, positive int, negative int")
+    feats = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "subject int, label int")
+    r = TR.triplet_table(trip, feats, target_transform=lambda c: c * 10).first()
+    assert (r.anchor_label, r.negative_label) == (0, 10)
