@@ -11,7 +11,7 @@ from . import testdata as td
 from .catalog import query, r6, with_cte
 from .join_queries import PANELS_SQL, panel_discount, panel_lineitem, panel_orders
 from .metric_queries import SCORED_SQL, TRAIN_SQL, W_SQL, _bce_sql, scored, train_rows
-from .split_queries import SEED, SPLIT_SQL
+from .split_queries import SEED, SPLIT_SQL, split_assignment
 from .triplet_queries import ages as subject_ages, split_triplet_table_sql
 
 ORDER = ["visit_date", "visit"]
@@ -169,8 +169,9 @@ UNION ALL SELECT run, split, epoch, 'bce_loss', round(bce_loss, 6) FROM bce
 
 
 def evaluation(spark, sf_dir):
-    w = SC.class_weight_value(train_rows(spark, sf_dir), "target")
-    return CP.evaluate_run(scored(spark, sf_dir), w)
+    a = split_assignment(spark, sf_dir)
+    w = SC.class_weight_value(train_rows(spark, sf_dir, a), "target")
+    return CP.evaluate_run(scored(spark, sf_dir, a), w)
 
 
 @query("evaluate_run", _EVAL_SQL)
@@ -189,3 +190,29 @@ def q_weighted_classifier(spark, sf_dir):
         raise ValueError("no positive training row")
     return CP.weighted_classifier(scaled, "target", td.TRAINING_FEATURES, w)
 
+
+
+_FITTED_SQL = with_cte(t=td.TRAINING_SQL, s=SPLIT_SQL) + """
+SELECT s.split, t.target, count(*) AS n, true AS better_than_constant
+FROM t JOIN s ON t.subject = s.subject GROUP BY ALL"""
+
+
+@query("weighted_classifier_fit", _FITTED_SQL)
+def q_weighted_classifier_fit(spark, sf_dir):
+    """Rows scored by split and label, and whether the fitted weighted loss on the
+    training rows is at most that of the best constant."""
+    scaled, _, weight, _ = CP.prepare_training_set(td.training(spark, sf_dir), "subject", "target",
+                                                   td.TRAINING_FEATURES, 0.25, SEED)
+    w = weight.select("class_weight").first()[0]
+    everything = (scaled.where(F.col("split") == "train").withColumn("part", F.lit("train"))
+                  .unionByName(scaled.withColumn("part", F.lit("test"))))  # fitted on the former, all scored
+    scores = CP.weighted_classifier(everything, "target", td.TRAINING_FEATURES, w, split_col="part")
+    p, y = F.col("probability"), F.col("y")
+    rw = F.when(y == 1, F.lit(float(w))).otherwise(1.0)
+    loss = -(y * F.log(F.greatest(p, F.lit(1e-12))) + (1 - y) * F.log(F.greatest(1 - p, F.lit(1e-12)))) * rw
+    base = F.sum(F.when(y == 1, rw)) / F.sum(rw)  # weighted share of positives
+    train = scores.where(F.col("split") == "train").agg(F.sum(loss).alias("loss"), F.sum(rw).alias("w"), base.alias("b"))
+    entropy = -(F.col("b") * F.log("b") + (1 - F.col("b")) * F.log(1 - F.col("b"))) * F.col("w")
+    better = train.select((F.col("loss") <= entropy + 1e-6).alias("ok")).first()["ok"]
+    return scores.groupBy("split", F.col("y").cast("int").alias("target")).agg(
+        F.count(F.lit(1)).alias("n")).withColumn("better_than_constant", F.lit(better))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as J
 from ..operators.arrays import volume_table
+from ..session import write_shared
 from . import testdata as td
 from .catalog import query, r6, with_cte
 
@@ -61,8 +62,12 @@ SELECT fa.subject, fa.visit, round(fa_score, 6) AS fa_score, round(t1_score, 6)
 FROM fa JOIN t1 ON fa.subject = t1.subject AND fa.visit = t1.visit
         JOIN rsf ON fa.subject = rsf.subject AND fa.visit = rsf.visit""")
 def q_join_three_way(spark, sf_dir):
-    out = J.join_panels(panel_orders(spark, sf_dir), panel_lineitem(spark, sf_dir),
-                        panel_discount(spark, sf_dir))
+    # both panels of the line items come from one join and one aggregate
+    x = _lineitem_by_customer(spark, sf_dir)
+    both = write_shared(x.groupBy(F.col("o_custkey").alias("subject"), F.year("l_shipdate").alias("visit"))
+                        .agg(F.avg("l_extendedprice").alias("t1_score"), F.max("l_discount").alias("rsf_score")), "panels")
+    out = J.join_panels(panel_orders(spark, sf_dir), both.select("subject", "visit", "t1_score"),
+                        both.select("subject", "visit", "rsf_score"))
     return out.select("subject", "visit", r6("fa_score"), r6("t1_score"), "rsf_score")
 
 

@@ -23,15 +23,15 @@ EPOCHS = (0, 1)
 FEATS = td.TRAINING_FEATURES
 
 
-def batches(spark, sf_dir):
-    a = split_assignment(spark, sf_dir)
+def batches(spark, sf_dir, assignment=None):
+    a = assignment or split_assignment(spark, sf_dir)
     return S.mini_batches_epochs(a, "subject", EPOCHS, "split", 12, seed=SEED)
 
 
-def scored(spark, sf_dir):
+def scored(spark, sf_dir, assignment=None):
     """run, split, epoch, batch_id, subject, label, sex, age, logit (documents)."""
     t = td.training(spark, sf_dir)
-    b = batches(spark, sf_dir).select("subject", "split", "epoch", "batch_id")
+    b = batches(spark, sf_dir, assignment).select("subject", "split", "epoch", "batch_id")
     j = b.join(t, "subject", "inner")
     return j.select(F.lit("r0").alias("run"), "split", "epoch", "batch_id", "subject",
                     F.col("target").alias("label"), "sex", "age",
@@ -110,9 +110,9 @@ def q_running_metrics(spark, sf_dir):
     return out.select("run", "split", "epoch", "batch_id", r6("batch_accuracy"), r6("running_accuracy"))
 
 
-def train_rows(spark, sf_dir):
+def train_rows(spark, sf_dir, assignment=None):
     t = td.training(spark, sf_dir)
-    return J.split_filter(t, split_assignment(spark, sf_dir), "train")
+    return J.split_filter(t, assignment or split_assignment(spark, sf_dir), "train")
 
 
 TRAIN_SQL = "SELECT * FROM t WHERE subject IN (SELECT subject FROM s WHERE split = 'train')"
@@ -169,9 +169,9 @@ def _scaled_sql(inverse: bool) -> str:
 
 def _scaled(spark, sf_dir):
     t = td.training(spark, sf_dir)
-    a = split_assignment(spark, sf_dir).select("subject", "split")
-    fit = SC.minmax_fit(train_rows(spark, sf_dir), FEATS)
-    return t.join(a, "subject"), fit
+    a = split_assignment(spark, sf_dir)
+    fit = SC.minmax_fit(train_rows(spark, sf_dir, a), FEATS)
+    return t.join(a.select("subject", "split"), "subject"), fit
 
 
 @query("minmax_transform", _scaled_sql(False))
@@ -229,7 +229,7 @@ def q_center_distance(spark, sf_dir):
 
 def emb_triplets(spark, sf_dir):
     e = emb(spark, sf_dir)
-    t = random_triplets(e.select(F.col("vec_id").alias("subject"), "label"), "subject", "label", 5)
+    t = random_triplets(e.select(F.col("vec_id").alias("subject"), F.col("y").alias("label")), "subject", "label", 5)
     vec = e.select(F.col("vec_id").alias("_id"), "embedding")
     return (t.join(vec.withColumnRenamed("embedding", "anchor_vec"), t.subject == F.col("_id")).drop("_id")
             .join(vec.withColumnRenamed("embedding", "positive_vec"), F.col("positive") == F.col("_id")).drop("_id")
@@ -248,8 +248,8 @@ JOIN (SELECT c1.label, min(c2.label) AS neg_label FROM (SELECT DISTINCT label FR
 JOIN r p ON p.label = a.label AND p.rk = {_hsql('rpos')} % a.n
 JOIN (SELECT label, max(n) AS n FROM r GROUP BY label) nn ON nn.label = n.neg_label
 JOIN r q ON q.label = n.neg_label AND q.rk = {_hsql('rneg')} % nn.n"""
-_R_SQL = """SELECT vec_id AS subject, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rk,
-                   count(*) OVER (PARTITION BY label) AS n FROM embeddings"""
+_R_SQL = """SELECT vec_id AS subject, y AS label, row_number() OVER (PARTITION BY y ORDER BY vec_id) - 1 AS rk,
+                   count(*) OVER (PARTITION BY y) AS n FROM (SELECT vec_id, CAST(label >= 5 AS INTEGER) AS y FROM embeddings)"""
 
 
 def _dist(a: str, b: str) -> str:
