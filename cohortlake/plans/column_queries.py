@@ -219,10 +219,10 @@ def q_row_index(spark, sf_dir):
 
 
 @query("row_index_payload", """
-SELECT l_orderkey, l_linenumber, l_extendedprice, flag, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS row_index
+SELECT l_orderkey, l_linenumber, l_extendedprice, flag, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_returnflag) - 1 AS row_index
 FROM (SELECT *, l_returnflag AS flag FROM lineitem)""")
 def q_row_index_payload(spark, sf_dir):
     """Positions in date order, with columns beside the key."""
     li = td.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate",
                                                     F.col("l_returnflag").alias("flag"))
-    return row_index(li, ["l_shipdate", "l_orderkey", "l_linenumber"]).drop("l_shipdate")
+    return row_index(li, ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "flag"]).drop("l_shipdate")
