@@ -31,7 +31,7 @@ UNKNOWN = 1e-7  # probability of a character that is no piece
 LONG = 1_000      # characters of a word at once
 CHUNK = 32      # longer words are cut, so that products stay in range
 WORDS = 3_000      # words whose lattices are built together
-MEMO = 300_000    # words that a worker remembers
+MEMO = 200_000    # words that a worker remembers
 UNDETERMINED = "und"
 
 
@@ -172,8 +172,8 @@ def count_words(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
     """``(lang, word, n)`` of all rows with a text and a label."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 8192):
-                part = batch.slice(start, 8192)
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
                 for lang in pc.unique(part.column(1)).to_pylist():
                     texts = part.column(0).filter(pc.equal(part.column(1), lang))
                     tokens = pc.value_counts(pc.utf8_split_whitespace(texts).flatten())
@@ -183,6 +183,7 @@ def count_words(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
                             words[word] += n
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words.keys(), pa.string()),
                                                       pa.array(words.values(), pa.int64())], names=["lang", "word", "n"])
+            pa.default_memory_pool().release_unused()
 
     x = docs.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang"))
     x = x.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -283,8 +284,8 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
         for batch in batches:
             names, scores = [], []
-            for start in range(0, batch.num_rows, 4096):
-                lists = pc.utf8_split_whitespace(pc.fill_null(batch.column(place).slice(start, 4096).cast(pa.string()), ""))
+            for start in range(0, batch.num_rows, 1024):
+                lists = pc.utf8_split_whitespace(pc.fill_null(batch.column(place).slice(start, 1024).cast(pa.string()), ""))
                 size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
                 tokens = lists.flatten().dictionary_encode()
                 index, sums = tokens.indices.to_numpy(zero_copy_only=False), token_sums(tokens.dictionary.to_pylist())
