@@ -115,6 +115,6 @@ def test_upper_layer_larger_than_a_batch():
 def test_graph_round_trip():
     x = np.random.default_rng(5).normal(size=(300, 8))
     ids, unit, graph = hnsw.shard_graph(np.arange(300), x, 8, 32)
-    again = hnsw.Graph.load(graph.dump())
+    again = hnsw.Graph.load(graph.dump(), graph.vecs)
     a, b = graph.search(unit[:20].astype(np.float32), 16), again.search(unit[:20].astype(np.float32), 16)
     assert (a[0] == b[0]).all() and (a[0][:, 0] == np.arange(20)).all()
