@@ -206,8 +206,8 @@ def keep_one(docs: DataFrame, shingle_words: int = 3, radius: int = 2, id_col: s
     group = F.when(F.col("component_id").isNull(), F.col("fp"))
     kept = fps.groupBy("component_id", group.alias("_g")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("k"))
-    i, k, h = free_names(docs, "_id", "_hash", "_h")
-    kept = kept.select(F.col("k.doc_id").alias(i), F.col("k.text_hash").alias(k))
-    x = docs.withColumn(h, F.xxhash64(text_col))
-    return (x.join(kept, x[id_col].eqNullSafe(kept[i]) & (x[h] == kept[k]), "left_semi")
-            .dropDuplicates([id_col, h]).drop(h))
+    # one key of both, in which nulls are equal, so that one exchange of the rows serves the join and the repeats
+    (key,) = free_names(docs, "_key")
+    kept = kept.select(F.struct(F.col("k.doc_id").alias("i"), F.col("k.text_hash").alias("h")).alias(key))
+    x = docs.withColumn(key, F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h")))
+    return x.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
