@@ -99,6 +99,34 @@ def test_hot_group_is_whole():
     assert len(u) >= 0.99 * links(ids, x, 0.9).sum() and len(set(zip(u.tolist(), v.tolist()))) == len(u)
 
 
+def recall_of_pairs(hot):
+    """Rare pairs with the nodes of a loose graph: the share found, where no audited
+    query has one, or a large group has most of the links."""
+    rng = np.random.default_rng(7)
+    nodes = rng.normal(size=(6000, 32))
+    group = rng.normal(size=(1, 32)) + 0.02 * rng.normal(size=(hot, 32))
+    ids, unit, graph = hnsw.shard_graph(np.arange(6000 + hot), np.concatenate([nodes, group]), 3, 4)
+    queries = rng.normal(size=(1000, 32))
+    audited = np.unique(np.linspace(0, 999, 40).astype(int))
+    free = np.setdiff1d(np.arange(1000), audited)
+    queries[free[::8]] = nodes[:len(free[::8])] + 0.3 * rng.normal(size=(len(free[::8]), 32))
+    if hot:
+        queries[audited[:-1]] = group[:len(audited) - 1]
+    q = hnsw._unit(queries)
+    u, v = hnsw.find_links(graph, ids, unit, 10**6 + np.arange(1000), q, 0.9, 16, 0.98, 40)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(q @ unit.T >= 0.9), strict=True) if a in free}
+    assert len(want) > 50
+    return len(want & set(zip(u.tolist(), v.tolist(), strict=True))) / len(want)
+
+
+def test_links_that_no_audited_query_has():
+    assert recall_of_pairs(0) >= 0.95
+
+
+def test_pairs_beside_a_large_group():
+    assert recall_of_pairs(200) >= 0.95
+
+
 def test_upper_layer_larger_than_a_batch():
     x = np.random.default_rng(6).normal(size=(3000, 8))
     level = hnsw.Graph.levels(len(x), 4)
