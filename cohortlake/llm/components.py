@@ -32,9 +32,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e = save(small, "edges")
 
 
-def local_roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of ``0..n-1`` over the edges ``u-v``."""
-    root = np.arange(n)
+def local_roots(n: int, u: np.ndarray, v: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """Smallest index reachable from each of ``0..n-1`` over the edges ``u-v``, and
+    over those that led to ``root``, a result of this function."""
+    root = np.arange(n) if root is None else root
     while len(u):
         a, b = root[u], root[v]
         open_ = a != b

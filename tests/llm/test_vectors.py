@@ -99,6 +99,47 @@ def test_hot_group_is_whole():
     assert len(u) >= 0.99 * links(ids, x, 0.9).sum() and len(set(zip(u.tolist(), v.tolist()))) == len(u)
 
 
+def test_equal_vectors_are_one_node(spark, monkeypatch):
+    """A third of the rows have the same vector, and some of them a near one: no task
+    sees a link between members, and all rows get their counts."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 8)).round(3)
+    x[:300] = x[0]
+    x[300:303] = x[0] + 0.01
+    x[500] = x[400]
+    frame = spark.createDataFrame([(int(i) + 1, e.tolist(), 0) for i, e in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    most, fold = spark.sparkContext.accumulator(0), hnsw.fold_links
+
+    def counted(batches, *rest):
+        def seen():
+            for u, w in batches:
+                most.add(len(u))
+                yield u, w
+        return fold(seen(), *rest)
+
+    monkeypatch.setattr(hnsw, "fold_links", counted)
+    got = {r.vec_id: r for r in hnsw.near_vectors(frame, 0.99, n_shards=2, query_rows=400).collect()}
+    near = links(np.arange(1, 901), x, 0.99)
+    i, j = np.nonzero(np.triu(near, 1))
+    root = local_roots(900, i, j) + 1
+    assert [got[k + 1].n_links for k in range(900)] == near.sum(1).tolist()
+    assert [got[k + 1].component_id for k in range(900)] == root.tolist()
+    assert [got[k + 1].kept for k in range(900)] == (root == np.arange(1, 901)).tolist()
+    assert near.sum() > 300 * 299 and most.value < 2000
+
+
+def test_links_are_folded_in_batches():
+    """Sums and roots over batches equal those over all links together."""
+    rng = np.random.default_rng(9)
+    ids, q_ids = np.arange(0, 4000, 2), np.arange(1000, 3000)
+    u, w = rng.integers(0, 2000, 900), rng.integers(0, 2000, 900)
+    size = rng.integers(1, 5, 2000)
+    per, names, root = hnsw.fold_links(((u[k:k + 7], w[k:k + 7]) for k in range(0, 900, 7)), q_ids, ids, size)
+    assert per.tolist() == np.bincount(u, weights=size[w], minlength=2000).astype(int).tolist()
+    a, b = np.searchsorted(names, q_ids[u]), np.searchsorted(names, ids[w])
+    assert root.tolist() == local_roots(len(names), a, b).tolist()
+
+
 def recall_of_pairs(hot):
     """Rare pairs with the nodes of a loose graph: the share found, where no audited
     query has one, or a large group has most of the links."""
