@@ -27,9 +27,9 @@ from .common import process_cache, save
 
 MARK = "▁"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
-UNKNOWN = 1e-7  # probability of a character that is no piece
+UNKNOWN = 1e-7  # probability of a character that is no piece, and least one of a piece
 LONG = 1_000      # characters of a word at once
-CHUNK = 32      # longer words are cut, so that products stay in range
+CHUNK = 32      # longer words are cut, so that products stay in range: UNKNOWN ** CHUNK is a double
 WORDS = 3_000      # words whose lattices are built together
 MEMO = 200_000    # words that a worker remembers
 UNDETERMINED = "und"
@@ -197,7 +197,8 @@ def learn(docs: DataFrame, path: str, text_col: str = "text", label_col: str = "
     probabilities [piece, language] (the last row: unknown characters).
 
     A language's probabilities are its expected counts plus ``smooth`` counts spread
-    as in all languages together.
+    as in all languages together; a share of them is spread evenly, ``UNKNOWN`` a
+    piece, so that what a corpus lacks is bounded evidence however large it is.
     """
     pieces = load_pieces(path)
     trie, unknown = Trie(pieces), len(pieces)
@@ -231,7 +232,7 @@ def learn(docs: DataFrame, path: str, text_col: str = "text", label_col: str = "
         expected[counts["piece"], counts["lang"]] = counts["n"]
         expected = expected[:unknown]
         pool = (expected.sum(1) + 0.01) / (expected.sum() + 0.01 * unknown)
-        theta[:unknown] = (expected + smooth * pool[:, None]) / (expected.sum(0) + smooth)
+        theta[:unknown] = UNKNOWN + (1 - UNKNOWN * unknown) * (expected + smooth * pool[:, None]) / (expected.sum(0) + smooth)
         shared.unpersist()
     n = np.array([n for _, n in sizes], dtype=float)
     return {"langs": langs, "prior": np.log((n + 1) / (n + 1).sum()) if langs else n, "trie": trie, "theta": theta}

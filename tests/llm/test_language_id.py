@@ -71,3 +71,44 @@ def test_small_memo(docs, monkeypatch):
     want = sorted((str(r.doc_id), r.lang_pred, round(r.score, 9)) for r in language_id.predict(d, model).collect())
     monkeypatch.setattr(language_id, "MEMO", 9000)
     assert sorted((str(r.doc_id), r.lang_pred, round(r.score, 9)) for r in language_id.predict(d, model).collect()) == want
+
+
+def log_total(word, model):
+    """Log of the sum over all segmentations of each chunk, in logs throughout."""
+    pieces, marked, out = {}, "▁" + word, np.zeros(len(model["langs"]))
+    for k, piece in enumerate(language_id.load_pieces(PATH)):
+        pieces[piece] = k
+    theta = np.log(model["theta"])
+    for start in range(0, len(marked), language_id.CHUNK):
+        chunk = marked[start:start + language_id.CHUNK]
+        alpha = np.full((len(chunk) + 1, len(model["langs"])), -np.inf)
+        alpha[0] = 0
+        for j in range(1, len(chunk) + 1):
+            for i in range(j):
+                k = pieces.get(chunk[i:j], len(pieces) if i == j - 1 else None)
+                if k is not None:
+                    alpha[j] = np.logaddexp(alpha[j], alpha[i] + theta[k])
+        out += alpha[-1]
+    return out
+
+
+def test_run_of_an_unseen_script(spark, monkeypatch):
+    """One long run of letters that training lacks, or that only another language has,
+    leaves the evidence of the other words, however large the corpus."""
+    han = "的一是在不了有和人这中大为上个国我以要他时来用们生到作地于出就分"
+    words = {"de": "und der die haus nicht", "en": "and the house not with", "zh": han}
+    seen = [(lang, w, 50_000_000) for lang in ("de", "en") for w in words[lang].split()]
+    english = " ".join(words["en"].split() * 40)
+    texts = [(1, english + " " + han), (2, han), (3, " ".join(words["de"].split() * 40) + " " + han)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert len(han) == 32
+    for also in ([], [("zh", w, 1000) for w in han]):
+        monkeypatch.setattr(language_id, "count_words", lambda *_, also=also: spark.createDataFrame(seen + also, "lang string, word string, n long"))
+        model = language_id.learn(docs, PATH)
+        got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+        for k, text in texts:
+            log = model["prior"] + sum(log_total(w, model) for w in text.split())
+            assert np.isfinite(log).all() and got[k].lang_pred == model["langs"][int(log.argmax())]
+            assert np.isclose(got[k].score, 1 / np.exp(log - log.max()).sum()) and 0 <= got[k].score <= 1
+        assert (got[1].lang_pred, got[3].lang_pred) == ("en", "de")
+        assert np.allclose(model["theta"][:-1].sum(0), 1)
