@@ -117,6 +117,24 @@ def _key(seed: int, source_no: int, a_pass: int) -> int:
     return (seed * 1_000_003 + int(source_no)) * 64 + int(a_pass)
 
 
+def _draw(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """How many of ``good`` are among ``take`` of all. From 1e9 on, where numpy draws
+    none: by the normal approximation, or with a variance below 1,000, when one side
+    has few, by the binomial one."""
+    every = good + bad
+    if every < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, take)) if take else 0
+    share = take / every
+    var = good * (bad / every) * share * (1 - share)
+    if var >= 1000:
+        got = round(good * share + var ** 0.5 * float(rng.standard_normal()))
+    elif good <= bad:
+        got = int(rng.binomial(good, share))
+    else:
+        got = take - int(rng.binomial(bad, share))
+    return min(max(got, 0, take - bad), good, take)
+
+
 def shard_counts(totals: np.ndarray, shard: int, shards: int, shard_slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Slots of each source before a shard, and in it."""
     counts, before = totals.astype(np.int64).copy(), np.zeros(len(totals), dtype=np.int64)
@@ -128,12 +146,12 @@ def shard_counts(totals: np.ndarray, shard: int, shards: int, shard_slots: int,
         if every < 1_000_000_000:
             rng = np.random.Generator(np.random.Philox(key=[seed, (lo << 32) | (hi & 0xFFFFFFFF)]))
             left = rng.multivariate_hypergeometric(counts, min(take, every), method="marginals")
-        else:  # the deviation is below 1 in 10,000: its expectation, by largest remainder
-            exact = counts.astype(np.float64) * (take / every)
-            left = np.minimum(np.floor(exact).astype(np.int64), counts)
-            missing = take - int(left.sum())
-            for i in np.argsort(left - exact, kind="stable")[:max(0, missing)]:
-                left[i] += left[i] < counts[i]
+        else:
+            rng = np.random.Generator(np.random.Philox(key=[seed, (lo << 32) | (hi & 0xFFFFFFFF)]))
+            left, rest, some = np.zeros_like(counts), every, min(take, every)
+            for i, c in enumerate(counts.tolist()):
+                left[i] = _draw(rng, c, rest - c, some)
+                rest, some = rest - c, some - int(left[i])
         if shard < mid:
             counts, hi = left, mid
         else:

@@ -58,6 +58,22 @@ def test_slots_use_blocks_evenly(docs):
     assert not slots.duplicated(["source_no", "slot"]).any()
 
 
+def test_draws_beyond_numpys_limit():
+    """Above 1e9 slots, too, the shards' counts vary as a draw without repeats does,
+    and add up to the totals."""
+    totals = np.array([6_000_000_000, 2_999_998_000, 2000, 0])
+    half = int(totals.sum()) // 2
+    got = np.array([mixture.shard_counts(totals, 0, 2, half, seed)[1] for seed in range(400)])
+    before, rest = mixture.shard_counts(totals, 1, 2, half, 0)
+    assert (before == got[0]).all() and (before + rest == totals).all() and (got.sum(1) == half).all()
+    share = totals / totals.sum()
+    sd = np.sqrt(totals.sum() / 4 * share * (1 - share))
+    assert (np.abs(got.mean(0) - totals / 2) <= 4 * sd / 20).all()
+    assert (np.abs(got.std(0) - sd) <= 0.2 * sd).all()
+    parts = [mixture.shard_counts(totals, k, 9, 1_000_000_000, 3)[1] for k in range(9)]
+    assert (sum(parts) == totals).all() and all(x.sum() == 1_000_000_000 and (x >= 0).all() for x in parts)
+
+
 def test_permutation():
     for n in (1, 2, 3, 17, 1000):
         p = mixture.permute(np.arange(n), n, 5)
