@@ -13,6 +13,7 @@ without itself.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,9 +43,11 @@ def word_terms(word: bytes) -> list[bytes]:
     return [word] + [chars[:n].encode() + b"*" for n in PREFIXES if len(chars) > n]
 
 
-def choose_terms(examples: DataFrame, max_terms: int, min_g2: float) -> list[bytes]:
-    """Of the terms of ``examples (text, y)`` that occur more often with label 1, those with a
-    likelihood-ratio statistic of ``min_g2`` or more, at most the ``max_terms`` highest."""
+def choose_terms(examples: DataFrame, max_terms: int, min_g2: float, min_lift: float) -> list[bytes]:
+    """Of the terms of ``examples (text, y)`` that are ``min_lift`` times as frequent with label 1
+    as with label 0 or more, those with a likelihood-ratio statistic of ``min_g2`` or more, at most the ``max_terms`` highest. The
+    bound rises to ``2 ln`` of the number of terms in three examples or more, which about one
+    term would pass by chance. Repeated texts count once."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(counts):
             terms = set(counts[0]) | set(counts[1])
@@ -59,6 +62,7 @@ def choose_terms(examples: DataFrame, max_terms: int, min_g2: float) -> list[byt
                     counts = Counter(), Counter()
         yield rows(counts)
 
+    examples = examples.groupBy(F.xxhash64("text"), "y").agg(F.first("text").alias("text")).select("text", "y")
     sizes = {r["y"]: r["n"] for r in examples.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     m0, m1 = float(sizes.get(0, 0)), float(sizes.get(1, 0))
     if not m0 or not m1:
@@ -69,7 +73,9 @@ def choose_terms(examples: DataFrame, max_terms: int, min_g2: float) -> list[byt
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     p = (F.col("n0") + F.col("n1")) / (m0 + m1)
     g2 = 2 * (part(F.col("n0"), m0 * p) + part(F.col("n1"), m1 * p) + part(m0 - F.col("n0"), m0 * (1 - p)) + part(m1 - F.col("n1"), m1 * (1 - p)))
-    best = (found.where(F.col("n1") * m0 > F.col("n0") * m1).withColumn("g2", F.round(g2, 6)).where(F.col("g2") >= min_g2)
+    found = save(found.where(F.col("n0") + F.col("n1") >= 3), "toxicity-terms")
+    least = max(min_g2, 2 * math.log(max(found.count(), 1)))
+    best = (found.where(F.col("n1") * m0 >= F.col("n0") * (m1 * min_lift)).withColumn("g2", F.round(g2, 6)).where(F.col("g2") >= least)
             .orderBy(F.desc("g2"), "term").limit(max_terms))
     return sorted(bytes(r["term"]) for r in best.select("term").collect())
 
@@ -135,26 +141,37 @@ class BlockMaxIndex:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the ``k`` nearest vectors with a cosine above 0; ties to the
         smaller id. ``without``: an id that takes no part."""
-        n, width = int(self.n), self.maxima.shape[1]
+        width = self.maxima.shape[1]
         bounds = weights @ self.maxima[terms] * (1 + 1e-12)
-        best_p, best_s, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or bounds[b] < kth:
+        order = np.argsort(-bounds, kind="stable")
+        best_p, best_s, kth, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 4
+        while at < width:
+            blocks = order[at:at + step]
+            blocks = blocks[(bounds[blocks] > 0) & (bounds[blocks] >= kth)]
+            if not len(blocks):
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                lo, hi = self.starts[t * width + b], self.starts[t * width + b + 1]
-                scores[self.place[lo:hi]] += w * self.weight[lo:hi]
-            scores = np.round(scores[:min(BLOCK, n - b * BLOCK)], 12)
-            at = np.flatnonzero((scores > 0) & (scores >= kth - 1e-12))
+            places, scores = self._scores(terms, weights, blocks)
             if without is not None:
-                at = at[self.ids[b * BLOCK + at] != without]
-            best_p, best_s = np.concatenate([best_p, b * BLOCK + at]), np.concatenate([best_s, scores[at]])
+                other = self.ids[places] != without
+                places, scores = places[other], scores[other]
+            best_p, best_s = np.concatenate([best_p, places[scores >= kth]]), np.concatenate([best_s, scores[scores >= kth]])
             keep = np.lexsort((self.ids[best_p], -best_s))[:k]
             best_p, best_s = best_p[keep], best_s[keep]
-            kth = best_s[-1] - 2e-12 if len(keep) == k else 0.0
+            kth = best_s[-1] - 1e-12 if len(keep) == k else 0.0
+            at, step = at + step, step * 4
         return best_p, best_s
 
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the vectors in ``blocks`` that share a term with the query, and their cosines."""
+        cells = (terms[:, None] * self.maxima.shape[1] + blocks).ravel()
+        lo = self.starts[cells]
+        size = self.starts[cells + 1] - lo
+        postings = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+        slot = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(terms)), size) + self.place[postings]
+        scores = np.bincount(slot, np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[postings], len(blocks) * BLOCK)
+        slot = np.flatnonzero(scores)
+        return blocks[slot // BLOCK] * BLOCK + slot % BLOCK, np.round(scores[slot], 12)
+
 
 def isotonic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rising steps ``(from vote, probability)`` by pooling adjacent violators; each step
@@ -178,7 +195,8 @@ def isotonic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tupl
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-                   k: int = 16, max_examples: int = 8192, max_terms: int = 1024, min_g2: float = 16.0, threshold: float = 0.3) -> DataFrame:
+                   k: int = 16, max_examples: int = 8192, max_terms: int = 1024, min_g2: float = 16.0,
+                   min_lift: float = 3.0, threshold: float = 0.3) -> DataFrame:
     """``doc_id, score, predicted, evidence``, one row per row of ``docs``: the probability of label 1, whether
     it is ``threshold`` or more (0 or 1), and the ``k`` nearest examples as structs of id, cosine and label.
 
@@ -201,11 +219,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learns: Column, id_col: s
     n_labels = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = {y: min(1.0, max_examples / max(n_labels.get(y, 0), 1)) for y in (0, 1)}
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    lab = lab.where(draw < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+    # written, so that Spark knows its size (two longs for each of about 2 * max_examples ids) before it joins the texts
+    lab = save(lab.where(draw < F.when(F.col("y") == 1, share[1]).otherwise(share[0])), "toxicity-labels")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     examples = save(texts.join(lab, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("doc_id", "y", "text"),
                     "toxicity-examples")
-    terms = choose_terms(examples.select("text", "y"), max_terms, min_g2)
+    terms = choose_terms(examples.select("text", "y"), max_terms, min_g2, min_lift)
 
     vectors = save(term_counts(texts, terms), "toxicity-vectors")
     n_docs = vectors.count()
