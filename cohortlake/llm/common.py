@@ -65,6 +65,14 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns of these names (in any case) under free names, and the map back
+    for ``withColumnsRenamed``: an operator that adds columns so named leaves their values alone."""
+    taken = [c for c in df.columns if c.lower() in {n.lower() for n in names}]
+    aside = free_names(df, *[f"_kept_{c}" for c in taken])
+    return df.withColumnsRenamed(dict(zip(taken, aside, strict=True))), dict(zip(aside, taken, strict=True))
+
+
 def process_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker process (tasks of the same
     worker share it)."""

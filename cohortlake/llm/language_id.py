@@ -58,6 +58,14 @@ class Trie:
     BITS = 20
     PROBES = 8
 
+    @classmethod
+    def of(cls, tables: dict) -> Trie:
+        """The trie whose ``vars`` are ``tables``. Broadcasts hold these, since an instance
+        would be unpickled by the name of its module, which executors need not have."""
+        out = cls.__new__(cls)
+        vars(out).update(tables)
+        return out
+
     def __init__(self, pieces: list[str]):
         self.unknown = len(pieces)
         nodes, keys, targets = {"": 0}, [], []
@@ -209,10 +217,11 @@ def learn(docs: DataFrame, path: str, text_col: str = "text", label_col: str = "
     theta[unknown] = UNKNOWN
     number = {lang: g for g, lang in enumerate(langs)}
     for _ in range(rounds if langs else 0):
-        shared = words.sparkSession.sparkContext.broadcast((trie, theta, number))
+        shared = words.sparkSession.sparkContext.broadcast((vars(trie), theta, number))
 
         def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tree, prob, numbers = shared.value
+            tables, prob, numbers = shared.value
+            tree = Trie.of(tables)
             total = np.zeros(prob.shape)
             for batch in batches:
                 for at in range(0, len(batch), WORDS):
@@ -246,21 +255,21 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     of these names are replaced; null ids and repeated rows pass through.
     """
     x = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model | {"id": uuid.uuid4().hex})
+    shared = docs.sparkSession.sparkContext.broadcast(model | {"trie": vars(model["trie"]), "id": uuid.uuid4().hex})
     place = x.columns.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         langs = m["langs"]
-        memo = process_cache("languages " + m["id"])
-        if not memo:  # words to rows of their log probabilities
-            memo.update(words={}, table=np.zeros((MEMO, len(langs))))
-        words, table = memo["words"], memo["table"]
+        memo = process_cache("languages")
+        if memo.get("id") != m["id"]:  # words to rows of their log probabilities; a worker keeps those of one model
+            memo.update(id=m["id"], words={}, table=np.zeros((MEMO, len(langs))), trie=Trie.of(m["trie"]))
+        words, table, trie = memo["words"], memo["table"], memo["trie"]
 
         def learn_words(new: list[str]) -> None:
             for at in range(0, len(new), WORDS):
                 part = new[at:at + WORDS]
-                lattice = Lattice(part, m["trie"])
+                lattice = Lattice(part, trie)
                 values = np.zeros((len(part), len(langs)))
                 np.add.at(values, lattice.owner, np.log(lattice.totals(lattice.forward(m["theta"][lattice.piece]))))
                 first = len(words)
