@@ -7,34 +7,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm import language_id, line_runs, mixture, packing, simhash
-from cohortlake.llm.common import fold, save
+from cohortlake.llm.common import fold, save, set_aside
 from cohortlake.llm.queries import tokenizer_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (``und``), or whose best language has a posterior below one half, go."""
+    """Documents without a letter (``und``), or whose best language has a posterior below one half, go.
+
+    Null and empty texts have no letter and go; repeated rows are judged each; rows with a null
+    id teach and are judged. An empty table stays empty. All columns keep their values,
+    also those named like the operator's own."""
     learns = F.coalesce(fold(F.col("doc_id"), 3) != 1, F.lit(True))
-    found = language_id.identify(docs, tokenizer_path("piece_bpe_32k.model"), learns)
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= 0.5)).select(*docs.columns)
+    rows, back = set_aside(docs, "lang_pred", "score")
+    found = language_id.identify(rows, tokenizer_path("piece_bpe_32k.model"), learns)
+    kept = found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= 0.5)).drop("lang_pred", "score")
+    return kept.withColumnsRenamed(back).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten or more documents hold go; documents stay, if need be empty."""
-    return line_runs.dedup_lines(docs, min_docs=10).select(*docs.columns)
+    """Lines that ten or more documents hold go; documents stay, if need be empty.
+
+    A null text becomes empty; repeated rows stay. All other columns keep their values."""
+    rows, back = set_aside(docs, "n_lines", "n_dropped")
+    return line_runs.dedup_lines(rows, min_docs=10).drop("n_lines", "n_dropped").withColumnsRenamed(back).select(*docs.columns)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints (3-word shingles) are within 2 bits, the one with the smallest id stays."""
+    """Of documents whose fingerprints (3-word shingles) are within 2 bits, the one with the smallest id stays.
+
+    Texts without words (null or empty) are near duplicates of each other."""
     return simhash.keep_one(docs, shingle_words=3, radius=2)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at weights 1, 2, 3: one row per document and pass that takes words of it."""
+    """Sources at weights 1, 2, 3: one row per document and pass that takes words of it.
+
+    A null source is one of its own; documents without words take no part."""
     return mixture.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents in sequences of 1024 tokens."""
+    """Pieces of the mixed documents in sequences of 1024 tokens; an empty text is its end token."""
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
