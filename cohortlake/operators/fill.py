@@ -1,10 +1,10 @@
 """Missing-value fills: per-subject next/previous visit, then global mode and mean.
 
-A subject can hold a large share of all rows. ``fill_nearest_visit`` deals rows over
-range partitions of (subject, visit order), so that a large subject spans several
-parts, fills inside each (subject, part) by windows that read every row once per
-side, and carries values across parts from a summary of the subjects that span more
-than one. One plan for all sizes and for any type of the order columns.
+A subject can hold a large share of all rows. ``fill_nearest_visit`` numbers rows by
+range parts of (subject, visit order), so that a large subject spans several parts,
+fills inside each (subject, part) by windows (one exchange, a sort for each side), and
+carries values across parts from a summary of the subjects that span more than one.
+One plan for all sizes and for any type of the order columns; nothing is written.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .index import range_partitioned
+from .index import range_parts
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
             T.DoubleType, T.DecimalType)
@@ -57,27 +57,23 @@ def nearest_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], col
                    partitions: int | None = None) -> DataFrame:
     """Add, for the i-th of ``columns``, ``_p<i>``: the last non-null value at or before the
     row in its group's order, and ``_n<i>``: the first one at or after it."""
-    rows = range_partitioned(df, [*keys, *order], partitions)
+    rows, spanning = range_parts(df, [*keys, *order], partitions, len(keys))
     known, carries, edges = {}, {}, []
     for side in sides:  # the next value is the last one in falling order: no frame reads ahead
-        rising = side == "p"
-        place, part = (F.col("_place").asc(), F.col("_part").asc()) if rising else (F.col("_place").desc(), F.col("_part").desc())
-        inside = Window.partitionBy(*keys, "_part").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
-        across = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-        pick = F.max_by if rising else F.min_by
+        turn = F.asc if side == "p" else F.desc
+        inside = Window.partitionBy(*keys, "_part").orderBy(*[turn(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+        across = Window.partitionBy(*keys).orderBy(turn("_part")).rowsBetween(Window.unboundedPreceding, -1)
+        pick = F.max_by if side == "p" else F.min_by
         for i, c in enumerate(columns):
             known[f"_{side}{i}"] = F.last(c, ignorenulls=True).over(inside)
-            edges.append(pick(F.col(c), F.when(F.col(c).isNotNull(), F.col("_place"))).alias(f"_e{side}{i}"))
+            edges.append(pick(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_e{side}{i}"))
             carries[f"_c{side}{i}"] = F.last(f"_e{side}{i}", ignorenulls=True).over(across)
-    # at most two rows for each border between parts, and the parts inside large groups
-    spans = rows.groupBy(*keys).agg(F.min("_part").alias("_lo"), F.max("_part").alias("_hi")).where("_lo < _hi").select(*keys)
-    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    summary = rows.alias("r").join(spans.alias("s"), on, "left_semi").groupBy(*keys, "_part").agg(*edges)
+    # one row for each part of a group that spans some: at most two for each bound, and the parts inside large groups
+    summary = spanning.groupBy(*keys, "_part").agg(*edges)
     summary = summary.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.col("_part").alias("_kp"),
                              *[c.alias(name) for name, c in carries.items()])
-    filled = rows.withColumns(known)
-    out = filled.join(summary, [*[filled[k].eqNullSafe(summary[f"_k{j}"]) for j, k in enumerate(keys)],
-                                filled["_part"] == summary["_kp"]], "left")
+    on = [*[F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)], F.col("_part") == F.col("_kp")]
+    out = rows.withColumns(known).join(F.broadcast(summary), on, "left")
     return out.select(*df.columns, *[F.coalesce(f"_{side}{i}", f"_c{side}{i}").alias(f"_{side}{i}")
                                      for side in sides for i in range(len(columns))])
 

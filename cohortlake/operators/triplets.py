@@ -25,13 +25,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_int
 from ..session import write_shared
 from .fill import nearest_values
-from .index import range_partitioned, rank_within
+from .index import rank_within, running
 
 
 def final_margin(d, m0: float, step: float):
@@ -54,14 +54,8 @@ def _age_table(df: DataFrame, label: str, age: str) -> DataFrame:
 
     Cumulated inside range parts of (label, age), then across the parts of a class."""
     d = df.groupBy(label, age).agg(F.count(F.lit(1)).alias("cnt"))
-    r = range_partitioned(d, [label, age])
-    inside = Window.partitionBy(label, "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    across = Window.partitionBy(label).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = r.groupBy(label, "_part").agg(F.sum("cnt").alias("_n"))
-    before = sums.select(F.col(label).alias("_l"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"))
-    r = r.withColumn("_in", F.sum("cnt").over(inside))
-    return (r.join(before, r[label].eqNullSafe(before["_l"]) & (r["_part"] == before["_p"]))
-            .select(label, age, "cnt", (F.col("_before") + F.col("_in")).alias("cum_end")))
+    # counted and cumulated once: probes, bounds of parts and joins all read the small written table
+    return write_shared(running(d, [label], [age], F.col("cnt"), "cum_end"), "age-table")
 
 
 def _asof(d: DataFrame, probes: DataFrame, label: str, age: str, sides: str) -> DataFrame:

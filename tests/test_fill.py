@@ -114,3 +114,30 @@ def test_fill_matches_python_on_random_groups(spark):
             nxt = next((y for y in xs[i:] if y is not None), None)
             prv = next((y for y in reversed(xs[:i + 1]) if y is not None), None)
             assert got[(s, i)] == (nxt if nxt is not None else prv)
+
+
+def test_parts_follow_the_order_and_hold_their_share(spark, monkeypatch):
+    """Many bounds (searched in an array) and few (a tree) number rows alike; nulls come first."""
+    from cohortlake.operators import index
+    df = spark.range(5000).select(F.when(F.col("id") % 9 != 0, F.col("id") % 3).alias("g"), F.format_string("k%05d", "id").alias("k"),
+                                  F.timestamp_micros(F.col("id") * 1234567).alias("t"), (F.col("id") / 7).alias("x"))
+    for tree in (0, 1000):
+        monkeypatch.setattr(index, "TREE", tree)
+        rows, spanning = index.range_parts(df, ["g", "x", "k", "t"], 100, 1)
+        got = [r._part for r in sorted(rows.collect(), key=lambda r: (r.g is not None, r.g or 0, r.x, r.k))]
+        assert got == sorted(got) and len(set(got)) > 80 and max(got.count(p) for p in set(got)) < 5 * 50
+        assert spanning.count() == 5000  # each of the four groups spans parts
+    lone, few = index.range_parts(df, ["k"], 100, 1)
+    assert few.count() <= 99 and lone.count() == 5000
+
+
+def test_row_index_and_rank_over_many_parts(spark):
+    from cohortlake.operators import index
+    df = spark.range(999).select(F.when(F.col("id") % 5 > 0, F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 999).alias("k"))
+    for n in (1, 7):
+        found = sorted((r.k, r.row_index) for r in index.row_index(df, ["k"], partitions=n).collect())
+        assert found == [(i, i) for i in range(999)]
+        ranks = index.rank_within(df, "g", ["k"], partitions=n).collect()
+        for g in (None, 0, 1):
+            inside = sorted((r.k, r.rank_in_group) for r in ranks if r.g == g)
+            assert [k for _, k in inside] == list(range(len(inside))) and len(inside) > 190
