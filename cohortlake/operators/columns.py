@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (CODE_COLUMNS, CONFOUNDERS, CONSTRUCT_RENAMES, HOUR_CODES,
                          HOUR_COLUMNS, ONE_HOT_COLUMNS, REDUNDANT_COLUMNS,
                          STROOP_ERROR_WEIGHTS, STROOP_MISS_WEIGHTS)
 from ..functions.exprs import hour_code, weighted_sum
+from .index import rank_within
 
 
 def project_target(df: DataFrame, target: str, key: str = "subject") -> DataFrame:
@@ -89,11 +90,11 @@ def hours_to_codes(df: DataFrame, columns: Sequence[str] = HOUR_COLUMNS,
 
 def code_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(name, value, code)``: 0-based rank of each distinct non-null value of its
-    column in sorted order. Columns of one type; distinct values are found in one pass."""
+    column in sorted order. Columns of one type; distinct values are found in one pass
+    and ranked over range parts, so that no task holds a column's values."""
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns])).alias("e")
     values = df.select(each).select("e.*").where(F.col("value").isNotNull()).distinct()
-    code = F.row_number().over(Window.partitionBy("name").orderBy("value")) - 1
-    return values.select("name", "value", code.cast("int").alias("code"))
+    return rank_within(values, "name", ["value"], "code").withColumn("code", F.col("code").cast("int"))
 
 
 def category_codes(df: DataFrame, columns: Sequence[str] = CODE_COLUMNS) -> DataFrame:
@@ -118,11 +119,12 @@ def category_codes(df: DataFrame, columns: Sequence[str] = CODE_COLUMNS) -> Data
 
 
 def one_hot(df: DataFrame, columns: Sequence[str] = ONE_HOT_COLUMNS,
-            values: Mapping[str, Sequence] | None = None) -> DataFrame:
+            values: Mapping[str, Sequence] | None = None, max_values: int = 10_000) -> DataFrame:
     """One 0/1 column ``<col>_<value>`` per sorted distinct value; source dropped.
 
     Null rows get all zeros. New columns go last. ``values`` names the values of a
-    column; without it they are collected, since each becomes a column of the schema.
+    column; without it they are counted and, up to ``max_values``, collected, since each
+    becomes a column of the schema. More of them are an error that names their number.
     """
     out = df
     for c in columns:
@@ -130,7 +132,9 @@ def one_hot(df: DataFrame, columns: Sequence[str] = ONE_HOT_COLUMNS,
             continue
         given = (values or {}).get(c)
         if given is None:
-            given = [r[0] for r in out.select(c).where(F.col(c).isNotNull()).distinct().collect()]
+            given = [r[0] for r in out.select(c).where(F.col(c).isNotNull()).distinct().limit(max_values + 1).collect()]
+            if len(given) > max_values:
+                raise ValueError(f"{c!r} has {out.select(c).distinct().count()} values, more than {max_values}: name those to use in values")
         new = {f"{c}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)) for v in sorted(given)}
         out = out.withColumns(new).drop(c)
     return out

@@ -91,18 +91,36 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
             if isinstance(f.dataType, _NUMERIC) and f.name not in exclude]
 
 
+def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
+    """The most frequent value of each column as a scalar subquery; ties go to the smallest,
+    a column without values has null.
+
+    Values are counted in long form, a row for each (column, value), and reduced by a
+    minimum over (falling count, value): both aggregates combine before their exchange
+    and no buffer holds a column's values, however many there are. One pass for
+    all columns of a type."""
+    by_type: dict[str, list[str]] = {}
+    for c in columns:
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    out: dict[str, Column] = {}
+    for same in by_type.values():
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(same)])).alias("e")
+        counts = df.select(each).select("e.*").where(F.col("v").isNotNull()).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+        best = counts.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("b"))  # a row for each column
+        row = best.agg(F.struct(*[F.max(F.when(F.col("i") == i, F.col("b.v"))).alias(f"m{i}") for i in range(len(same))])).scalar()
+        out.update({c: row.getField(f"m{i}") for i, c in enumerate(same)})
+    return out
+
+
 def global_mode_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill nulls with the column's most frequent value; ties go to the smallest.
 
-    All modes come from ONE scalar subquery (a single aggregate whose partial
-    maps are merged across tasks), so the table is scanned once for them.
-    A column with no value at all stays null.
+    A column with no value at all stays null. See :func:`column_modes`.
     """
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
-    stats = df.agg(F.struct(*[F.mode(c, deterministic=True).alias(c) for c in columns])).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c), stats.getField(c)) for c in columns})
+    return df.withColumns({c: F.coalesce(F.col(c), mode) for c, mode in column_modes(df, columns).items()})
 
 
 def global_mean_fill(df: DataFrame, columns: Sequence[str] | None = None,
@@ -125,19 +143,16 @@ def null_check(df: DataFrame, key: str | Sequence[str], columns: Sequence[str])
 
 
 def global_fill(df: DataFrame, mode_columns: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
-    """Mode fill of ``mode_columns`` then mean fill of every other numeric column,
-    with all statistics from ONE aggregate (one scan).
+    """Mode fill of ``mode_columns`` then mean fill of every other numeric column.
 
     Equivalent to :func:`global_mode_fill` followed by :func:`global_mean_fill`:
     mode-filled columns have no nulls left, so their means are never used, and the
-    other columns' means do not depend on the mode fill.
+    other columns' means do not depend on the mode fill. The means come from one aggregate.
     """
     modes = [c for c in mode_columns if c in df.columns]
     means = [c for c in numeric_columns(df, exclude) if c not in modes]
-    if not modes and not means:
-        return df
-    stats = df.agg(F.struct(*[F.mode(c, deterministic=True).alias(f"m_{c}") for c in modes],
-                            *[F.bround(F.avg(c), 0).alias(f"a_{c}") for c in means])).scalar()
-    fills = {c: F.coalesce(F.col(c), stats.getField(f"m_{c}")) for c in modes}
-    fills.update({c: F.coalesce(F.col(c), stats.getField(f"a_{c}")) for c in means})
-    return df.withColumns(fills)
+    fills = {c: F.coalesce(F.col(c), mode) for c, mode in column_modes(df, modes).items()}
+    if means:
+        stats = df.agg(F.struct(*[F.bround(F.avg(c), 0).alias(f"a_{c}") for c in means])).scalar()
+        fills.update({c: F.coalesce(F.col(c), stats.getField(f"a_{c}")) for c in means})
+    return df.withColumns(fills) if fills else df

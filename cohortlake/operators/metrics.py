@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..constants import CENTER_MIX
 from ..functions.exprs import bce_with_logits, pairwise_distance, predict_tag, sigmoid, \
     squared_distance
+from .index import running
 
 EPOCH_KEYS = ["run", "split", "epoch"]
 
@@ -68,6 +69,85 @@ def class_centers(emb: DataFrame, label: str = "label", vec: str = "embedding")
     return emb.groupBy(label).agg(vector_to_array(mean).alias("center"))
 
 
+def learned_centers(emb: DataFrame, start: DataFrame, rate: float, label: str = "label", vec: str = "embedding",
+                    batch: str = "batch_id") -> DataFrame:
+    """``label, center`` after one epoch of gradient descent on the centre loss over the batches in
+    order, from ``start (label, center)``.
+
+    With the loss ``sum |x - c|^2 / B`` over a batch of B rows, a step of size ``eta``
+    moves the centre of a class with n rows in it to ``(1 - rate n / B) c + rate / B sum x``,
+    where ``rate`` is ``2 eta`` times the loss's weight. Steps are affine maps, so an
+    epoch is one: the start shrinks by the product of all factors, a batch's sum by
+    the factors after it. Those are running sums of logarithms over (class, batch) rows,
+    and the vectors are added up by one aggregate, without a job for each batch. A class
+    that does not occur keeps its start; ``rate`` must be below 1.
+    """
+    if not 0 <= rate < 1:
+        raise ValueError("rate must be at least 0 and below 1")
+    rows = emb.select(F.col(label).alias("_l"), F.col(batch).cast("long").alias("_b"), F.transform(vec, lambda x: x.cast("double")).alias("_v"))
+    sums = rows.groupBy("_l", "_b").agg(F.count(F.lit(1)).alias("_n"), Summarizer.sum(array_to_vector("_v")).alias("_s"))
+    sizes = sums.groupBy("_b").agg(F.sum("_n").alias("_size"))
+    factor = F.log(1 - F.lit(float(rate)) * F.col("_n") / F.col("_size"))
+    steps = sums.join(sizes, "_b").select("_l", "_s", "_size", (-F.col("_b")).alias("_back"), factor.alias("_f"))
+    steps = running(steps, ["_l"], ["_back"], F.col("_f"), "_sum")  # the factors of this batch and those after it
+    weight = F.exp(F.col("_sum") - F.col("_f")) * F.lit(float(rate)) / F.col("_size")
+    scaled = array_to_vector(F.transform(vector_to_array("_s"), lambda x: x * F.col("_w")))
+    moved = steps.withColumn("_w", weight).groupBy("_l").agg(F.exp(F.sum("_f")).alias("_keep"), Summarizer.sum(scaled).alias("_add"))
+    out = start.join(moved, F.col(label) == F.col("_l"), "left")
+    center = F.zip_with("center", vector_to_array("_add"), lambda c, x: F.col("_keep") * c + x)
+    return out.select(label, F.when(F.col("_keep").isNull(), F.col("center")).otherwise(center).alias("center"))
+
+
+def row_losses(scored: DataFrame, pos_weight: Column | float, centers: DataFrame | None = None, label: str = "label",
+               center_label: str = "label", vec: str = "embedding", positive: str | None = None, negative: str | None = None,
+               margin: float = 1.0, eps: float = 1e-6) -> DataFrame:
+    """Scored rows with ``_hit`` and ``_bce``, with ``_center`` (squared distance to the centre of
+    the row's class, in its bounds) where ``centers (center_label, center)`` are given, and ``_triplet``
+    (the margin loss of the row as anchor; null without a pair) where the columns of its positive and
+    negative vector are. A class without a centre has a null ``_center``."""
+    out = with_prediction(scored)
+    out = out.withColumns({"_hit": (F.col(label) == F.col("prediction")).cast("long"),
+                           "_bce": bce_with_logits(F.col("logit"), F.col(label), pos_weight)})
+    if centers is not None:
+        c = centers.select(F.col(center_label).alias("_cl"), F.col("center").alias("_c"))
+        d = squared_distance(F.col(vec), F.col("_c"))
+        out = out.join(c, F.col(center_label) == F.col("_cl"), "left").withColumn("_center", F.least(F.greatest(d, F.lit(1e-12)), F.lit(1e12)))
+        out = out.withColumn("_center", F.when(F.col("_cl").isNotNull(), F.col("_center"))).drop("_cl", "_c")
+    if positive is not None and negative is not None:
+        hinge = F.greatest(pairwise_distance(F.col(vec), F.col(positive), eps) - pairwise_distance(F.col(vec), F.col(negative), eps) + margin, F.lit(0.0))
+        out = out.withColumn("_triplet", F.when(F.col(positive).isNotNull() & F.col(negative).isNotNull(), hinge))
+    return out
+
+
+def step_metrics(losses: DataFrame, keys: Sequence[str] = EPOCH_KEYS, step: str = "batch_id", label: str = "label",
+                 n_classes: int | Column = 1, mix: Mapping[str, float] = CENTER_MIX) -> DataFrame:
+    """The metric log ``(keys, step, metric, value)`` of :func:`row_losses`: a row for each step and, with a null
+    step, for each epoch.
+
+    One aggregate over the rows by (keys, step, label) carries the counts and sums of all
+    losses; steps and epochs are sums of its rows by grouping sets. ``n_classes`` is the
+    number of centres; ``mix`` weighs the losses of ``combined_loss``.
+    """
+    have = [m for m in ("bce", "center", "triplet") if f"_{m}" in losses.columns]
+    parts = losses.groupBy(*keys, step, label).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_hit").alias("_hits"),
+        *[F.sum(f"_{m}").alias(f"_s_{m}") for m in have], *[F.count(f"_{m}").alias(f"_n_{m}") for m in have])
+    carried = ["_n", "_hits", *[f"_{x}_{m}" for x in "sn" for m in have]]
+    sets = [[*keys, step, label], [*keys, label]]
+    by_label = parts.groupingSets(sets, *keys, step, label).agg(*[F.sum(c).alias(f"{c}_") for c in carried], F.grouping(step).alias("_epoch"))
+    k = n_classes if isinstance(n_classes, Column) else F.lit(int(n_classes))
+    mean = {m: F.sum(f"_s_{m}_") / F.sum(f"_n_{m}_") for m in have}
+    if "center" in mean:
+        mean["center"] = mean["center"] + (k - 1).cast("double") * F.lit(1e-12)
+    wide = by_label.groupBy(*keys, step, "_epoch").agg((F.sum("_hits_") / F.sum("_n_")).alias("accuracy"),
+                                                       F.avg(F.col("_hits_") / F.col("_n_")).alias("macro_accuracy"),
+                                                       *[c.alias(f"{m}_loss") for m, c in mean.items()])
+    names = ["accuracy", "macro_accuracy", *[f"{m}_loss" for m in have]]
+    if all(m in have for m in mix):
+        wide, names = wide.withColumn("combined_loss", combined_loss(wide, mix)), [*names, "combined_loss"]
+    return metrics_long(wide, [*keys, step], names).withColumnRenamed(step, "step")
+
+
 def center_loss(emb: DataFrame, centers: DataFrame, keys: Sequence[str], label: str = "label",
                 vec: str = "embedding", n_classes: int | Column | None = None) -> DataFrame:
     """Per group: ``sum(clamp(|x - c_y|^2, 1e-12, 1e12)) / n + (k-1) * 1e-12``.

@@ -54,15 +54,13 @@ def tabular_preparation(df: DataFrame, key: str = "subject",
 
 def load_tabular(spark: SparkSession, input_path: str, write_path: str, quick: bool = True,
                  write: bool = True, schema=None, **prep) -> DataFrame:
-    """Read the visit CSV; with ``quick`` read the saved processed table instead of recomputing."""
-    target = f"{write_path.rstrip('/')}/processed"
-    if quick and io.is_complete(spark, target):
-        return io.read_processed(spark, target)
-    out = tabular_preparation(io.csv_scan(spark, input_path, ",", schema), **prep)
-    if write:
-        io.write_processed(out, target)
-        return io.read_processed(spark, target)
-    return out
+    """Read the visit CSV and prepare it; with ``quick``, a copy written from the same files and
+    arguments is read instead."""
+    def compute():
+        return tabular_preparation(io.csv_scan(spark, input_path, ",", schema), **prep)
+    if not write:
+        return compute()
+    return io.reload_unchanged(spark, f"{write_path.rstrip('/')}/processed", [input_path], compute, schema, sorted(prep.items()), quick=quick)
 
 
 def load_with_imaging(spark: SparkSession, tabular: DataFrame, fa: DataFrame, t1: DataFrame,
@@ -77,6 +75,24 @@ def load_with_imaging(spark: SparkSession, tabular: DataFrame, fa: DataFrame, t1
     return out
 
 
+def load_with_imaging_files(spark: SparkSession, input_path: str, panels: Sequence[str], write_path: str, quick: bool = True,
+                            keys: Sequence[str] = ("subject", "visit"), schema=None, panel_schemas: Sequence | None = None,
+                            sep: str = ";", **prep) -> DataFrame:
+    """The whole load from text files: the visit CSV prepared (:func:`load_tabular`), two or three
+    imaging CSVs scanned and joined on ``keys``, and both joined.
+
+    With ``quick``, the joined table and the prepared one are each read from a copy
+    written from the same files and arguments, if there is one."""
+    panel_schemas = list(panel_schemas or [None] * len(panels))
+
+    def compute():
+        tabular = load_tabular(spark, input_path, write_path, quick, True, schema, **prep)
+        scans = [io.csv_scan(spark, p, sep, kind) for p, kind in zip(panels, panel_schemas, strict=True)]
+        return load_with_imaging(spark, tabular, scans[0], scans[1], scans[2] if len(scans) > 2 else None, keys)
+    return io.reload_unchanged(spark, f"{write_path.rstrip('/')}/processed_with_imaging", [input_path, *panels], compute,
+                               list(keys), schema, panel_schemas, sep, sorted(prep.items()), quick=quick)
+
+
 def prepare_training_set(df: DataFrame, key: str, target: str, features: Sequence[str],
                          test_fraction: float = S.TEST_FRACTION, seed: int = K.SPLIT_SEED):
     """Split -> fit scaler on train -> scale both -> key and target in front ->
@@ -94,10 +110,15 @@ def prepare_training_set(df: DataFrame, key: str, target: str, features: Sequenc
 def prepare_triplets(ages: DataFrame, features: DataFrame, key: str = "subject",
                      label: str = "label", age: str = "age", m0: float = 12.0, step: float = 6.0,
                      test_fraction: float = S.TEST_FRACTION, seed: int = K.SPLIT_SEED,
-                     draw_seed: int = 5) -> DataFrame:
+                     draw_seed: int = 5, scale: Sequence[str] = ()) -> DataFrame:
     """Split subjects, then mine age-band triplets inside each split separately
-    (anchors only meet candidates of their own split) and attach features."""
+    (anchors only meet candidates of their own split) and attach features. Those
+    named by ``scale`` are scaled to -1..1 by the range of the training subjects first."""
     assignment = S.stratified_split(ages, key, label, test_fraction, seed)
+    if scale:
+        assignment = write_shared(assignment, "split")
+        train = features.join(assignment.where(F.col("split") == "train").select(key), key, "left_semi")
+        features = SC.minmax_transform(features, SC.minmax_fit(train, list(scale)), list(scale)).select(*features.columns)
     out = None
     for part in ("train", "test"):
         members = ages.join(assignment.where(F.col("split") == part).select(key), key, "left_semi")
@@ -121,6 +142,26 @@ def evaluate_run(scored: DataFrame, pos_weight, keys: Sequence[str] = M.EPOCH_KE
     return M.metrics_long(wide, keys, ["accuracy", "macro_accuracy", "bce_loss"])
 
 
+def evaluate_steps(scored: DataFrame, pos_weight, centers: DataFrame, keys: Sequence[str] = M.EPOCH_KEYS, step: str = "batch_id",
+                   mix: Mapping[str, float] = K.TRIPLET_MIX, log_path: str | None = None, predictions_path: str | None = None,
+                   **columns) -> DataFrame:
+    """Scored embeddings with the vectors of their positive and negative -> accuracy, macro accuracy, BCE,
+    centre, triplet and combined loss for every step and every epoch (null step), as a metric log.
+
+    With ``log_path`` and ``predictions_path`` the log and the predictions are written, replacing
+    the same runs, splits and epochs, and the log is read back. ``columns`` name the
+    inputs of :func:`~cohortlake.operators.metrics.row_losses`."""
+    losses = M.row_losses(scored, pos_weight, centers, **columns)
+    if predictions_path:
+        io.write_predictions(losses.select(*scored.columns, "probability", "prediction"), predictions_path, keys)
+    n_classes = centers.agg(F.count(F.lit(1))).scalar()
+    log = M.step_metrics(losses, keys, step, columns.get("label", "label"), n_classes, mix)
+    if not log_path:
+        return log
+    io.write_metrics(log, log_path, keys)
+    return scored.sparkSession.read.schema(log.schema).parquet(log_path)
+
+
 def weighted_classifier(scaled: DataFrame, target: str, features: Sequence[str],
                         weight: float, split_col: str = "split", max_iter: int = 50):
     """Logistic regression on the scaled features, positives weighted by the class

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import TRIPLET_MIX
 from ..operators import scale as SC
 from ..session import shared_path
 from . import composed as CP
+from . import metric_queries as MQ
 from . import testdata as td
 from .catalog import query, r6, with_cte
 from .join_queries import PANELS_SQL, panel_discount, panel_lineitem, panel_orders
@@ -180,6 +182,53 @@ def q_evaluate_run(spark, sf_dir):
     return evaluation(spark, sf_dir).select("run", "split", "epoch", "metric", r6("value"))
 
 
+_STEPS_SQL = with_cte(e=MQ.EMB_SQL, ew=MQ._EW_SQL, c=MQ._CENTERS_SQL, d=MQ._DIST_SQL, r=MQ._R_SQL, rt=MQ._RT_SQL,
+                      th=f"""SELECT rt.subject, greatest({MQ._dist('ea.embedding', 'ep.embedding')} - {MQ._dist('ea.embedding', 'en.embedding')}
+                             + 1.0, 0.0) AS hinge FROM rt JOIN embeddings ea ON ea.vec_id = rt.subject
+                             JOIN embeddings ep ON ep.vec_id = rt.positive JOIN embeddings en ON en.vec_id = rt.negative""") + f"""
+, rs AS (SELECT 'a' AS run, CASE WHEN e.vec_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, e.vec_id % 3 AS epoch, e.batch_id AS step, y,
+                CAST(y = CAST(logit > 0 AS INTEGER) AS INTEGER) AS hit, {_bce_sql('logit', 'CAST(y AS DOUBLE)', '(SELECT w FROM ew)')} AS bce,
+                least(greatest(dist, 1e-12), 1e12) AS cd, hinge
+         FROM e JOIN d ON d.vec_id = e.vec_id LEFT JOIN th ON th.subject = e.vec_id)
+, lab AS (SELECT run, split, epoch, step, y, grouping(step) AS g, count(*) AS n, sum(hit) AS h, sum(bce) AS b, sum(cd) AS c, sum(hinge) AS t, count(hinge) AS tn
+          FROM rs GROUP BY GROUPING SETS ((run, split, epoch, step, y), (run, split, epoch, y)))
+, w AS (SELECT run, split, epoch, step, g, sum(h) / sum(n) AS accuracy, avg(h / n) AS macro_accuracy, sum(b) / sum(n) AS bce_loss,
+               sum(c) / sum(n) + ((SELECT count(DISTINCT label) FROM embeddings) - 1) * 1e-12 AS center_loss, sum(t) / sum(tn) AS triplet_loss
+        FROM lab GROUP BY ALL)
+, mix AS (SELECT *, {TRIPLET_MIX['bce']} * bce_loss + {TRIPLET_MIX['center']} * center_loss + {TRIPLET_MIX['triplet']} * triplet_loss AS combined_loss FROM w)
+""" + " UNION ALL ".join(f"SELECT run, split, epoch, step, '{m}' AS metric, round({m}, 6) AS value FROM mix"
+                        for m in ("accuracy", "macro_accuracy", "bce_loss", "center_loss", "triplet_loss", "combined_loss"))
+
+
+@query("evaluate_steps", _STEPS_SQL)
+def q_evaluate_steps(spark, sf_dir):
+    """SURVEY op 76 with 7, 8, 62, 64, 65: all losses of the triplet model for every step and epoch; predictions
+    and log written, the log read back."""
+    e = MQ.emb(spark, sf_dir)
+    trip = MQ.emb_triplets(spark, sf_dir).select(F.col("subject").alias("vec_id"), "positive_vec", "negative_vec")
+    rows = e.join(trip, "vec_id", "left").withColumns({
+        "run": F.lit("a"), "split": F.when(F.col("vec_id") % 4 == 0, "test").otherwise("train"), "epoch": F.col("vec_id") % 3})
+    log = CP.evaluate_steps(rows, SC.class_weight_value(e, "y"), MQ.M.class_centers(e), label="y", center_label="label", vec="embedding",
+                            positive="positive_vec", negative="negative_vec", log_path=shared_path(spark, "step_log", unique=True),
+                            predictions_path=shared_path(spark, "step_predictions", unique=True))
+    return log.select("run", "split", "epoch", "step", "metric", r6("value"))
+
+
+def _scaled_sql(c: str) -> str:
+    return f"round(({c} - lo) * 2.0 / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END - 1.0, 6) + 0.0 AS {c}"
+
+
+@query("prepare_triplets_scaled", f"""
+WITH b AS ({split_triplet_table_sql(SPLIT_SQL)}),
+r AS (SELECT min(anchor_acctbal) AS lo, max(anchor_acctbal) AS hi FROM b WHERE split = 'train')
+SELECT anchor_id, positive_id, negative_id, split, {', '.join(_scaled_sql(f'{x}_acctbal') for x in ('anchor', 'positive', 'negative'))} FROM b, r""")
+def q_prepare_triplets_scaled(spark, sf_dir):
+    """SURVEY op 75 with features scaled on the training subjects before they are attached."""
+    feats = td.subjects(spark, sf_dir).select("subject", "label", "acctbal")
+    out = CP.prepare_triplets(subject_ages(spark, sf_dir), feats, "subject", "label", "age", 12.0, 6.0, 0.25, SEED, 5, scale=["acctbal"])
+    return out.select("anchor_id", "positive_id", "negative_id", "split", *[r6(f"{x}_acctbal") for x in ("anchor", "positive", "negative")])
+
+
 @query("weighted_classifier", no_sql_reason="model coefficients are fitted iteratively")
 def q_weighted_classifier(spark, sf_dir):
     """SURVEY op 77: class-weighted logistic regression on the scaled training set."""

@@ -219,6 +219,28 @@ def q_class_centers(spark, sf_dir):
     return long.select("label", "pos", r6("center_value"))
 
 
+RATE = 0.3
+
+
+@query("learned_centers", with_cte(
+    e=EMB_SQL,
+    b="SELECT label, batch_id, count(*) AS n FROM e GROUP BY ALL",
+    s="SELECT batch_id, sum(n) AS size FROM b GROUP BY ALL",
+    f=f"""SELECT label, batch_id, size, ln(1 - {RATE}::DOUBLE * n / size) AS own, coalesce(sum(ln(1 - {RATE}::DOUBLE * n / size)) OVER (
+          PARTITION BY label ORDER BY batch_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later
+          FROM b JOIN s USING (batch_id)""",
+    k="SELECT label, exp(sum(own)) AS keep FROM f GROUP BY label",
+    x="SELECT label, batch_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM e",
+    m=f"SELECT label, pos, sum(exp(later) * {RATE}::DOUBLE / size * v) AS moved FROM x JOIN f USING (label, batch_id) GROUP BY ALL")
+    + "SELECT label, CAST(pos AS INTEGER) AS pos, round(keep + moved, 6) + 0.0 AS center_value FROM m JOIN k USING (label)")
+def q_learned_centers(spark, sf_dir):
+    """SURVEY op 63 as the reference has it: centres learned by gradient steps (one epoch, from ones)."""
+    e = emb(spark, sf_dir)
+    start = e.groupBy("label").agg(F.transform(F.first("embedding"), lambda x: F.lit(1.0)).alias("center"))
+    centers = M.learned_centers(e, start, RATE)
+    return centers.select("label", F.posexplode("center").alias("pos", "center_value")).select("label", "pos", r6("center_value"))
+
+
 @query("center_distance", with_cte(c=_CENTERS_SQL, d=_DIST_SQL, cl=_CL_SQL)
        + "SELECT batch_id, round(center_loss, 6) AS center_loss FROM cl")
 def q_center_distance(spark, sf_dir):
