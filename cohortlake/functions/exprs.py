@@ -29,6 +29,32 @@ def hash_int(*parts: str | Column) -> Column:
     return F.conv(F.substring(hash_key(*parts), 1, 15), 16, 10).cast("bigint")
 
 
+#: The prime field in which a round's coin is drawn: squares of its members fit a bigint.
+_FIELD = (1 << 31) - 1
+
+
+def round_keys(*parts: str | Column, rounds: int = 24) -> Column:
+    """The keys of :func:`permuted`'s rounds: one 60-bit draw for each, from ``parts`` and its number."""
+    return F.array(*[hash_int(*parts, F.lit(r)) for r in range(rounds)])
+
+
+def permuted(index: str | Column, size: str | Column, keys: str | Column) -> Column:
+    """A keyed permutation of ``index`` on ``[0, size)``, for any size.
+
+    Swap or not: in each round a keyed partner ``(K - x) mod size`` is taken or not by a coin that both
+    partners share, so a round is a bijection and the whole needs no shuffle. ``keys`` is
+    :func:`round_keys`, best computed once for each order in a small table."""
+    n = col_of(size).cast("bigint")
+
+    def one_round(x: Column, key: Column) -> Column:
+        mate = F.pmod(F.pmod(key, n) - x, n)
+        seed = F.pmod(F.greatest(x, mate) + key, F.lit(_FIELD))
+        coin = F.aggregate(F.array(F.lit(1), F.lit(1)), seed, lambda c, one: F.pmod(c * c + one, F.lit(_FIELD)))
+        return F.when(coin % 2 == 1, mate).otherwise(x)
+
+    return F.aggregate(col_of(keys), col_of(index).cast("bigint"), one_round)
+
+
 # --- codes and sums ---------------------------------------------------------
 
 def hour_code(c: str | Column, codes: Mapping[int, int] = HOUR_CODES) -> Column:

@@ -1,8 +1,13 @@
 """Array volumes: keyed volume table, max scaling, linear resampling, feature fusion.
 
 A volume is a row ``(key, dims array<int>, voxels array<float>)`` with voxels in
-C order. Volumes are resampled through ``mapInPandas`` with numpy on small Arrow
+C order. Whole volumes are resampled through ``mapInPandas`` with numpy on small Arrow
 batches, so one task never holds more than a few volumes.
+
+A volume may also be a row for each tile ``(key, tile, origin, dims, voxels)``: some
+consecutive planes of its first axis, which ``origin`` counts, and the plane after them (the
+halo), so that every pair of neighbouring planes is in one tile. ``dims`` stay those of the
+volume. Tiles are scaled and resampled by built-in array functions, each on its own.
 """
 
 from __future__ import annotations
@@ -79,3 +84,86 @@ def fuse_features(left: DataFrame, right: DataFrame, key: str, left_array: str,
     return (left.select(key, left_array).join(right.select(key, right_array), key, "inner")
             .select(key, F.concat(F.col(left_array).cast("array<double>"),
                                   F.col(right_array).cast("array<double>")).alias(name)))
+
+
+def volume_tiles(df: DataFrame, planes: int, voxels: str = "voxels", dims: str = "dims") -> DataFrame:
+    """Cut each volume into tiles of ``planes`` planes and a halo; axes of length 1 are dropped from ``dims``.
+
+    A volume without voxels (or null) has no tile. Other columns are kept in every tile."""
+    shape = F.filter(F.col(dims), lambda d: d != 1)
+    shape = F.when(F.size(shape) == 0, F.array(F.lit(1))).otherwise(shape)
+    rows = df.withColumn(dims, shape).where(F.size(voxels) > 0)
+    depth = F.get(dims, F.lit(0))
+    plane = F.try_divide(F.size(voxels), depth).cast("int")
+    # the last plane is no tile of its own where it is the halo of the one before
+    tiles = F.greatest(F.ceil((depth - 1) / planes), F.lit(1)).cast("int")
+    rows = rows.withColumn("tile", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    rows = rows.withColumn("origin", F.col("tile") * planes)
+    return rows.withColumn(voxels, F.slice(voxels, F.col("origin") * plane + 1, plane * (planes + 1)))
+
+
+def tiles_max_scale(tiles: DataFrame, key: str, voxels: str = "voxels") -> DataFrame:
+    """:func:`volume_max_scale` over tiles: every voxel divided by its volume's maximum (NULL where that is 0).
+
+    The maxima are one number a tile before the shuffle; the voxels are joined with one row a volume."""
+    top = tiles.groupBy(F.col(key).alias("_key")).agg(F.max(F.array_max(voxels)).cast("double").alias("_top"))
+    out = tiles.join(top, F.col(key).eqNullSafe(F.col("_key")))
+    scaled = F.transform(voxels, lambda x: F.try_divide(x.cast("double"), F.col("_top")))
+    return out.withColumn(voxels, scaled).select(*tiles.columns)
+
+
+def tiles_resample(tiles: DataFrame, new_size: Sequence[int], planes: int, voxels: str = "voxels", dims: str = "dims") -> DataFrame:
+    """:func:`volume_resample` over tiles of ``planes`` planes: each tile gives the output planes whose lower
+    neighbour is one of its own, so that a volume larger than a task is never in one place.
+
+    ``origin`` becomes the first output plane and ``dims`` the new size; a tile without an output plane
+    is left out. Whole output planes must fit a task. Same arithmetic, in the same order, as for whole volumes."""
+    new_size = [int(n) for n in new_size]
+    rows = tiles
+    misfit = F.raise_error(F.lit("volume rank does not match new size")).cast("array<double>")
+
+    def places(axis: int):
+        """Lower neighbour and weight of every output position of an axis."""
+        n, d = new_size[axis], F.get(dims, F.lit(axis))
+        at = [1.0 if i and i == n - 1 else i * (1.0 / max(n - 1, 1)) for i in range(n)]
+
+        def place(x):
+            low = F.least((x * (d - 1)).cast("int"), F.greatest(d - 2, F.lit(0)))
+            return F.struct(low.alias("low"), F.least(low + 1, d - 1).alias("high"), (x * (d - 1) - low).alias("part"))
+        return F.transform(F.array(*[F.lit(float(x)) for x in at]), place)
+
+    # the first axis: output planes with their lower plane in this tile
+    indexed = F.transform(places(0), lambda p, i: F.struct(i.alias("i"), (p["low"] - F.col("origin")).alias("low"),
+                                                           (p["high"] - F.col("origin")).alias("high"), p["part"].alias("part")))
+    last = F.col("origin") + planes
+    final = F.get(dims, F.lit(0)) - 1 <= last  # the tile of the last planes
+    rows = rows.withColumn("_at", F.filter(indexed, lambda p: (p["low"] >= 0) & ((p["low"] < planes) | final))).where(F.size("_at") > 0)
+    for axis in range(len(new_size)):
+        inner = F.lit(1)
+        for later in range(axis + 1, len(new_size)):
+            inner = inner * F.get(dims, F.lit(later))
+        if axis:
+            rows = rows.withColumn("_at", places(axis))
+        rows = rows.withColumn("_inner", inner)
+        length = F.when(F.lit(axis == 0), F.size(voxels)).otherwise(F.get(dims, F.lit(axis)) * F.col("_inner"))
+        rows = rows.withColumn("_length", length)
+
+        def mixed(start, p):
+            return F.zip_with(F.slice(voxels, start + p["low"] * F.col("_inner") + 1, F.col("_inner")),
+                              F.slice(voxels, start + p["high"] * F.col("_inner") + 1, F.col("_inner")),
+                              lambda a, b: a.cast("double") * (1 - p["part"]) + b.cast("double") * p["part"])
+
+        starts = F.transform(F.sequence(F.lit(0), (F.size(voxels) / F.col("_length")).cast("int") - 1), lambda k: k * F.col("_length"))
+        if axis == 0:
+            rows = rows.withColumn("_first", F.get("_at", F.lit(0))["i"])
+        block = F.transform(starts, lambda s: F.flatten(F.transform("_at", lambda p: mixed(s, p))))
+        rows = rows.withColumn(voxels, F.flatten(block) if axis else F.when(F.size(dims) == len(new_size), F.flatten(block)).otherwise(misfit))
+    rows = rows.withColumns({"origin": F.col("_first"), dims: F.array(*[F.lit(n) for n in new_size])})
+    return rows.select(*tiles.columns)
+
+
+def assemble_tiles(tiles: DataFrame, key: str, voxels: str = "voxels", dims: str = "dims") -> DataFrame:
+    """Resampled tiles (without halo) to whole volumes ``key, dims, voxels``: the new size bounds a row."""
+    parts = F.sort_array(F.collect_list(F.struct("origin", voxels)))
+    return (tiles.groupBy(key).agg(F.first(dims).alias(dims), parts.alias("_parts"))
+            .select(key, dims, F.flatten(F.col(f"_parts.{voxels}")).alias(voxels)))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BATCH_SIZE, SPLIT_SEED
-from ..functions.exprs import hash_int, hash_key
+from ..functions.exprs import hash_int, hash_key, permuted, round_keys
 from ..session import write_shared
 from .index import rank_within, row_index
 
@@ -116,3 +116,26 @@ def mini_batches_epochs(df: DataFrame, key: str, epochs: Sequence[int], split_co
     if drop_last:
         out = out.where(F.col("batch_id") < F.floor(F.col("_n") / batch_size))
     return out.withColumn("position", F.col("_pos")).drop("_pos", "_n", "_grp")
+
+
+def mini_batches_permuted(df: DataFrame, key: str, epochs: Sequence[int], split_col: str = "split",
+                          batch_size: int = BATCH_SIZE, seed: int = SPLIT_SEED,
+                          shuffle_splits: Sequence[str] = ("train",), drop_last: bool = True) -> DataFrame:
+    """Batches of many epochs from one ranking: rows are ranked by ``key`` inside their split once, and an
+    epoch's ``position`` is a seeded permutation of that rank (:func:`~cohortlake.functions.exprs.permuted`),
+    so that an epoch costs a projection and neither a sort nor a shuffle.
+
+    One row for each row of ``df`` and epoch. Splits outside ``shuffle_splits`` keep key order;
+    a null split is one of its own. Other orders than :func:`mini_batches`, from the same seed."""
+    ranked = rank_within(df, split_col, [F.col(key)], "_rank")
+    sizes = df.groupBy(F.col(split_col).alias("_split")).agg(F.count(F.lit(1)).alias("_n"))
+    # a row for each split and epoch: Spark broadcasts it by its measured size
+    orders = sizes.withColumn("epoch", F.explode(F.array(*[F.lit(int(e)) for e in epochs])))
+    orders = orders.withColumn("_keys", round_keys(F.lit(seed), "epoch"))
+    rows = ranked.join(orders, F.col(split_col).eqNullSafe(F.col("_split"))).drop("_split")
+    shuffled = F.coalesce(F.col(split_col).isin(list(shuffle_splits)), F.lit(False))
+    out = rows.withColumn("position", F.when(shuffled, permuted("_rank", "_n", "_keys")).otherwise(F.col("_rank")))
+    out = out.withColumn("batch_id", F.floor(F.col("position") / batch_size).cast("bigint"))
+    if drop_last:
+        out = out.where(F.col("batch_id") < F.floor(F.col("_n") / batch_size))
+    return out.drop("_rank", "_keys", "_n")

@@ -163,7 +163,7 @@ def evaluate_steps(scored: DataFrame, pos_weight, centers: DataFrame, keys: Sequ
 
 
 def weighted_classifier(scaled: DataFrame, target: str, features: Sequence[str],
-                        weight: float, split_col: str = "split", max_iter: int = 50):
+                        weight: float, split_col: str = "split", max_iter: int = 50, tol: float = 1e-6):
     """Logistic regression on the scaled features, positives weighted by the class
     weight (the re-aimed stand-in for the network); returns test-set predictions."""
     from pyspark.ml.classification import LogisticRegression
@@ -175,8 +175,31 @@ def weighted_classifier(scaled: DataFrame, target: str, features: Sequence[str],
     data = data.withColumn("w", F.when(F.col(target) == 1, F.lit(float(weight))).otherwise(F.lit(1.0)))
     data = data.withColumn("y", F.col(target).cast("double"))
     model = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w",
-                               maxIter=max_iter).fit(data.where(F.col(split_col) == "train"))
+                               maxIter=max_iter, tol=tol).fit(data.where(F.col(split_col) == "train"))
     pred = model.transform(data.where(F.col(split_col) == "test"))
     return pred.select(*[c for c in scaled.columns if c not in features], "y",
                        F.col("prediction").cast("int").alias("prediction"),
                        F.element_at(vector_to_array("probability"), 2).alias("probability"))
+
+
+def fit_moments(scores: DataFrame, target: str, features: Sequence[str], weight: float) -> DataFrame:
+    """``(term, model_moment, data_moment)``: weighted means of ``probability * feature`` and of ``target *
+    feature`` over the rows a classifier was fitted on, for each feature and the constant term.
+
+    Their difference is the gradient of the weighted loss at the fitted coefficients: a fit is at
+    the optimum of its (convex) loss exactly where they agree. One aggregate; one row a term."""
+    w = F.when(F.col(target) == 1, F.lit(float(weight))).otherwise(F.lit(1.0))
+    terms = [("intercept", F.lit(1.0)), *[(f, F.col(f)) for f in features]]
+    rows = scores.withColumn("_w", w)
+    model = [F.sum(F.col("_w") * F.col("probability") * x) / F.sum("_w") for _, x in terms]
+    data = [F.sum(F.col("_w") * F.col(target) * x) / F.sum("_w") for _, x in terms]
+    cells = F.array(*[F.struct(F.lit(t).alias("term"), m.alias("model_moment"), d.alias("data_moment"))
+                      for (t, _), m, d in zip(terms, model, data, strict=True)])
+    return rows.agg(cells.alias("cells")).select(F.inline("cells"))
+
+
+def calibration_bins(scores: DataFrame, target: str, bins: int = 10) -> DataFrame:
+    """``(bin, n, positives, mean_probability)`` over equal score bins (a score of 1 is in the last one)."""
+    at = F.least(F.floor(F.col("probability") * bins), F.lit(bins - 1)).cast("int").alias("bin")
+    return scores.groupBy(at).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("bigint")).alias("positives"),
+                                  F.avg("probability").alias("mean_probability"))

@@ -265,3 +265,34 @@ def q_weighted_classifier_fit(spark, sf_dir):
     better = train.select((F.col("loss") <= entropy + 1e-6).alias("ok")).first()["ok"]
     return scores.groupBy("split", F.col("y").cast("int").alias("target")).agg(
         F.count(F.lit(1)).alias("n")).withColumn("better_than_constant", F.lit(better))
+
+
+def _moment_sql(term: str, x: str) -> str:
+    m = f"round(sum(w * target * {x}) / sum(w), 4) + 0.0"
+    return f"SELECT '{term}' AS term, {m} AS model_moment, {m} AS data_moment FROM m"
+
+
+_MOMENTS_SQL = with_cte(t=td.TRAINING_SQL, s=SPLIT_SQL) + f"""
+, tr AS (SELECT t.* FROM t JOIN s ON t.subject = s.subject WHERE s.split = 'train')
+, cw AS (SELECT CAST(count_if(target = 0) AS DOUBLE) / count_if(target = 1) AS cw FROM tr)
+, lim AS (SELECT {', '.join(f'min({f}) AS {f}_lo, max({f}) AS {f}_hi' for f in td.TRAINING_FEATURES)} FROM tr)
+, m AS (SELECT target, CASE WHEN target = 1 THEN cw ELSE 1.0 END AS w,
+        {', '.join(f'({f} - {f}_lo) * 2.0 / CASE WHEN {f}_hi = {f}_lo THEN 1.0 ELSE {f}_hi - {f}_lo END - 1.0 AS {f}' for f in td.TRAINING_FEATURES)}
+        FROM tr, cw, lim)
+""" + " UNION ALL ".join(_moment_sql(t, x) for t, x in [("intercept", "1.0"), *zip(td.TRAINING_FEATURES, td.TRAINING_FEATURES)])
+
+
+@query("weighted_classifier_moments", _MOMENTS_SQL)
+def q_weighted_classifier_moments(spark, sf_dir):
+    """SURVEY op 77, checked: at the optimum of the weighted loss the model's weighted moments of every
+    feature equal those of the labels, which SQL computes without a fit; a wrong fit differs."""
+    scaled, _, weight, _ = CP.prepare_training_set(td.training(spark, sf_dir), "subject", "target",
+                                                   td.TRAINING_FEATURES, 0.25, SEED)
+    w = weight.select("class_weight").first()[0]
+    train = scaled.where(F.col("split") == "train")
+    both = train.withColumn("part", F.lit("train")).unionByName(train.withColumn("part", F.lit("test")))  # fitted and scored
+    both = both.withColumns({f"x_{f}": F.col(f) for f in td.TRAINING_FEATURES})
+    scores = CP.weighted_classifier(both, "target", td.TRAINING_FEATURES, w, split_col="part", max_iter=500, tol=1e-12)
+    scores = scores.withColumnsRenamed({f"x_{f}": f for f in td.TRAINING_FEATURES})
+    out = CP.fit_moments(scores, "target", td.TRAINING_FEATURES, w)
+    return out.select("term", *[(F.round(c, 4) + 0.0).alias(c) for c in ("model_moment", "data_moment")])

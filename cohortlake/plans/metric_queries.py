@@ -359,6 +359,28 @@ def q_volume_resample(spark, sf_dir):
         "vec_id", "pos", r6("value"))
 
 
+@query("volume_resample_tiles", _resample_sql())
+def q_volume_resample_tiles(spark, sf_dir):
+    """SURVEY op 67 tile by tile: two planes and a halo each, array functions only."""
+    tiles = A.tiles_resample(A.volume_tiles(volumes(spark, sf_dir), 2), NEW_SIZE, 2)
+    place = F.col("origin") * (NEW_SIZE[1] * NEW_SIZE[2]) + F.col("at")
+    return (tiles.select("vec_id", "origin", F.posexplode("voxels").alias("at", "value"))
+            .select("vec_id", place.cast("int").alias("pos"), r6("value")))
+
+
+@query("volume_max_scale_tiles", """
+SELECT vec_id, CAST(pos // 16 AS INTEGER) AS plane, round(sum(value), 6) + 0.0 AS plane_sum FROM (
+  SELECT vec_id, pos, CAST(v AS DOUBLE) / max(CAST(v AS DOUBLE)) OVER (PARTITION BY vec_id) AS value
+  FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)) GROUP BY ALL""")
+def q_volume_max_scale_tiles(spark, sf_dir):
+    """SURVEY op 66 tile by tile: sums of the scaled planes (a tile's own, without its halo)."""
+    tiles = A.tiles_max_scale(A.volume_tiles(volumes(spark, sf_dir), 1), "vec_id")
+    planes = F.inline(F.transform(F.sequence(F.lit(0), F.when(F.col("origin") + 2 == F.get("dims", F.lit(0)), 1).otherwise(0)),
+                                  lambda k: F.struct((F.col("origin") + k).alias("plane"), F.slice("voxels", k * 16 + 1, F.lit(16)).alias("v"))))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return tiles.select("vec_id", planes).select("vec_id", "plane", r6(total, "plane_sum"))
+
+
 @query("fuse_features", with_cte(t=td.TRAINING_SQL) + """
 SELECT e.vec_id AS subject, CAST(len(e.embedding) + 3 AS INTEGER) AS n_features,
        round(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))) + t.sex + t.age + t.n_chars, 6) AS fused_sum,

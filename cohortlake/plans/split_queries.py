@@ -109,3 +109,27 @@ def q_mini_batches_payload(spark, sf_dir):
         F.col("o_orderkey").alias("subject"), "o_totalprice",
         F.when(F.col("o_orderkey") % 4 == 0, "test").otherwise("train").alias("split"))
     return S.mini_batches(o, "subject", "split", 12, epoch=0, seed=SEED, drop_last=False)
+
+
+# the same rounds as a recursion over them; keys by md5
+_PERMUTED_SQL = "WITH RECURSIVE " + with_cte(t=td.TRAINING_SQL, s=SPLIT_SQL)[5:] + """
+, e AS (SELECT unnest([0, 1, 2]) AS epoch)
+, ranked AS (SELECT subject, split, row_number() OVER (PARTITION BY split ORDER BY subject) - 1 AS rk, count(*) OVER (PARTITION BY split) AS n FROM s)
+, rounds(subject, split, epoch, rk, n, x, r) AS (
+    SELECT subject, split, epoch, rk, n, rk, 0 FROM ranked, e
+  UNION ALL
+    SELECT subject, split, epoch, rk, n, CASE WHEN ((c * c + 1) % 2147483647) % 2 = 1 THEN mate ELSE x END, r + 1
+    FROM (SELECT *, (c0 * c0 + 1) % 2147483647 AS c
+          FROM (SELECT *, (greatest(x, mate) + k) % 2147483647 AS c0
+                FROM (SELECT *, (k % n - x + n) % n AS mate
+                      FROM (SELECT *, ('0x' || substr(md5('23|' || epoch || '|' || r), 1, 15))::BIGINT AS k FROM rounds WHERE r < 24)))))
+, placed AS (SELECT subject, split, epoch, n, CASE WHEN split = 'train' THEN x ELSE rk END AS position FROM rounds WHERE r = 24)
+SELECT subject, split, epoch, position, position // 12 AS batch_id FROM placed WHERE position // 12 < n // 12"""
+
+
+@query("mini_batches_permuted", _PERMUTED_SQL)
+def q_mini_batches_permuted(spark, sf_dir):
+    """Three epochs of batches from one ranking, each by a keyed permutation of the row index."""
+    a = split_assignment(spark, sf_dir)
+    return S.mini_batches_permuted(a, "subject", [0, 1, 2], "split", 12, SEED).select(
+        "subject", "split", "epoch", "position", "batch_id")

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cohortlake.functions.exprs import bce_with_logits
@@ -79,3 +80,33 @@ def test_blocked_running_sum_crosses_blocks(spark):
     df = spark.range(0, 100).select(F.lit("g").alias("g"), F.col("id").alias("o"), F.lit(1).alias("v"))
     out = M.blocked_running_sum(df, ["g"], "o", ["v"], block=7)
     assert all(r.v_cum == r.o + 1 for r in out.collect())
+
+
+@pytest.mark.parametrize("planes", [1, 2, 3, 50])
+def test_tiles_resample_like_whole_volumes(spark, planes):
+    rng = np.random.default_rng(5)
+    shapes = [((7, 5, 6), 0), ((4, 1, 4, 3), 1), ((2, 2, 2), 2), ((11, 3, 2), 3)]
+    rows = [(k, list(s), [float(x) for x in rng.normal(size=int(np.prod(s)))], "x") for s, k in shapes]
+    vols = spark.createDataFrame([*rows, (9, [0], [], "e"), (10, None, None, "n")], "key int, dims array<int>, voxels array<double>, note string")
+    for size in ([5, 4, 7], [1, 3, 2], [13, 2, 2]):
+        tiles = A.tiles_resample(A.volume_tiles(vols, planes), size, planes)
+        assert tiles.columns == ["key", "dims", "voxels", "note", "tile", "origin"]
+        got = {r.key: r for r in A.assemble_tiles(tiles, "key").collect()}
+        want = {r.key: r for r in A.volume_resample(vols.where("key < 9"), size).collect()}
+        assert got.keys() == want.keys()
+        for k, r in got.items():
+            assert list(r.dims) == size
+            np.testing.assert_allclose(r.voxels, want[k].voxels, rtol=0, atol=1e-12)
+    plan = tiles._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "Python" not in plan and "Exchange" not in plan
+
+
+def test_tiles_flat_rank_and_scaling(spark):
+    vols = spark.createDataFrame([(1, [3, 2], [0.0, 1.0, 2.0, 3.0, 4.0, 8.0]), (2, [2, 2], [0.0] * 4), (None, [2, 2], [1.0, 2.0, 4.0, 2.0])],
+                                 "key int, dims array<int>, voxels array<double>")
+    tiles = A.volume_tiles(vols, 1)
+    assert sorted((r.key or 0, r.tile, r.origin, len(r.voxels)) for r in tiles.collect()) == [(0, 0, 0, 4), (1, 0, 0, 4), (1, 1, 1, 4), (2, 0, 0, 4)]
+    scaled = {(r.key, r.tile): r.voxels for r in A.tiles_max_scale(tiles, "key").collect()}
+    assert scaled[1, 1] == [0.25, 0.375, 0.5, 1.0] and scaled[2, 0] == [None] * 4 and scaled[None, 0] == [0.25, 0.5, 1.0, 0.5]
+    with pytest.raises(Exception, match="rank does not match"):
+        A.tiles_resample(tiles, [2, 2, 2], 1).collect()

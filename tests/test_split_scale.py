@@ -3,7 +3,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from cohortlake.functions.exprs import permuted, round_keys
 from cohortlake.operators import scale as SC, split as S
+from cohortlake.plans.composed import calibration_bins, fit_moments
 
 
 def test_quotas_match_expected_15_85(spark):
@@ -76,3 +78,40 @@ def test_batches_for_several_epochs_equal_per_epoch_calls(spark):
         one = S.mini_batches(df, "k", "split", 12, epoch=e).select("k", "split", "batch_id", "position")
         got = both.where(F.col("epoch") == e).select("k", "split", "batch_id", "position")
         assert one.exceptAll(got).count() == 0 and got.exceptAll(one).count() == 0
+
+
+def test_permuted_is_a_bijection_for_any_size(spark):
+    sizes = [1, 2, 3, 12, 13, 1000]
+    rows = spark.createDataFrame([(i, n, e) for n in sizes for i in range(n) for e in (0, 1)], "i long, n long, e int")
+    rows = rows.withColumn("k", round_keys(F.lit(23), "e"))
+    out = rows.select("n", "e", "i", permuted("i", "n", "k").alias("p")).collect()
+    for n in sizes:
+        first, second = ([r.p for r in sorted(out, key=lambda r: r.i) if r.n == n and r.e == e] for e in (0, 1))
+        assert sorted(first) == sorted(second) == list(range(n))
+        if n == 1000:
+            assert first != second and first != list(range(n))
+            assert abs(sum(a < b for a, b in zip(first, first[1:], strict=False)) - 500) < 60  # no order is left
+
+
+def test_permuted_batches_keep_key_order_outside_training_and_null_splits(spark):
+    rows = [(i, "train" if i < 30 else "val" if i < 55 else None) for i in range(60)]
+    out = S.mini_batches_permuted(spark.createDataFrame(rows, "subject long, split string"), "subject", [0, 4], batch_size=12, drop_last=False).collect()
+    assert len(out) == 120
+    for split, n in (("train", 30), ("val", 25), (None, 5)):
+        for e in (0, 4):
+            mine = sorted((r for r in out if r.split == split and r.epoch == e), key=lambda r: r.position)
+            assert [r.position for r in mine] == list(range(n)) and all(r.batch_id == r.position // 12 for r in mine)
+            assert (split == "train") != ([r.subject for r in mine] == sorted(r.subject for r in mine))
+
+
+def test_fit_moments_tell_a_wrong_fit(spark):
+    rows = [(1, 0.5, 0.6), (0, -0.5, 0.2), (1, 1.0, 0.8), (0, 0.0, 0.4)]
+    out = {r.term: r for r in fit_moments(spark.createDataFrame(rows, "y int, a double, probability double"), "y", ["a"], 2.0).collect()}
+    assert abs(out["intercept"].data_moment - 4 / 6) < 1e-12 and abs(out["intercept"].model_moment - 3.4 / 6) < 1e-12
+    assert abs(out["a"].data_moment - 3.0 / 6) < 1e-12 and abs(out["a"].model_moment - (2 * 0.3 - 0.1 + 2 * 0.8) / 6) < 1e-12
+
+
+def test_calibration_bins(spark):
+    rows = [(0, 0.05), (1, 0.09), (1, 1.0), (1, 0.95)]
+    out = calibration_bins(spark.createDataFrame(rows, "y int, probability double"), "y").orderBy("bin").collect()
+    assert [(r.bin, r.n, r.positives) for r in out] == [(0, 2, 1), (9, 2, 2)]
