@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,30 +138,38 @@ def tiles_resample(tiles: DataFrame, new_size: Sequence[int], planes: int, voxel
     last = F.col("origin") + planes
     final = F.get(dims, F.lit(0)) - 1 <= last  # the tile of the last planes
     rows = rows.withColumn("_at", F.filter(indexed, lambda p: (p["low"] >= 0) & ((p["low"] < planes) | final))).where(F.size("_at") > 0)
+    rows = rows.withColumn("_first", F.get("_at", F.lit(0))["i"])
+    # one expression, each pass bound once: a filter that Spark pushes through it never multiplies the passes
+    value = F.col(voxels)
     for axis in range(len(new_size)):
         inner = F.lit(1)
         for later in range(axis + 1, len(new_size)):
             inner = inner * F.get(dims, F.lit(later))
-        if axis:
-            rows = rows.withColumn("_at", places(axis))
-        rows = rows.withColumn("_inner", inner)
-        length = F.when(F.lit(axis == 0), F.size(voxels)).otherwise(F.get(dims, F.lit(axis)) * F.col("_inner"))
-        rows = rows.withColumn("_length", length)
-
-        def mixed(start, p):
-            return F.zip_with(F.slice(voxels, start + p["low"] * F.col("_inner") + 1, F.col("_inner")),
-                              F.slice(voxels, start + p["high"] * F.col("_inner") + 1, F.col("_inner")),
-                              lambda a, b: a.cast("double") * (1 - p["part"]) + b.cast("double") * p["part"])
-
-        starts = F.transform(F.sequence(F.lit(0), (F.size(voxels) / F.col("_length")).cast("int") - 1), lambda k: k * F.col("_length"))
-        if axis == 0:
-            rows = rows.withColumn("_first", F.get("_at", F.lit(0))["i"])
-        block = F.transform(starts, lambda s: F.flatten(F.transform("_at", lambda p: mixed(s, p))))
-        rows = rows.withColumn(voxels, F.flatten(block) if axis else F.when(F.size(dims) == len(new_size), F.flatten(block)).otherwise(misfit))
-    rows = rows.withColumns({"origin": F.col("_first"), dims: F.array(*[F.lit(n) for n in new_size])})
+        length = F.get(dims, F.lit(axis)) * inner if axis else F.size(voxels)
+        at = places(axis) if axis else F.col("_at")
+        value = _bound(F.struct(value.alias("v"), at.alias("at"), inner.alias("inner"), length.alias("length")), _mix_axis)
+    value = F.when(F.size(dims) == len(new_size), value).otherwise(misfit)
+    rows = rows.withColumns({voxels: value, "origin": F.col("_first"), dims: F.array(*[F.lit(n) for n in new_size])})
     return rows.select(*tiles.columns)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _mix_axis(b: Column) -> Column:
+    """One axis of the voxels ``b.v``: in every stretch of ``b.length``, blocks of ``b.inner`` mixed at the places ``b.at``."""
+    v, inner = b["v"], b["inner"]
+
+    def mixed(start, p):
+        return F.zip_with(F.slice(v, start + p["low"] * inner + 1, inner), F.slice(v, start + p["high"] * inner + 1, inner),
+                          lambda x, y: x.cast("double") * (1 - p["part"]) + y.cast("double") * p["part"])
+
+    starts = F.transform(F.sequence(F.lit(0), (F.size(v) / b["length"]).cast("int") - 1), lambda k: k * b["length"])
+    return F.flatten(F.transform(starts, lambda s: F.flatten(F.transform(b["at"], lambda p: mixed(s, p)))))
+
+
 def assemble_tiles(tiles: DataFrame, key: str, voxels: str = "voxels", dims: str = "dims") -> DataFrame:
     """Resampled tiles (without halo) to whole volumes ``key, dims, voxels``: the new size bounds a row."""
     parts = F.sort_array(F.collect_list(F.struct("origin", voxels)))
