@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import TRIPLET_MIX
 from ..operators import scale as SC
-from ..session import shared_path
+from ..session import shared_path, write_shared
 from . import composed as CP
 from . import metric_queries as MQ
 from . import testdata as td
@@ -291,7 +291,8 @@ def q_weighted_classifier_moments(spark, sf_dir):
     w = weight.select("class_weight").first()[0]
     train = scaled.where(F.col("split") == "train")
     both = train.withColumn("part", F.lit("train")).unionByName(train.withColumn("part", F.lit("test")))  # fitted and scored
-    both = both.withColumns({f"x_{f}": F.col(f) for f in td.TRAINING_FEATURES})
+    # written once: the steps of the fit run over a plain scan, not over the plan of the split and the scaling
+    both = write_shared(both.withColumns({f"x_{f}": F.col(f) for f in td.TRAINING_FEATURES}), "fit-rows")
     scores = CP.weighted_classifier(both, "target", td.TRAINING_FEATURES, w, split_col="part", max_iter=500, tol=1e-12)
     scores = scores.withColumnsRenamed({f"x_{f}": f for f in td.TRAINING_FEATURES})
     out = CP.fit_moments(scores, "target", td.TRAINING_FEATURES, w)
