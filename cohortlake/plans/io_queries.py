@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import arrays as A, fill, metrics as M
 from ..session import shared_path
-from ..sources import io
+from ..sources import io, volumes
 from . import testdata as td
 from .catalog import query, r6, with_cte
 from .composed_queries import _CSV_SCHEMA, _visits_csv, evaluation
@@ -58,6 +58,38 @@ def q_image_table_scan(spark, sf_dir):
     return v.select("subject", F.size("voxels").alias("n_voxels"), r6(total, "voxel_sum"))
 
 
+def _volume_folder(spark, sf_dir) -> str:
+    path = shared_path(spark, "volume_files", unique=True)
+    volumes.write_npy_folder(A.volume_table(td.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", (4, 4, 4)), path, "vec_id")
+    return path
+
+
+@query("volume_files_scan", """
+SELECT vec_id AS subject, '4x4x4' AS dims, CAST(len(embedding) AS INTEGER) AS n_voxels,
+       round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) + 0.0 AS voxel_sum
+FROM embeddings""")
+def q_volume_files_scan(spark, sf_dir):
+    """A file for each volume, read back whole."""
+    v = volumes.scan_npy_folder(spark, _volume_folder(spark, sf_dir))
+    total = F.aggregate("voxels", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return v.select(F.col("subject").cast("bigint").alias("subject"), F.array_join(F.col("dims").cast("array<string>"), "x").alias("dims"),
+                    F.size("voxels").alias("n_voxels"), r6(total, "voxel_sum"))
+
+
+@query("volume_files_tiles", """
+SELECT vec_id AS subject, CAST(pos // 16 AS INTEGER) AS plane, round(sum(value), 6) + 0.0 AS plane_sum FROM (
+  SELECT vec_id, pos, CAST(v AS DOUBLE) / max(CAST(v AS DOUBLE)) OVER (PARTITION BY vec_id) AS value
+  FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)) GROUP BY ALL""")
+def q_volume_files_tiles(spark, sf_dir):
+    """SURVEY op 66 from files: tasks read the planes of their tiles; sums of the scaled planes (without halos)."""
+    tiles = A.tiles_max_scale(volumes.scan_npy_folder(spark, _volume_folder(spark, sf_dir), planes=1), "subject")
+    last = F.col("origin") + 2 == F.get("dims", F.lit(0))
+    planes = F.inline(F.transform(F.sequence(F.lit(0), F.when(last, 1).otherwise(0)),
+                                  lambda k: F.struct((F.col("origin") + k).alias("plane"), F.slice("voxels", k * 16 + 1, F.lit(16)).alias("v"))))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return tiles.select(F.col("subject").cast("bigint").alias("subject"), planes).select("subject", "plane", r6(total, "plane_sum"))
+
+
 _FILLED_SQL = V + """
 SELECT subject, visit,
        coalesce(first(score IGNORE NULLS) OVER wa, last(score IGNORE NULLS) OVER wb) AS score,
