@@ -3,19 +3,21 @@
 Documents become token ids; only ones longer than a sequence are cut. What a
 sequence can hold depends on lengths alone, so the search runs on the histogram
 of lengths (at most ``capacity`` counts, whatever the corpus): branch and bound
-that completes the bin of the largest remaining length with undominated fillings,
-applies a filling as often as the counts allow, prunes by the waste that the
-incumbent permits, and keeps best-fit solutions as incumbents. The plan is a list
+that completes the bin of the largest remaining length with every undominated filling
+within the waste that the incumbent permits, likely ones first, applied as often as the
+counts allow and then fewer times, and keeps best-fit solutions as incumbents. Without
+limits the result is optimal; ``node_limit`` and ``step_limit`` bound the driver's work,
+after which the incumbent stands. The plan is a list
 of fillings with multiplicities (at most a few per length). Pieces of a length
 are numbered in a distributed way and take the plan's places of that length.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import load_tokenizer, process_cache, save
 
-BUCKETS = 256
+#: Rows of a bucket in which pieces of a length are numbered.
+BUCKET_ROWS = 65_536
+#: Default bounds of the search on the driver: states, and partial fillings tried.
+NODE_LIMIT, STEP_LIMIT = 20_000, 200_000
 
 
 #: Pre-token pattern of byte-level vocabularies (fixed value).
@@ -105,18 +110,17 @@ def tokenized_pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
     """Martello and Toth's L2 on counts by length."""
-    n = np.cumsum(counts[::-1])[::-1]  # items of at least that length
-    mass = np.arange(len(counts)) * counts
-    best = -(-int(mass.sum()) // capacity)
-    half = capacity // 2
-    for k in range(half + 1):
-        big = int(n[capacity - k + 1]) if capacity - k + 1 < len(counts) else 0
-        middle_lo, middle_hi = half + 1, capacity - k
-        middle = int(counts[middle_lo:middle_hi + 1].sum())
-        room = middle * capacity - int(mass[middle_lo:middle_hi + 1].sum())
-        small = int(mass[max(k, 1):half + 1].sum())
-        best = max(best, big + middle + max(0, -(-(small - room) // capacity)))
-    return best
+    n = np.zeros(capacity + 2, dtype=np.int64)
+    n[:len(counts)] = counts
+    mass = np.arange(capacity + 2) * n
+    upto, mass_upto = np.cumsum(n), np.cumsum(mass)
+    best, half = -(-int(mass_upto[-1]) // capacity), capacity // 2
+    k = np.arange(half + 1)
+    big = upto[-1] - upto[capacity - k]
+    middle = upto[capacity - k] - upto[half]
+    room = middle * capacity - (mass_upto[capacity - k] - mass_upto[half])
+    small = mass_upto[half] - mass_upto[np.maximum(k, 1) - 1]
+    return max(best, int((big + middle + np.maximum(0, -(-(small - room) // capacity))).max()))
 
 
 def _best_fit(counts: np.ndarray, room: int) -> tuple[int, ...]:
@@ -133,32 +137,36 @@ def _best_fit(counts: np.ndarray, room: int) -> tuple[int, ...]:
     return tuple(filling)
 
 
-def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether the items of ``b`` can be dealt into bins as large as the items of ``a``."""
-    @lru_cache(maxsize=None)
-    def fits(rest: tuple[int, ...], bins: tuple[int, ...]) -> bool:
-        if not rest:
-            return True
-        for i, room in enumerate(bins):
-            if room >= rest[0] and (i == 0 or room != bins[i - 1]):
-                if fits(rest[1:], tuple(sorted(bins[:i] + (room - rest[0],) + bins[i + 1:], reverse=True))):
-                    return True
-        return False
-    return sum(a) >= sum(b) and fits(tuple(sorted(b, reverse=True)), tuple(sorted(a, reverse=True)))
+def _bits(counts: np.ndarray) -> int:
+    """The lengths that occur, as bits."""
+    return int.from_bytes(np.packbits(counts > 0, bitorder="little").tobytes(), "little") & ~1
 
 
-def fillings(counts: np.ndarray, room: int, width: int = 4, depth: int = 4) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first, at most ``width``.
+def undominated(filling: tuple[int, ...], counts: np.ndarray, room: int, present: int | None = None) -> bool:
+    """Whether no length left over could replace items of ``filling`` (one, several or none) that are together as
+    long or shorter and fit ``room``: otherwise the larger length belongs here and its items go where it was.
+
+    Sums of items are bits of an integer, so that all subsets are compared at once."""
+    one = several = 0
+    left = _bits(counts) if present is None else present
+    for size in filling:
+        several |= (several | one) << size
+        one |= 1 << size
+    for size in set(filling):
+        if counts[size] <= filling.count(size):
+            left &= ~(1 << size)
+    waste, longer, span = room - sum(filling), (1 | one | several) << 1, 1
+    while span < waste:  # sums raised by 1 to `waste`
+        step = min(span, waste - span)
+        longer |= longer << step
+        span += step
+    return not left & (several | (longer if waste else 0))
 
-    An exact single length dominates everything. Otherwise the best-fit filling,
-    and the fullest ones of two to ``depth`` items found from each first item.
-    """
-    if room <= 0 or not counts[1:room + 1].any():
-        return [()]
-    if room < len(counts) and counts[room]:
-        return [(room,)]
-    found = {_best_fit(counts, room)}
 
+def _proposals(counts: np.ndarray, room: int, depth: int) -> list[tuple[int, ...]]:
+    """Fillings that are likely to be good, least waste first: the best-fit one and the fullest
+    ones of one to ``depth`` items (of three or more: from the first lengths tried)."""
+    found = {_best_fit(counts, room)}
     def fullest(c: np.ndarray, limit: int, items: int, top: int) -> tuple[int, ...]:
         """The fullest filling of ``limit`` by up to ``items`` lengths of at most ``top``
         (the first found among equals)."""
@@ -190,33 +198,64 @@ def fillings(counts: np.ndarray, room: int, width: int = 4, depth: int = 4) -> l
         return best
 
     for items in range(1, depth + 1):
-        f = fullest(counts, room, items, room)
-        if f:
-            found.add(tuple(sorted(f, reverse=True)))
-    ranked = sorted(found, key=lambda f: (room - sum(f), tuple(-x for x in f)))  # small lengths are kept for later
-    kept: list[tuple[int, ...]] = []
-    for f in ranked:
-        if not any(_dominates(g, f) for g in kept):
-            kept.append(f)
-    return kept[:width]
-
-
-def pack_counts(counts: np.ndarray, capacity: int, node_limit: int = 2_000) -> list[tuple[tuple[int, ...], int]]:
+        found.add(tuple(sorted(fullest(counts, room, items, room), reverse=True)))
+    return sorted(found, key=lambda f: (room - sum(f), tuple(-x for x in f)))  # small lengths are kept for later
+
+
+def fillings(counts: np.ndarray, room: int, waste: Callable[[], int] | None = None, depth: int = 4,
+             step: Callable[[], bool] = lambda: True) -> Iterator[tuple[int, ...]]:
+    """Every undominated filling of ``room`` that wastes at most ``waste()`` (asked anew as the search goes on), once.
+
+    Likely ones come first, then all others by length, from the largest. ``step`` is called for each partial
+    filling and ends the enumeration when it is false."""
+    most = waste or (lambda: room)
+    if room <= 0 or not counts[1:room + 1].any():
+        if room <= most():
+            yield ()
+        return
+    if room < len(counts) and counts[room]:  # dominates all others
+        yield (room,)
+        return
+    present, given = _bits(counts), set()
+    for f in _proposals(counts.copy(), room, depth):
+        if room - sum(f) <= most() and undominated(f, counts, room, present):
+            given.add(f)
+            yield f
+    sizes = np.flatnonzero(counts[:room + 1] > 0)[::-1]
+    times = counts[sizes]
+    rest = [*np.cumsum((sizes * times)[::-1])[::-1].tolist(), 0]  # mass from each length on
+    sizes, times = sizes.tolist(), times.tolist()
+
+    def walk(at: int, left: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if not step():
+            return
+        if left <= most() and chosen not in given and undominated(chosen, counts, room, present):
+            yield chosen
+        for i in range(at, len(sizes)):
+            if left - rest[i] > most():
+                return  # the lengths from here on are too few
+            for k in range(min(times[i], left // sizes[i]), 0, -1):
+                yield from walk(i + 1, left - k * sizes[i], chosen + (sizes[i],) * k)
+
+    yield from walk(0, room, ())
+
+
+def pack_counts(counts: np.ndarray, capacity: int, node_limit: int | None = NODE_LIMIT, step_limit: int | None = STEP_LIMIT,
+                depth: int = 4) -> list[tuple[tuple[int, ...], int]]:
     """Fillings with multiplicities that use up ``counts`` (index: length).
 
-    Depth-first branch and bound; ``node_limit`` bounds the nodes, after which the
-    incumbent stands. Deterministic.
+    Depth-first branch and bound. ``node_limit`` bounds the states and ``step_limit`` the partial fillings tried;
+    when one is used up, or a solution meets the lower bound, the incumbent stands. With both None the
+    search ends with a proof: no plan has fewer sequences. Deterministic.
     """
     counts = np.asarray(counts, dtype=np.int64).copy()
     total = int((np.arange(len(counts)) * counts).sum())
     bound = lower_bound(counts, capacity)
 
-    def apply(c: np.ndarray, pattern: tuple[int, ...]) -> int:
+    def most_times(c: np.ndarray, pattern: tuple[int, ...]) -> tuple[np.ndarray, int]:
         need = np.bincount(pattern, minlength=len(c))
         at = need > 0
-        times = int((c[at] // need[at]).min())
-        c -= need * times
-        return times
+        return need, int((c[at] // need[at]).min())
 
     def descend(choose) -> tuple[int, list]:
         c, plan, bins = counts.copy(), [], 0
@@ -230,37 +269,68 @@ def pack_counts(counts: np.ndarray, capacity: int, node_limit: int = 2_000) -> l
             filling = choose(c, capacity - top)
             c[top] += 1
             pattern = (top, *filling)
-            times = apply(c, pattern)
+            need, times = most_times(c, pattern)
+            c -= need * times
             plan.append((pattern, times))
             bins += times
 
-    best = min((descend(f) for f in (_best_fit, lambda c, room: fillings(c, room, 1)[0])), key=lambda x: x[0])
-    # children: fillings of the largest length, applied as often as possible
-    nodes, stack = 0, [(counts.copy(), 0, total, ())]
-    while stack and best[0] > bound and nodes < node_limit:
-        c, bins, mass, path = stack.pop()
+    # incumbents: best fit, and the first undominated filling by proposals of several depths
+    best = min((descend(_best_fit), *(descend(lambda c, room, most=most: next(fillings(c, room, depth=most)))
+                                      for most in range(2, depth + 2))), key=lambda x: x[0])
+    nodes = steps = 0
+
+    def step() -> bool:
+        nonlocal steps
+        steps += 1
+        return step_limit is None or steps <= step_limit
+
+    def children(c: np.ndarray, bins: int, mass: int):
+        """``(pattern, need, times)`` of the bins of the largest length."""
+        def slack() -> int:  # what one sequence fewer than the incumbent's may still waste
+            return (best[0] - 1 - bins) * capacity - mass
+        top = int(np.flatnonzero(c)[-1])
+        room, others = capacity - top, c.copy()
+        others[top] -= 1
+        tried = []
+        for filling in fillings(others, room, slack, depth, step):
+            pattern = (top, *filling)
+            need, most = most_times(c, pattern)
+            wasted = capacity - sum(pattern)
+            times = min(most, slack() // wasted) if wasted else most
+            if times > 0:
+                tried.append((pattern, need, times))
+                yield pattern, need, times
+        for pattern, need, most in tried:
+            for times in range(most - 1, 0, -1):
+                yield pattern, need, times
+
+    seen: dict[bytes, int] = {}  # states that were opened, and with how many bins
+    stack = [(children(counts, 0, total), counts, 0, total, ())] if total else []
+    while stack and best[0] > bound and (node_limit is None or nodes < node_limit) and (step_limit is None or steps <= step_limit):
+        options, c, bins, mass, path = stack[-1]
+        option = next(options, None)
+        if option is None:
+            stack.pop()
+            continue
+        pattern, need, times = option
         nodes += 1
-        left = np.flatnonzero(c)
-        if not len(left):
-            if bins < best[0]:
+        d, used, left = c - need * times, bins + times, mass - times * sum(pattern)
+        path = (path, (pattern, times))
+        if not left:
+            if used < best[0]:
                 plan = []
                 while path:
-                    path, step = path
-                    plan.append(step)
-                best = (bins, plan[::-1])
+                    path, last = path
+                    plan.append(last)
+                best = (used, plan[::-1])
             continue
-        # waste so far plus what is left must fit in fewer bins than the incumbent's
-        if bins + -(-mass // capacity) >= best[0]:
+        if used + lower_bound(d, capacity) >= best[0]:
             continue
-        top = int(left[-1])
-        c[top] -= 1
-        options = fillings(c, capacity - top)
-        c[top] += 1
-        for filling in reversed(options):
-            d = c.copy()
-            pattern = (top, *filling)
-            times = apply(d, pattern)
-            stack.append((d, bins + times, mass - times * sum(pattern), (path, (pattern, times))))
+        state = hashlib.blake2b(d.tobytes(), digest_size=16).digest()
+        if seen.get(state, used + 1) <= used:
+            continue
+        seen[state] = used
+        stack.append((children(d, used, left), d, used, left, path))
     return best[1]
 
 
@@ -279,16 +349,19 @@ def place_table(plan: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "times", "base", "offset"]).astype("int64").sort_values(["length", "first"])
 
 
-def assign_sequences(pieces: DataFrame, capacity: int = 1024, node_limit: int = 2_000) -> DataFrame:
+def assign_sequences(pieces: DataFrame, capacity: int = 1024, node_limit: int | None = NODE_LIMIT,
+                     step_limit: int | None = STEP_LIMIT) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to ``pieces`` (columns ``doc_id, piece, length, ids_crc32``)."""
     histogram = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most `capacity` rows
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for r in histogram:
         counts[r["length"]] = r["n"]
-    table = place_table(pack_counts(counts, capacity, node_limit))
+    table = place_table(pack_counts(counts, capacity, node_limit, step_limit))
     by_length = {int(k): g[["first", "base", "offset"]].to_numpy() for k, g in table.groupby("length")}
 
-    x = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
+    # as many buckets of a length as its rows need
+    buckets = F.element_at(F.array(*[F.lit(int(-(-n // BUCKET_ROWS)) or 1) for n in counts]), F.col("length").cast("int") + 1)
+    x = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), buckets.cast("long")))
     sums = x.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -312,7 +385,8 @@ def assign_sequences(pieces: DataFrame, capacity: int = 1024, node_limit: int =
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id",
-                   text_col: str = "text", with_ids: bool = False, node_limit: int = 2_000) -> DataFrame:
+                   text_col: str = "text", with_ids: bool = False, node_limit: int | None = NODE_LIMIT,
+                   step_limit: int | None = STEP_LIMIT) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset``.
 
     Offsets are gapless from 0 and no sequence holds more than ``capacity`` ids. A
@@ -321,4 +395,4 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int =
     little-endian unsigned 32-bit binary.
     """
     pieces = save(tokenized_pieces(docs, path, end_id, capacity, id_col, text_col, with_ids), "pieces")
-    return assign_sequences(pieces, capacity, node_limit)
+    return assign_sequences(pieces, capacity, node_limit, step_limit)

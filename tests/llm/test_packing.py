@@ -2,6 +2,7 @@ import itertools
 import struct
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -59,20 +60,78 @@ def least_bins(items, capacity):
             return bins
 
 
-def test_optimal_on_small_sets():
+@pytest.mark.parametrize("limits", [{}, {"node_limit": None, "step_limit": None}, {"node_limit": 0, "step_limit": 0}])
+def test_optimal_on_small_sets(limits):
     rng = np.random.default_rng(3)
     for _ in range(40):
         items = rng.integers(1, 31, rng.integers(1, 11))
-        plan = packing.pack_counts(np.bincount(items, minlength=31), 30)
+        plan = packing.pack_counts(np.bincount(items, minlength=31), 30, **limits)
         assert Counter(x for pattern, n in plan for x in pattern * n) == Counter(items.tolist())
         assert all(sum(pattern) <= 30 for pattern, _ in plan)
         bins = sum(n for _, n in plan)
         best = least_bins(items.tolist(), 30)
         assert packing.lower_bound(np.bincount(items, minlength=31), 30) <= best <= bins <= best + 1
+        assert bins == best or limits == {"node_limit": 0, "step_limit": 0}
+
+
+def test_optimal_where_incumbents_are_not():
+    """Repeated lengths in bins of 30: the search must leave its incumbents and take fillings fewer times."""
+    rng = np.random.default_rng(8)
+    better = 0
+    for _ in range(120):
+        items = rng.choice(rng.integers(3, 20, 5), rng.integers(8, 14))
+        counts = np.bincount(items, minlength=31)
+        best = least_bins(items.tolist(), 30)
+        assert sum(n for _, n in packing.pack_counts(counts, 30, None, None, depth=1)) == best
+        better += sum(n for _, n in packing.pack_counts(counts, 30, 0, 0, depth=1)) > best
+    assert better > 0
+
+
+def dominates(a, b):
+    """Whether the items of ``b`` can be dealt into bins as large as the items of ``a``."""
+    @lru_cache(maxsize=None)
+    def fits(rest, bins):
+        if not rest:
+            return True
+        for i, room in enumerate(bins):
+            if room >= rest[0] and (i == 0 or room != bins[i - 1]):
+                if fits(rest[1:], tuple(sorted(bins[:i] + (room - rest[0],) + bins[i + 1:], reverse=True))):
+                    return True
+        return False
+    return sum(a) >= sum(b) and fits(tuple(sorted(b, reverse=True)), tuple(sorted(a, reverse=True)))
 
 
 def test_dominance():
-    assert packing._dominates((10,), (6, 4)) and packing._dominates((6, 4), (5, 4)) and not packing._dominates((6, 4), (7, 2))
+    assert dominates((10,), (6, 4)) and dominates((6, 4), (5, 4)) and not dominates((6, 4), (7, 2))
+    counts = np.bincount([10, 7, 6, 5, 4, 2], minlength=11)
+    assert packing.undominated((10,), counts, 10) and not packing.undominated((6, 4), counts, 10)
+    assert not packing.undominated((5, 4), counts, 10) and not packing.undominated((7, 2), counts, 10)
+
+
+def test_all_undominated_fillings_once():
+    rng = np.random.default_rng(5)
+    for trial in range(150):
+        room = int(rng.integers(1, 26))
+        items = rng.integers(1, 21, rng.integers(0, 9)).tolist()
+        subsets = {tuple(sorted(c, reverse=True)) for k in range(len(items) + 1) for c in itertools.combinations(items, k) if sum(c) <= room}
+        want = {f for f in subsets if not any(g != f and dominates(g, f) for g in subsets)}
+        counts = np.bincount(items, minlength=31)
+        got = list(packing.fillings(counts, room, depth=int(rng.integers(1, 5))))
+        assert len(got) == len(set(got)) and set(got) == want
+        waste = int(rng.integers(0, 4))
+        assert set(packing.fillings(counts, room, lambda: waste)) == {f for f in want if room - sum(f) <= waste}
+
+
+def test_step_limit_ends_the_search():
+    counts = np.bincount(np.random.default_rng(2).integers(1, 600, 3000), minlength=1025)
+    plan = packing.pack_counts(counts, 1024, None, 500)
+    assert Counter(x for pattern, n in plan for x in pattern * n) == Counter({k: int(v) for k, v in enumerate(counts) if v})
+
+
+def test_buckets_by_rows(docs, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 3)
+    rows = packing.pack_documents(docs, PATH, capacity=64).collect()
+    assert check_sequences(rows, 64) <= packing.lower_bound(np.bincount([r.length for r in rows], minlength=65), 64) * 1.02 + 1
 
 
 def test_hot_length_and_empty(spark, no_docs):
