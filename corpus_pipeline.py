@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm import language_id, line_runs, mixture, packing, simhash
-from cohortlake.llm.common import fold, save, set_aside
+from cohortlake.llm.common import arrow_rows, fold, save, set_aside
 from cohortlake.llm.queries import tokenizer_path
 
 
@@ -16,12 +16,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null and empty texts have no letter and go; repeated rows are judged each; rows with a null
     id teach and are judged. An empty table stays empty. All columns keep their values,
-    also those named like the operator's own."""
+    also those named like the operator's own. The result is written, with 1,024 texts at a
+    time in Python's memory."""
     learns = F.coalesce(fold(F.col("doc_id"), 3) != 1, F.lit(True))
     rows, back = set_aside(docs, "lang_pred", "score")
-    found = language_id.identify(rows, tokenizer_path("piece_bpe_32k.model"), learns)
-    kept = found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= 0.5)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed(back).select(*docs.columns)
+    with arrow_rows(spark, 1024):
+        found = language_id.identify(rows, tokenizer_path("piece_bpe_32k.model"), learns)
+        kept = found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= 0.5)).drop("lang_pred", "score")
+        return save(kept.withColumnsRenamed(back).select(*docs.columns), "known-language")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,6 +64,24 @@ def test_stages_against_their_operators(spark, docs):
     assert {"doc_id", "piece", "sequence_id", "offset", "length"} <= set(e.columns) and e.count() >= d.count()
 
 
+def test_language_stage_takes_few_texts_at_once(spark, monkeypatch):
+    """Batches of 1,024 rows at most, so that their texts do not fill an executor's memory."""
+    import pyarrow as pa
+
+    def judge(batches):
+        for b in batches:
+            few = pa.array([1.0 if b.num_rows <= 1024 else 0.0] * b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(["en"] * b.num_rows), few], names=[*b.schema.names, "lang_pred", "score"])
+
+    monkeypatch.setattr(corpus_pipeline.language_id, "identify",
+                        lambda docs, *_: docs.mapInArrow(judge, "doc_id long, text string, lang_pred string, score double"))
+    docs = spark.range(5000).coalesce(1).selectExpr("id AS doc_id", "repeat('a ', 10) AS text")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    assert corpus_pipeline.known_language(spark, docs, SF).count() == 5000  # rows of large batches would be below one half
+    assert spark.conf.get(name) == before
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
