@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +29,14 @@ def matrix(vectors, dim: int, dtype=np.float64) -> np.ndarray:
     for i, v in enumerate(vectors):
         out[i, :len(v)] = v
     return out
+
+
+def list_matrix(column: pa.ListArray, dim: int) -> np.ndarray:
+    """As :func:`matrix`, of a list array of doubles without nulls."""
+    size = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if (size == dim).all():
+        return flat.reshape(-1, dim)
+    out = np.zeros((len(column), dim))
+    out[np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+    return out

@@ -187,3 +187,40 @@ def test_graph_round_trip():
     again = hnsw.Graph.load(graph.dump(), graph.vecs)
     a, b = graph.search(unit[:20].astype(np.float32), 16), again.search(unit[:20].astype(np.float32), 16)
     assert (a[0] == b[0]).all() and (a[0][:, 0] == np.arange(20)).all()
+
+
+def test_no_row_holds_a_graph(spark, monkeypatch):
+    """Rows between tasks stay small however many nodes a shard has; graphs asked in
+    several rounds, one after another, find all links of the whole."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1500, 64))
+    x[700:760] = x[:60] + 0.01
+    frame = spark.createDataFrame([(i, e.tolist(), 0) for i, e in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    saved, save = [], hnsw.save
+
+    def kept(*args, **more):
+        saved.append(save(*args, **more))
+        return saved[-1]
+
+    monkeypatch.setattr(hnsw, "save", kept)
+    got = {r.vec_id: r for r in hnsw.near_vectors(frame, 0.9, n_shards=2, shard_rows=600, query_rows=400).collect()}
+    sizes = [t.agg(F.max(F.length(f.name))).first()[0] for t in saved for f in t.schema if f.dataType.simpleString() == "binary"]
+    assert sizes and max(sizes) <= 1 << 18
+    near = links(np.arange(1500), x, 0.9)
+    i, j = np.nonzero(np.triu(near, 1))
+    assert near.sum() >= 120 and [got[k].n_links for k in range(1500)] == near.sum(1).tolist()
+    assert [got[k].component_id for k in range(1500)] == local_roots(1500, i, j).tolist()
+
+
+def test_graph_arrays_in_chunks(monkeypatch):
+    rng = np.random.default_rng(13)
+    arrays = {"ids": rng.integers(0, 99, 700), "x": rng.normal(size=(700, 3)).astype(np.float32), "l0": rng.integers(-1, 9, (700, 4)).astype(np.int32)}
+    monkeypatch.setattr(hnsw, "CHUNK", 1000)
+    rows = [r for shard in (4, 2) for part in hnsw.in_chunks(shard, arrays) for r in part.to_dict("records")]
+    assert max(len(r["bytes"]) for r in rows) <= 1000
+    again = hnsw.from_chunks(iter(rows[::-1]))
+    assert sorted(again) == [2, 4]
+    for name, want in arrays.items():
+        assert again[4][name].dtype == want.dtype and (again[4][name].reshape(want.shape) == want).all()
+    double = np.array([[0.1, 1e300], [1.0, 2.0]])
+    assert hnsw.narrow(double).dtype == np.float64 and hnsw.narrow(double[1:]).dtype == np.float32
